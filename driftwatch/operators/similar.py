@@ -22,13 +22,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwatch.functions.text import duplicate_key
-from driftwatch.session import keys_of
+from driftwatch.session import keys_of, materialize
 
 # Matches returned, candidates ranked before the collapse,
 # default resolution time.
 MATCHES, CANDIDATES, DEFAULT_MINUTES = 3, 60, 30
 # Memory of one block of vectors inside a task.
 BLOCK_BYTES = 32 * 1024 * 1024
+# List of the newest incidents of any type, for types without a history.
+ANY_TYPE = "*"
 
 
 def block_rows(dimension: int) -> int:
@@ -55,6 +57,7 @@ def nearest(
     same = keys_of(match_on)
     q = queries.filter(F.col(emb).isNotNull()).select(F.col(query_id).alias("q"), F.col(emb).alias("qv"), *same)
     h = history.filter(F.col(emb).isNotNull()).select(F.col(history_id).alias("h"), F.col(emb).alias("hv"), *same)
+    q = materialize(q)
     if rows_per_block is None:
         widest = h.agg(F.max(F.size("hv")).alias("d")).first()["d"]
         rows_per_block = block_rows(widest or 1)
@@ -159,16 +162,15 @@ def recent_same_type(anomalies: DataFrame, history: DataFrame, query_id: str, ki
     """
     newest = Window.partitionBy(kind).orderBy(F.desc(created), F.desc(tie))
     per_type = history.withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= n)
-    overall = history.orderBy(F.desc(created), F.desc(tie)).limit(n)
-    any_rank = Window.partitionBy(F.lit(1)).orderBy(F.desc(created), F.desc(tie))
-    overall = overall.withColumn("rank", F.row_number().over(any_rank))
-    side = anomalies.select(query_id, kind)
-    direct = side.join(per_type, kind)
-    missing = side.join(per_type.select(kind).distinct(), kind, "left_anti").select(query_id)
-    # the fallback list has at most n rows, each query takes all of them
-    listed = overall.agg(F.array_sort(F.collect_list(F.struct("rank", *history.columns))).alias("rows"))
-    fallback = missing.join(F.broadcast(listed)).select(query_id, F.inline("rows"))
-    return direct.unionByName(fallback.select(*direct.columns))
+    top = history.orderBy(F.desc(created), F.desc(tie)).limit(n)
+    any_rank = Window.partitionBy(F.lit(ANY_TYPE)).orderBy(F.desc(created), F.desc(tie))
+    lists = per_type.withColumn("_pick", F.col(kind)).unionByName(
+        top.withColumn("rank", F.row_number().over(any_rank)).withColumn("_pick", F.lit(ANY_TYPE))
+    )
+    known = per_type.select(F.col(kind).alias("_known")).distinct()
+    side = anomalies.select(query_id, F.col(kind).alias("_wanted")).join(known, F.col("_wanted") == F.col("_known"), "left")
+    pick = F.when(F.col("_known").isNotNull(), F.col("_wanted")).otherwise(F.lit(ANY_TYPE))
+    return side.withColumn("_pick", pick).drop("_wanted", "_known").join(lists, "_pick").drop("_pick")
 
 
 # --- text ---------------------------------------------------------------------------
