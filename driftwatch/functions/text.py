@@ -10,6 +10,7 @@ SENSITIVE_KEYS = ["uri", "connection_string", "password", "api_key", "token", "s
 REDACTED = "***REDACTED***"
 # Fixed value: marker appended to a shortened text.
 TRUNCATED = "…[truncated]"
+END_MARK = "--end of value--"
 
 
 def duplicate_key(kind: Column, description: Column) -> Column:
@@ -61,6 +62,17 @@ def strip_fences(raw: Column) -> Column:
     return F.when(text.startswith("```"), F.trim(body)).otherwise(text)
 
 
+def strict_json(text: Column) -> Column:
+    """Variant of a text that is one JSON value and nothing else, else null.
+
+    The parser stops after the first value, so the text is put in an array
+    before an end mark, which must come out right behind it.
+    """
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{END_MARK}"]')))
+    whole = F.try_variant_get(wrapped, "$[1]", "string") == END_MARK
+    return F.when(whole, F.try_variant_get(wrapped, "$[0]", "variant"))
+
+
 def lenient_json(raw: Column) -> Column:
     """Variant of a model reply.
 
@@ -74,8 +86,8 @@ def lenient_json(raw: Column) -> Column:
     empty = raw.isNull() | (raw == "")
     return F.coalesce(
         F.when(empty, F.parse_json(F.lit("{}"))),
-        F.try_parse_json(body),
-        F.try_parse_json(F.when(block != "", block)),
+        strict_json(body),
+        strict_json(F.when(block != "", block)),
         F.parse_json(failed),
     )
 

@@ -66,9 +66,13 @@ def trend_slopes(stats: DataFrame, key, rate: str = "event_count", windows: int
     keys = keys_of(key)
     newest = Window.partitionBy(*keys).orderBy(F.desc("window_end"))
     ranked = stats.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= windows)
+    # sums of whole numbers are exact, so a flat rate has slope 0 and no noise
+    x, y = -F.col("rn").cast("double"), F.col(rate).cast("double")
+    n, sx, sy = F.count(F.lit(1)), F.sum(x), F.sum(y)
+    spread = n * F.sum(x * x) - sx * sx
     return ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_windows"),
-        F.coalesce(F.regr_slope(F.col(rate).cast("double"), (-F.col("rn")).cast("double")), F.lit(0.0)).alias("slope"),
+        n.alias("n_windows"),
+        F.when(spread != 0, (n * F.sum(x * y) - sx * sy) / spread).otherwise(F.lit(0.0)).alias("slope"),
         F.max(F.when(F.col("rn") == 1, F.col("event_count"))).cast("double").alias("current_rate"),
         F.max(F.when(F.col("rn") == 1, F.col("avg_doc_size_kb"))).alias("current_size_kb"),
     )

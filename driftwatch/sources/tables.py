@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftwatch.functions.text import strict_json
 from driftwatch.session import keys_of
 
 # Change operations that carry a document.
@@ -105,7 +106,7 @@ def split_dead_letter(df: DataFrame, error: Column, failed_at: Column) -> tuple[
 
 def json_error(text: str) -> Column:
     """Error struct of a text column that must be JSON."""
-    bad = F.col(text).isNull() | F.try_parse_json(text).isNull()
+    bad = F.col(text).isNull() | strict_json(F.col(text)).isNull()
     return F.when(
         bad,
         F.struct(
