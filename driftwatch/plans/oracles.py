@@ -18,7 +18,12 @@ DAY_END = "TIMESTAMP '2024-01-01 23:59:59'"
 
 def half_up(x: str, places: int) -> str:
     """Rounding of the decimal form, halves away from zero."""
-    return f"CAST(round(CAST(CAST({x} AS STRING) AS DECIMAL(38, 15)), {places}) AS DOUBLE)"
+    return f"CAST(round(CAST(CAST({x} AS STRING) AS DECIMAL(38, 20)), {places}) AS DOUBLE)"
+
+
+def one_decimal(x: str) -> str:
+    """Text with one decimal that keeps the sign of a rounded zero."""
+    return f"(CASE WHEN {x} < 0 AND {half_up(x, 1)} = 0 THEN '-0.0' ELSE printf('%.1f', {half_up(x, 1)}) END)"
 
 
 def quoted(text: str) -> str:
@@ -381,13 +386,13 @@ CAUSE = I.case_of(T.ROOT_CAUSE, "anomaly_type", "anomaly_type || ' detected on '
 TITLED = "array_to_string(list_transform(string_split(anomaly_type, '_'), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
 TAIL = """CASE anomaly_type WHEN 'AI_MEMORY_POISONING' THEN ' Document contains prompt-injection content.'
  WHEN 'SEMANTIC_VELOCITY_SPIKE' THEN ' Semantic meaning diverged from historical norm.' ELSE '' END"""
-ORACLES["incident_reports"] = f"""WITH {COUNTED}, {cost('ac')}, rp AS (SELECT *, severity || ' ' || {TITLED} || ' in ''' || collection_name || ''' (z=' || printf('%.1f', {half_up('z_score', 1)}) || ').' || {TAIL} AS anomaly_summary,
+ORACLES["incident_reports"] = f"""WITH {COUNTED}, {cost('ac')}, rp AS (SELECT *, severity || ' ' || {TITLED} || ' in ''' || collection_name || ''' (z=' || {one_decimal('z_score')} || ').' || {TAIL} AS anomaly_summary,
   {TITLE} AS title, CASE WHEN anomaly_type IN ({', '.join(quoted(k) for k in T.ROOT_CAUSE)}) THEN 0.75e0 ELSE 0.5e0 END AS rc FROM ct)
  SELECT document_id, collection_name, anomaly_type, severity, anomaly_summary, {CAUSE} AS root_cause_description, rc AS root_cause_confidence,
  CASE WHEN anomaly_type IN ('AI_MEMORY_POISONING', 'SEMANTIC_VELOCITY_SPIKE') THEN 'security_threat' WHEN anomaly_type IN ('SCHEMA_DRIFT', 'ETL_MISCONFIGURATION') THEN 'data_pipeline' ELSE 'infrastructure' END AS category,
  title AS immediate_action, severity = 'CRITICAL' AS escalate, 30 AS estimated_resolution_minutes, {CLASS_ID} AS class_id, {CLASS_NAME} AS class_name,
  {half_up('0.03e0 + ' + half_up('least(1e0, abs(z_score) / 10) * 0.15e0', 3), 3)} AS total_confidence, per_minute_usd, total_worst_case_usd,
- severity || ' ' || anomaly_type || ' on ''' || collection_name || ''' (z=' || printf('%.1f', {half_up('z_score', 1)}) || '). ' || anomaly_summary || ' Recommended: ' || title || ' (~' || {MINUTES} || ' min).' AS summary FROM rp"""
+ severity || ' ' || anomaly_type || ' on ''' || collection_name || ''' (z=' || {one_decimal('z_score')} || '). ' || anomaly_summary || ' Recommended: ' || title || ' (~' || {MINUTES} || ' min).' AS summary FROM rp"""
 ORACLES["document_incidents"] = f"""WITH {ESCALATED}, dcount AS (SELECT lang AS collection_name, count(*) AS dc FROM documents GROUP BY 1),
  ec AS (SELECT esc.*, dc FROM esc LEFT JOIN dcount USING (collection_name)), {cost('ec')}
  SELECT document_id, collection_name, anomaly_type, severity, {TITLE} AS immediate_action, {CLASS_ID} AS class_id, 30 AS estimated_resolution_minutes,
