@@ -81,7 +81,9 @@ def escalate(anomalies: DataFrame, threats: DataFrame, doc_id: str = "document_i
     """Marks anomalies whose document carries a threat.
 
     Only a size spike is re-typed; its severity becomes that of the threat.
-    ``threats`` has one row per document, so the join stays one to one.
+    ``threats`` has one row per document, so the join stays one to one. It is
+    not filtered by verdict here: that predicate would be pushed down to the
+    documents and have every one of them scanned before any join.
     """
     side = threats.select(
         F.col(doc_id),
@@ -89,7 +91,7 @@ def escalate(anomalies: DataFrame, threats: DataFrame, doc_id: str = "document_i
         F.col("matches").alias("ai_threat_matches"),
         F.col("confidence").alias("ai_threat_confidence"),
         F.col("threat_detected").alias("_hit"),
-    ).filter("_hit")
+    )
     joined = anomalies.join(side, doc_id, "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     retyped = hit & (F.col("anomaly_type") == "DOC_SIZE_SPIKE")

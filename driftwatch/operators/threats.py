@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwatch.functions import patterns as P
+from driftwatch.session import spread
 
 _LABELS = list(dict.fromkeys(label for label, _, _ in P.INJECTION_PATTERNS))
 _NO_STRINGS = "array<struct<field:string,text:string>>"
@@ -121,24 +122,35 @@ def _may_match(folded: Column, required: list[list[str]]) -> Column:
     return reduce(and_, [reduce(or_, [folded.contains(x) for x in one_of]) for one_of in required])
 
 
-def _found(text: Column, folded: Column, label: str) -> Column:
-    """First match of the label's patterns in the text, or null."""
-    hits = []
-    for (name, pattern, about), required in zip(P.INJECTION_PATTERNS, P.REQUIRED_LITERALS):
-        if name != label:
-            continue
-        match = F.when(_may_match(folded, required), F.regexp_extract(text, f"(?iU){pattern}", 0))
-        hits.append(
+def _raw_matches(text: Column, folded: Column) -> Column:
+    """One text per pattern: its first match, empty or null if there is none."""
+    return F.array(
+        *[
+            F.when(_may_match(folded, required), F.regexp_extract(text, f"(?iU){pattern}", 0))
+            for (_, pattern, _), required in zip(P.INJECTION_PATTERNS, P.REQUIRED_LITERALS)
+        ]
+    )
+
+
+def _by_label(field: Column, raw: Column) -> Column:
+    """Match structs, for each label that of its first matching pattern."""
+    found = []
+    for label in _LABELS:
+        hits = [
             F.when(
-                match != "",
+                raw[i] != "",
                 F.struct(
-                    F.lit(name).alias("pattern_label"),
+                    field.alias("field"),
+                    F.lit(label).alias("pattern_label"),
                     F.lit(about).alias("description"),
-                    F.substring(match, 1, P.MATCH_CHARS).alias("matched_text"),
+                    F.substring(raw[i], 1, P.MATCH_CHARS).alias("matched_text"),
                 ),
             )
-        )
-    return F.coalesce(*hits)
+            for i, (name, _, about) in enumerate(P.INJECTION_PATTERNS)
+            if name == label
+        ]
+        found.append(F.coalesce(*hits))
+    return F.array_compact(F.array(*found))
 
 
 def text_matches(strings: Column, max_chars: int | None = None) -> Column:
@@ -153,18 +165,11 @@ def text_matches(strings: Column, max_chars: int | None = None) -> Column:
         return F.struct(s["field"].alias("field"), text.alias("text"), fold(text).alias("folded"))
 
     def tested(s: Column) -> Column:
-        found = F.array_compact(F.array(*[_found(s["text"], s["folded"], label) for label in _LABELS]))
-        return F.transform(
-            found,
-            lambda m: F.struct(
-                s["field"].alias("field"),
-                m["pattern_label"].alias("pattern_label"),
-                m["description"].alias("description"),
-                m["matched_text"].alias("matched_text"),
-            ),
-        )
+        return F.struct(s["field"].alias("field"), _raw_matches(s["text"], s["folded"]).alias("raw"))
 
-    return F.flatten(F.transform(F.transform(long_enough, prepared), tested))
+    tests = F.transform(F.transform(long_enough, prepared), tested)
+    hit = F.filter(tests, lambda s: F.exists(s["raw"], lambda m: m != ""))
+    return F.flatten(F.transform(hit, lambda s: _by_label(s["field"], s["raw"])))
 
 
 # --- scans ----------------------------------------------------------------------
@@ -179,6 +184,7 @@ def scan_threats(
     Typed frames are scanned over ``columns`` (default: all but the id);
     dynamic documents over the variant column ``doc``.
     """
+    df = spread(df)
     if doc is not None:
         strings = variant_strings(doc)
         names = F.map_keys(F.try_variant_get(F.col(doc), "$", "map<string,variant>"))
@@ -216,4 +222,4 @@ def scan_requests(df: DataFrame, text: str, max_chars: int | None = None) -> Dat
     Whole texts are tested; ``max_chars`` cuts them first.
     """
     value = F.col(text) if max_chars is None else F.substring(text, 1, max_chars)
-    return df.withColumn("blocked", F.coalesce(value.rlike(f"(?iU){P.REQUEST_PATTERN}"), F.lit(False)))
+    return spread(df).withColumn("blocked", F.coalesce(value.rlike(f"(?iU){P.REQUEST_PATTERN}"), F.lit(False)))

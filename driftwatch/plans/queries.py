@@ -26,7 +26,7 @@ from driftwatch.operators import (
 )
 from driftwatch.plans import inputs as I
 from driftwatch.sources import tables
-from driftwatch.streaming import jobs
+from driftwatch.streaming import jobs, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -536,12 +536,14 @@ def incident_reports(spark, sf):
 
 @query
 def document_incidents(spark, sf):
-    """The main path: sizes, threats, escalation, drift, cost, report."""
-    docs = I.planted_documents(spark, sf).drop("system_prompt")
-    found = anomaly.size_anomalies(docs, profile.size_baseline(docs, "lang"), "lang", "doc_id", I.as_of())
-    hits = _document_threats(spark, sf).withColumn("document_id", F.col("doc_id").cast("string"))
+    """The main path: sizes, threats of the flagged documents, escalation, report."""
+    docs = I.planted_documents(spark, sf)
+    own = [c for c in docs.columns if c != "system_prompt"]
+    base = profile.size_baseline(docs, "lang", document_bytes(docs, own))
+    found = anomaly.size_anomalies(docs, base, "lang", "doc_id", I.as_of(), document_bytes(docs, own))
+    enriched = streams.enrich(found, docs, "doc_id", columns=["text", "source", "system_prompt"])
     counts = docs.groupBy(F.col("lang").alias("collection_name")).agg(F.count(F.lit(1)).alias("doc_count"))
-    r = incident.incident_reports(anomaly.escalate(found, hits), counts)
+    r = incident.incident_reports(enriched, counts)
     return r.select(
         "document_id", "collection_name", "anomaly_type", "severity", "immediate_action", "class_id",
         "estimated_resolution_minutes", "per_minute_usd", "ai_memory_poisoning",

@@ -62,5 +62,21 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return stored
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Gives a small input to all cores before CPU-heavy row work.
+
+    An input that fills less than half of the cores with file splits (say one
+    file with one row group) is dealt out round-robin. A larger one keeps its
+    splits and is not shuffled.
+    """
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < split * cores / 2 else df
+
+
 def keys_of(key: str | list[str] | tuple[str, ...]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)

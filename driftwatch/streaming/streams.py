@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from driftwatch.functions.sizes import document_bytes
 from driftwatch.operators import anomaly, correlate, incident, runway, threats
 from driftwatch.operators.folds import Fold
-from driftwatch.session import keys_of
+from driftwatch.session import bounded, keys_of, materialize
 from driftwatch.sources import tables
 
 # Late rows are waited for this long.
@@ -118,10 +118,12 @@ def enrich(
 ) -> DataFrame:
     """Adds threat, drift, velocity and runway signals to anomalies.
 
-    Only flagged documents are scanned. ``drift``, ``velocity`` and
+    Anomalies are found once and stored; only the documents they flag are
+    scanned. ``drift``, ``velocity`` and
     ``runways`` are reports with one row per ``collection_name``.
     """
-    wanted = anomalies.select("document_id").distinct()
+    anomalies = materialize(anomalies)
+    wanted = bounded(anomalies.select("document_id").distinct())
     flagged = docs.withColumn("document_id", F.col(doc_id).cast("string")).join(wanted, "document_id", "left_semi")
     out = anomaly.escalate(anomalies, threats.scan_threats(flagged, "document_id", columns))
     if drift is not None:
