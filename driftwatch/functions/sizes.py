@@ -28,8 +28,15 @@ DOCUMENT_OVERHEAD = 5  # int32 length plus the closing zero byte
 ELEMENT_OVERHEAD = 2  # type byte plus the zero byte that ends the name
 
 
-def document_bytes(df: DataFrame, columns: list[str] | None = None, null_as: str = "missing") -> Column:
-    """Size of each row as a document made of ``columns`` (default: all)."""
+def document_bytes(
+    df: DataFrame, columns: list[str] | None = None, null_as: str = "missing", doc: str | None = None
+) -> Column:
+    """Size of each row as a document made of ``columns`` (default: all).
+
+    With ``doc`` the document is the value of that struct column.
+    """
+    if doc is not None:
+        return _value(df.schema[doc].dataType, F.col(f"`{doc}`"), null_as)
     wanted = set(columns) if columns is not None else None
     fields = [f for f in df.schema.fields if wanted is None or f.name in wanted]
     return _document(fields, lambda name: F.col(f"`{name}`"), null_as)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftwatch.functions.templates import DESTRUCTIVE_TOOLS
 from driftwatch.functions.text import canonical_json, json_length, redact
-from driftwatch.session import keys_of
+from driftwatch.session import bounded, keys_of
 
 # Columns that are no part of the sealed content.
 UNSEALED = ["receipt", "receipt_verified", "receipt_pretty", "created_at", "_id"]
@@ -26,10 +26,12 @@ def resolve_approvals(incidents: DataFrame, approvals: DataFrame) -> DataFrame:
     i = incidents.select(
         F.col("incident_id").alias("_by_id"), F.col("collection_name").alias("_coll"), F.col("options").alias("_opts")
     )
-    newest = incidents.groupBy(F.col("collection_name").alias("_key")).agg(
-        F.max_by(
-            F.struct("incident_id", "collection_name", "options"), F.struct("created_at", "incident_id")
-        ).alias("_latest")
+    newest = bounded(
+        incidents.groupBy(F.col("collection_name").alias("_key")).agg(
+            F.max_by(
+                F.struct("incident_id", "collection_name", "options"), F.struct("created_at", "incident_id")
+            ).alias("_latest")
+        )
     )
     joined = approvals.join(i, approvals["incident_id"] == F.col("_by_id"), "left").join(
         newest, approvals["collection_name"] == F.col("_key"), "left"

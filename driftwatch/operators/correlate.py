@@ -108,11 +108,29 @@ def correlation_windows(
 def suppress_stored(
     candidates: DataFrame, stored: DataFrame, key: str = "collection_key", ts: str = "created_at", hours: int = REFIRE_HOURS
 ) -> DataFrame:
-    """Drops candidates whose key was stored within the hours before them."""
-    c, e = candidates.alias("c"), stored.select(key, ts).alias("e")
-    recent = (
-        (F.col(f"c.{key}") == F.col(f"e.{key}"))
-        & (F.col(f"e.{ts}") >= F.col(f"c.{ts}") - F.expr(f"INTERVAL {hours} HOURS"))
-        & (F.col(f"e.{ts}") <= F.col(f"c.{ts}"))
+    """Drops candidates whose key was stored within the hours before them.
+
+    Time is cut into spans of that length. Of the stored rows of a span only
+    the first matters to candidates of the same span and only the last to those
+    of the next, so a key meets its candidates with one row per span and a hot
+    key costs no comparison of all with all.
+    """
+    width = hours * 3_600_000_000
+
+    def micros(name: str) -> Column:
+        return F.unix_micros(F.col(name).cast("timestamp"))
+
+    span = F.floor(F.col("_t") / width)
+    seen = stored.select(F.col(key).alias("_k"), micros(ts).alias("_t")).withColumn("_span", span)
+    ends = seen.groupBy("_k", "_span").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
+    none = F.lit(None).cast("long")
+    known = (
+        ends.select("_k", "_span", "_first", none.alias("_before"))
+        .unionByName(ends.select("_k", (F.col("_span") + 1).alias("_span"), none.alias("_first"), F.col("_last").alias("_before")))
+        .groupBy("_k", "_span")
+        .agg(F.max("_first").alias("_first"), F.max("_before").alias("_before"))
     )
-    return c.join(e, recent, "left_anti")
+    marked = candidates.withColumn("_t", micros(ts)).withColumn("_at", span)
+    joined = marked.join(known, (F.col(key) == F.col("_k")) & (F.col("_at") == F.col("_span")), "left")
+    recent = (F.col("_first") <= F.col("_t")) | (F.col("_before") >= F.col("_t") - width)
+    return joined.filter(~F.coalesce(recent, F.lit(False))).select(*candidates.columns)

@@ -39,13 +39,20 @@ def write_stats(df: DataFrame, key, ts: str, size: Column, width: str = "60 seco
     )
 
 
-def recent_counts(df: DataFrame, key, ts: str, as_of: Column, windows: int = WINDOWS) -> DataFrame:
+def recent_counts(
+    df: DataFrame, key, ts: str, as_of: Column, windows: int = WINDOWS, names: DataFrame | None = None
+) -> DataFrame:
     """Events in each of the last hours before ``as_of``; empty hours are 0.
 
     Window ``i`` is ``[as_of - (i + 1) h, as_of - i h)``. One aggregate counts
-    all windows, so no window or key is missing and nothing is joined.
+    all windows, so no window or key is missing and nothing is joined. Keys come
+    from ``df``; if ``names`` lists them, only the last hours of ``df`` are read.
     """
     keys = keys_of(key)
+    df = df.select(*keys, ts)
+    if names is not None:
+        recent = df.filter(F.col(ts) >= as_of - F.expr(f"INTERVAL {windows} HOURS"))
+        df = recent.unionByName(names.select(*keys).distinct().withColumn(ts, F.lit(None).cast(df.schema[ts].dataType)))
     age = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))
     slot = F.ceil(age / F.lit(3_600_000_000)) - 1
     counted = df.select(*keys, slot.alias("slot")).groupBy(*keys).agg(

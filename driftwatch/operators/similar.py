@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwatch.functions.text import duplicate_key
-from driftwatch.session import keys_of, materialize
+from driftwatch.session import bounded, keys_of, materialize
 
 # Matches returned, candidates ranked before the collapse,
 # default resolution time.
@@ -68,28 +68,26 @@ def nearest(
     types = dict(q.dtypes), dict(h.dtypes)
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = {"q": [], "h": [], "score": []}
+        ids, hits, scores = [], [], []
         if len(a) and len(b):
             b = b.sort_values("h", kind="stable")
-            ids = b["h"].to_numpy()
-            vectors = _unit_rows(b["hv"])
+            names, vectors = b["h"].to_numpy(dtype=object), _unit_rows(b["hv"])
             for start in range(0, len(a), 256):
                 part = a.iloc[start : start + 256]
-                scores = np.round(np.clip(_unit_rows(part["qv"]) @ vectors.T, -1.0, 1.0), 6)
-                for qid, row in zip(part["q"].to_numpy(), scores):
-                    usable = np.flatnonzero(ids != qid) if exclude_same else np.arange(len(ids))
-                    row = row[usable]
-                    if len(row) > k:
-                        # keep every row that ties with the k-th best
-                        cut = np.partition(row, -k)[-k]
-                        chosen = np.flatnonzero(row >= cut)
-                        chosen = chosen[np.argsort(-row[chosen], kind="stable")[:k]]
-                    else:
-                        chosen = np.arange(len(row))
-                    out["q"].extend([qid] * len(chosen))
-                    out["h"].extend(ids[usable[chosen]])
-                    out["score"].extend(row[chosen])
-        return pd.DataFrame(out)
+                block = np.round(np.clip(_unit_rows(part["qv"]) @ vectors.T, -1.0, 1.0), 6)
+                for qid, row in zip(part["q"].to_numpy(dtype=object), block):
+                    chosen = _top(row, k, names != qid if exclude_same else None)
+                    ids.append(np.full(len(chosen), qid, dtype=object))
+                    hits.append(names[chosen])
+                    scores.append(row[chosen])
+        whole = [np.concatenate(x) if x else np.array([], dtype=object) for x in (ids, hits, scores)]
+        return pd.DataFrame(
+            {
+                "q": pd.Series(whole[0], dtype=object),
+                "h": pd.Series(whole[1], dtype=object),
+                "score": pd.Series(whole[2], dtype=float),
+            }
+        )
 
     found = (
         left.groupBy("qb", "hb", *same)
@@ -104,6 +102,19 @@ def nearest(
     )
 
 
+def _top(scores: np.ndarray, k: int, usable: np.ndarray | None) -> np.ndarray:
+    """Places of the ``k`` best scores; of equal ones the earlier places."""
+    if usable is not None:
+        scores = np.where(usable, scores, -np.inf)
+    if len(scores) > k:
+        # rows that tie with the k-th best all compete for the last places
+        places = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+    else:
+        places = np.arange(len(scores))
+    places = places[np.argsort(-scores[places], kind="stable")[:k]]
+    return places[scores[places] > -np.inf]
+
+
 def _parallelism(df: DataFrame) -> int:
     """Blocks that keep every core busy when the history fits in few blocks."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -167,7 +178,8 @@ def recent_same_type(anomalies: DataFrame, history: DataFrame, query_id: str, ki
     lists = per_type.withColumn("_pick", F.col(kind)).unionByName(
         top.withColumn("rank", F.row_number().over(any_rank)).withColumn("_pick", F.lit(ANY_TYPE))
     )
-    known = per_type.select(F.col(kind).alias("_known")).distinct()
+    lists = bounded(lists)
+    known = bounded(per_type.select(F.col(kind).alias("_known")).distinct())
     side = anomalies.select(query_id, F.col(kind).alias("_wanted")).join(known, F.col("_wanted") == F.col("_known"), "left")
     pick = F.when(F.col("_known").isNotNull(), F.col("_wanted")).otherwise(F.lit(ANY_TYPE))
     return side.withColumn("_pick", pick).drop("_wanted", "_known").join(lists, "_pick").drop("_pick")

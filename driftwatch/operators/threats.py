@@ -24,12 +24,17 @@ _NO_STRINGS = "array<struct<field:string,text:string>>"
 # --- walks: document to array of (field path, text) --------------------------
 
 
-def typed_strings(df: DataFrame, columns: list[str] | None = None) -> Column:
-    """All texts of the typed columns down to the depth limit, with paths."""
-    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+def typed_strings(df: DataFrame, columns: list[str] | None = None, doc: str | None = None) -> Column:
+    """All texts of the typed columns down to the depth limit, with paths.
+
+    With ``doc`` the document is the value of that struct column.
+    """
+    schema = df.schema if doc is None else df.schema[doc].dataType
+    fields = [(f, F.col(f"`{f.name}`") if doc is None else F.col(doc).getField(f.name)) for f in schema.fields]
+    fields = [(f, value) for f, value in fields if columns is None or f.name in columns]
     parts = []
-    for f in fields:
-        part = _walk(f.dataType, F.col(f"`{f.name}`"), F.lit(f.name), 1)
+    for f, value in fields:
+        part = _walk(f.dataType, value, F.lit(f.name), 1)
         if part is not None:
             parts.append(part)
     if not parts:
@@ -172,6 +177,12 @@ def text_matches(strings: Column, max_chars: int | None = None) -> Column:
     return F.flatten(F.transform(hit, lambda s: _by_label(s["field"], s["raw"])))
 
 
+def _present(names: list[str], get) -> Column:
+    """The suspicious ones of the field names that have a value."""
+    odd = [F.when(get(c).isNotNull(), F.lit(c)) for c in names if c.lower() in P.SUSPICIOUS_FIELDS]
+    return F.array_compact(F.array(*odd)) if odd else F.array()
+
+
 # --- scans ----------------------------------------------------------------------
 
 
@@ -182,20 +193,21 @@ def scan_threats(
     """Threat verdict per document.
 
     Typed frames are scanned over ``columns`` (default: all but the id);
-    dynamic documents over the variant column ``doc``.
+    with ``doc``, the document is that struct or variant column.
     """
     df = spread(df)
-    if doc is not None:
+    if doc is not None and isinstance(df.schema[doc].dataType, T.StructType):
+        names = df.schema[doc].dataType.fieldNames()
+        strings = typed_strings(df, columns, doc)
+        odd = _present(names, lambda c: F.col(doc).getField(c))
+    elif doc is not None:
         strings = variant_strings(doc)
         names = F.map_keys(F.try_variant_get(F.col(doc), "$", "map<string,variant>"))
         odd = F.filter(names, lambda n: F.lower(n).isin(P.SUSPICIOUS_FIELDS))
     else:
         scanned = [c for c in (columns or df.columns) if c != doc_id]
         strings = typed_strings(df, scanned)
-        present = [
-            F.when(F.col(f"`{c}`").isNotNull(), F.lit(c)) for c in scanned if c.lower() in P.SUSPICIOUS_FIELDS
-        ]
-        odd = F.array_compact(F.array(*present)) if present else F.array()
+        odd = _present(scanned, lambda c: F.col(f"`{c}`"))
     odd = F.coalesce(odd, F.array()).cast("array<string>")
     staged = df.select(
         doc_id, *(keep or []), text_matches(strings, max_chars).alias("matches"), odd.alias("suspicious_fields")

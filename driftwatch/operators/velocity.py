@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from driftwatch.functions import scores
 from driftwatch.functions.vectors import unit, unit_cosine_distance
 from driftwatch.operators.evaluate import evaluate
-from driftwatch.session import keys_of
+from driftwatch.session import bounded, keys_of
 
 # Smallest deviation and mean used as divisors, newest rows and
 # bucket size of the cold-start fallback.
@@ -158,7 +158,7 @@ def velocity_input(
         return df.filter(F.col(emb).isNotNull()).select(*columns)
 
     def rich(df: DataFrame) -> DataFrame:
-        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select(*keys)
+        return bounded(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select(*keys))
 
     now = _lookback(usable(live), ts, as_of, hours)
     past = _lookback(usable(history), ts, as_of, hours)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwatch.functions.text import strict_json
-from driftwatch.session import keys_of
+from driftwatch.session import keys_of, materialize
 
 # Change operations that carry a document.
 CHANGE_OPERATIONS = ["insert", "replace", "update"]
@@ -140,11 +140,23 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
     writer.parquet(path)
 
 
-def merge_keep_existing(path: str, new: DataFrame, key) -> None:
-    """Appends the rows whose key the table does not have yet."""
+def merge_keep_existing(path: str, new: DataFrame, key, within: str | None = None) -> None:
+    """Appends the rows whose key the table does not have yet.
+
+    ``within`` names a column of the key, such as a time: only stored rows
+    inside its range in ``new`` are read, so the cost of a merge follows the
+    batch and not the age of the table.
+    """
     spark = new.sparkSession
+    new = materialize(new)
     if table_exists(spark, path):
-        new = keep_existing(spark.read.parquet(path), new, key)
+        old = spark.read.parquet(path)
+        if within is not None:
+            low, high = new.agg(F.min(within), F.max(within)).first()
+            if low is None:
+                return
+            old = old.filter(F.col(within).between(F.lit(low), F.lit(high)))
+        new = keep_existing(old, new, key)
     else:
         new = new.dropDuplicates(keys_of(key))
     append(new, path)

@@ -42,7 +42,7 @@ def run(df: DataFrame, write=None) -> DataFrame:
 def stream_write_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir)
     stats = streams.write_stats_stream(events, "event_type", "ts", document_bytes(events))
-    out = run(stats, lambda sink: streams.keep_existing_sink(sink, ["event_type", "window_end"]))
+    out = run(stats, lambda sink: streams.keep_existing_sink(sink, ["event_type", "window_end"], "window_end"))
     return out.select(
         "event_type", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_count",
         F.round("mean_bytes", 6).alias("mean_bytes"), "max_bytes",

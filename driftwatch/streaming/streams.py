@@ -94,18 +94,18 @@ def start(df: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None
     return writer.start()
 
 
-def keep_existing_sink(path: str, key) -> Callable[[DataFrame, int], None]:
+def keep_existing_sink(path: str, key, within: str | None = None) -> Callable[[DataFrame, int], None]:
     """Batch writer that adds only keys the table does not have."""
-    return lambda batch, _: tables.merge_keep_existing(path, batch, key)
+    return lambda batch, _: tables.merge_keep_existing(path, batch, key, within)
 
 
 def anomaly_batch(
-    baselines: Callable[[], DataFrame], sink: str, key: str, doc_id: str, detected_at: str, size_columns: list[str] | None = None,
+    baselines: Callable[[], DataFrame], sink: str, key: str, doc_id: str, detected_at: str, size_columns: list[str] | None = None, doc: str | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """Batch writer of size anomalies; baselines are read anew per batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        size = document_bytes(batch, size_columns)
+        size = document_bytes(batch, size_columns, doc=doc)
         found = anomaly.size_anomalies(batch, baselines(), key, doc_id, F.col(detected_at), size)
         tables.append(found.withColumns({"processed": F.lit(False), "batch_id": F.lit(batch_id)}), sink)
 
@@ -114,7 +114,7 @@ def anomaly_batch(
 
 def enrich(
     anomalies: DataFrame, docs: DataFrame, doc_id: str, drift: DataFrame | None = None, velocity: DataFrame | None = None,
-    runways: DataFrame | None = None, columns: list[str] | None = None,
+    runways: DataFrame | None = None, columns: list[str] | None = None, doc: str | None = None,
 ) -> DataFrame:
     """Adds threat, drift, velocity and runway signals to anomalies.
 
@@ -125,7 +125,7 @@ def enrich(
     anomalies = materialize(anomalies)
     wanted = bounded(anomalies.select("document_id").distinct())
     flagged = docs.withColumn("document_id", F.col(doc_id).cast("string")).join(wanted, "document_id", "left_semi")
-    out = anomaly.escalate(anomalies, threats.scan_threats(flagged, "document_id", columns))
+    out = anomaly.escalate(anomalies, threats.scan_threats(flagged, "document_id", columns, doc))
     if drift is not None:
         out = out.join(drift.select("collection_name", F.col("drift_detected").alias("schema_drift")), "collection_name", "left")
     if velocity is not None:
@@ -143,7 +143,7 @@ def enrich(
 
 def incident_batch(
     baselines: Callable[[], DataFrame], counts: Callable[[], DataFrame], anomaly_sink: str, incident_sink: str, key: str,
-    doc_id: str, detected_at: str, columns: list[str],
+    doc_id: str, detected_at: str, columns: list[str] | None = None, doc: str | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """Batch writer of the main path: detect, scan, escalate, report.
 
@@ -152,10 +152,11 @@ def incident_batch(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        found = anomaly.size_anomalies(batch, baselines(), key, doc_id, F.col(detected_at), document_bytes(batch, columns))
-        enriched = enrich(found, batch, doc_id, columns=columns).persist()
-        tables.merge_keep_existing(anomaly_sink, enriched, ["collection_name", "document_id", "detected_at"])
-        tables.merge_keep_existing(incident_sink, incident.incident_reports(enriched, counts()), ["incident_id"])
+        found = anomaly.size_anomalies(batch, baselines(), key, doc_id, F.col(detected_at), document_bytes(batch, columns, doc=doc))
+        enriched = enrich(found, batch, doc_id, columns=columns, doc=doc).persist()
+        tables.merge_keep_existing(anomaly_sink, enriched, ["collection_name", "document_id", "detected_at"], "detected_at")
+        reports = incident.incident_reports(enriched, counts())
+        tables.merge_keep_existing(incident_sink, reports, ["incident_id", "detected_at"], "detected_at")
         enriched.unpersist()
         batch.unpersist()
 
