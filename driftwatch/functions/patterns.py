@@ -111,22 +111,23 @@ MATCH_WEIGHT, FIELD_WEIGHT = 0.35, 0.2
 CRITICAL_MATCHES, CRITICAL_CONFIDENCE = 2, 0.7
 
 # Literals implied by each pattern, in lower case: a matching text contains at
-# least one of every inner list. They only save regex work on clean texts.
+# least one of every inner list. They only save regex work on clean texts. The
+# short lists come first: they settle most texts with one search.
 REQUIRED_LITERALS = [
     [["ignore"]],
     [["forget"], ["everything", "all"]],
     [["disregard"]],
-    [["[sys", "<|system|>", "<system>", "<|im_start|>"]],
-    [["###", "prompt", "instruction"], [":"]],
+    [["[sys", "<|", "<system>"]],
+    [[":"], ["###", "prompt", "instruction"]],
     [["###"], ["system"]],
-    [["different", "evil", "unrestricted", "jailbroken", "unfiltered"], ["act"]],
-    [["free", "unrestricted", "liberated", "dan", "gpt", "claude", "gemini"], ["you"], ["now", "henceforth"]],
-    [["anything", "dan", "developer", "jailbreak"], ["now", "mode", "jailbreak"]],
+    [["act"], ["different", "evil", "unrestricted", "jailbroken", "unfiltered"]],
+    [["you"], ["now", "henceforth"], ["free", "unrestricted", "liberated", "dan", "gpt", "claude", "gemini"]],
+    [["now", "mode", "jailbreak"], ["anything", "dan", "developer", "jailbreak"]],
     [["prompt", "instruction", "context", "message"], ["system", "initial", "hidden", "original", "first"]],
-    [["asked", "receives", "processes", "answers"], ["when"]],
+    [["when"], ["asked", "receives", "processes", "answers"]],
     [["asked", "respond"], ["next", "from now on", "whenever", "every time"]],
-    [["create_index", "drop_collection", "delete"], ["call"]],
-    [["code", "command", "query", "script"], ["execute", "run", "invoke"], [":"]],
+    [["call"], ["create_index", "drop_collection", "delete"]],
+    [[":"], ["execute", "run", "invoke"], ["code", "command", "query", "script"]],
 ]
 # The four non-ASCII letters that match an ASCII letter when case is ignored.
 FOLDED_FROM, FOLDED_TO = "\u017f\u212a\u0131\u0130", "skii"

@@ -230,15 +230,15 @@ def size_stats(df: DataFrame, key, size: Column | None = None) -> DataFrame:
 # --- fields and types ------------------------------------------------------
 
 
-def variant_type(value: str, names: dict[str, str]) -> Column:
-    """Type name of a variant column; the null value has a name of its own."""
-    head = F.regexp_extract(F.schema_of_variant(F.col(value)), "^[A-Z_]+", 0)
+def _type_head(value: Column) -> Column:
+    """First word of a variant's type, such as ARRAY or DECIMAL."""
+    text = F.schema_of_variant(value)
+    return F.substring_index(F.substring_index(text, "<", 1), "(", 1)
+
+
+def _named(head: Column, names: dict[str, str]) -> Column:
     mapping = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    name = F.coalesce(mapping[head], F.lower(head))
-    if names is STORE_TYPES:
-        fits = F.try_variant_get(F.col(value), "$", "int").isNotNull()
-        name = F.when((head == "BIGINT") & fits, F.lit("int")).otherwise(name)
-    return name
+    return F.coalesce(mapping[head], F.lower(head))
 
 
 def spark_type(data_type: T.DataType, names: dict[str, str]) -> str:
@@ -262,7 +262,7 @@ def _field_rows(df: DataFrame, keys: list[str], doc: str | None, order: str) ->
             *keys, "ord", F.col("m.key").alias("field"), F.col("m.value").alias("value")
         )
         text = F.substring(F.col("value").cast("string"), 1, 100)
-        return rows.select(*keys, "field", variant_type("value", CLIENT_TYPES).alias("type"), "ord", text.alias("text"))
+        return rows.select(*keys, "field", _named(_type_head(F.col("value")), CLIENT_TYPES).alias("type"), "ord", text.alias("text"))
     cells = [
         F.when(
             F.col(f"`{f.name}`").isNotNull(),
@@ -291,8 +291,13 @@ def _field_counts(df: DataFrame, keys: list[str], doc: str | None, names: dict[s
         rows = df.select(*keys, F.explode(members).alias("m")).select(
             *keys, F.col("m.key").alias("field"), F.col("m.value").alias("value")
         )
-        typed = rows.select(*keys, "field", variant_type("value", names).alias("type"))
-        return typed.groupBy(*keys, "field", "type").agg(F.count(F.lit(1)).alias("n"))
+        head = _type_head(F.col("value"))
+        if names is STORE_TYPES:
+            small = F.try_variant_get(F.col("value"), "$", "int").isNotNull()
+            head = F.when((head == "BIGINT") & small, F.lit("INT")).otherwise(head)
+        # names are given after counting, once per group instead of per value
+        counted = rows.select(*keys, "field", head.alias("head")).groupBy(*keys, "field", "head").agg(F.count(F.lit(1)).alias("n"))
+        return counted.select(*keys, "field", _named(F.col("head"), names).alias("type"), "n")
     fields = [f for f in df.schema.fields if f.name not in keys]
     counts = df.groupBy(*keys).agg(*[F.count(F.col(f"`{f.name}`")).alias(f"_{i}") for i, f in enumerate(fields)])
     cells = [

@@ -120,7 +120,8 @@ def _children(node: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """Lower case, with the letters that fold to ASCII replaced by them."""
-    return F.lower(F.translate(text, P.FOLDED_FROM, P.FOLDED_TO))
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.lower(F.when(ascii_only, text).otherwise(F.translate(text, P.FOLDED_FROM, P.FOLDED_TO)))
 
 
 def _may_match(folded: Column, required: list[list[str]]) -> Column:
@@ -128,10 +129,18 @@ def _may_match(folded: Column, required: list[list[str]]) -> Column:
 
 
 def _raw_matches(text: Column, folded: Column) -> Column:
-    """One text per pattern: its first match, empty or null if there is none."""
+    """One text per pattern: its first match, or null if there is none.
+
+    Literals are looked up first, then the lower-case pattern in the folded
+    text, which matches exactly where the pattern does when case is ignored;
+    only texts with a match pay for finding it with case.
+    """
     return F.array(
         *[
-            F.when(_may_match(folded, required), F.regexp_extract(text, f"(?iU){pattern}", 0))
+            F.when(
+                _may_match(folded, required) & folded.rlike(f"(?U){pattern.lower()}"),
+                F.regexp_extract(text, f"(?iU){pattern}", 0),
+            )
             for (_, pattern, _), required in zip(P.INJECTION_PATTERNS, P.REQUIRED_LITERALS)
         ]
     )

@@ -1,14 +1,12 @@
 """Semantic velocity: how fast the hourly mean embedding of a key moves.
 
-Vectors are averaged per (key, hour) with a mergeable vector mean, so raw
-vectors never travel further than their map task and a hot key or hour is
-combined before the shuffle. All later steps see one row per key and hour.
+Vectors are averaged per (key, hour, position), so raw vectors never travel
+further than their map task and a hot key or hour is combined before the
+shuffle. All later steps see one row per key and hour.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,14 +22,30 @@ RECENT_ROWS, RECENT_BUCKET = 60, 8
 
 
 def hourly_centroids(df: DataFrame, key, ts: str, emb: str) -> DataFrame:
-    """Unit mean vector per (key, hour); vectors of unequal length fail."""
+    """Unit mean vector per (key, hour); vectors of unequal length fail.
+
+    Components are averaged by (key, hour, position) in generated code and
+    combined on the map side. Only the means are put together again, one per
+    dimension and hour.
+    """
     keys = keys_of(key)
     usable = df.filter(F.col(ts).isNotNull() & (F.size(F.coalesce(F.col(emb), F.array())) > 0))
+    means = (
+        usable.select(*keys, scores.hour_key(F.col(ts)).alias("hour"), F.posexplode(emb).alias("pos", "x"))
+        .groupBy(*keys, "hour", "pos")
+        .agg(F.avg(F.col("x").cast("double")).alias("m"), F.count(F.lit(1)).alias("n"))
+    )
+    # every vector has a first position, so counts differ only if lengths do
+    same = F.min("n") == F.max("n")
     return (
-        usable.select(*keys, scores.hour_key(F.col(ts)).alias("hour"), array_to_vector(F.col(emb)).alias("v"))
-        .groupBy(*keys, "hour")
-        .agg(Summarizer.mean(F.col("v")).alias("m"), F.count(F.lit(1)).alias("docs"))
-        .select(*keys, "hour", "docs", unit(vector_to_array("m")).alias("centroid"))
+        means.groupBy(*keys, "hour")
+        .agg(
+            F.when(same, F.max("n"))
+            .otherwise(F.raise_error(F.lit("vectors of unequal length within an hour")).cast("long"))
+            .alias("docs"),
+            F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda c: c["m"]).alias("mean"),
+        )
+        .select(*keys, "hour", "docs", unit(F.col("mean")).alias("centroid"))
     )
 
 
