@@ -46,6 +46,11 @@ def has_field(column: Column) -> Column:
     return column.isNotNull()
 
 
+def has_path(doc: str, path: str) -> Column:
+    """The variant document has a value at the path; a null counts as one."""
+    return F.try_variant_get(F.col(doc), path, "variant").isNotNull()
+
+
 def not_equal(column: Column, value) -> Column:
     """Not equal, where a missing value also counts as not equal."""
     return ~column.eqNullSafe(F.lit(value))
@@ -100,6 +105,11 @@ def incident_list(incidents: DataFrame, n: int | None = None) -> DataFrame:
     )
 
 
+def cluster_list(clusters: DataFrame, n: int | None = None) -> DataFrame:
+    """Newest cluster events."""
+    return newest(clusters, "created_at", "collection_key", "tool_clusters", n)
+
+
 def anomaly_check(velocity: DataFrame, key: str) -> DataFrame:
     """Short verdict per key from its velocity."""
     return velocity.select(

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwatch.session import keys_of, materialize
+from driftwatch.session import estimated_bytes, keys_of, materialize
 
 State = list[int]
 Fold = Callable[[State, np.ndarray, np.ndarray], tuple[State, np.ndarray]]
@@ -36,6 +36,8 @@ REFIRE_SECONDS = 3600
 THROTTLE_SECONDS = 300
 RATE_LIMIT, RATE_SECONDS = 60, 60
 CIRCUIT_FAILURES, CIRCUIT_SECONDS = 3, 60
+# Small inputs make few chunks: one per this many estimated bytes.
+CHUNK_BYTES = 1024 * 1024
 
 
 def refire_fold(seconds: int = REFIRE_SECONDS) -> Fold:
@@ -117,13 +119,15 @@ def fold_events(
     """
     keys = keys_of(key)
     spark = df.sparkSession
-    n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [*keys, "_t", tie]
     mark = F.coalesce(F.col(flag), F.lit(False)) if flag else F.lit(False)
+    rows = df.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), tie, mark.alias("_f"))
+    if chunks is None:
+        most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        chunks = min(most, 1 + estimated_bytes(rows) // CHUNK_BYTES)
     laid = materialize(
-        df.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), tie, mark.alias("_f"))
-        .filter(F.col("_t").isNotNull())
-        .repartitionByRange(n, *order)
+        rows.filter(F.col("_t").isNotNull())
+        .repartitionByRange(chunks, *order)
         .sortWithinPartitions(*order)
         .withColumn("_chunk", F.spark_partition_id())
     )

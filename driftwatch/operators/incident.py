@@ -199,6 +199,12 @@ def with_counts(anomalies: DataFrame, counts: DataFrame) -> DataFrame:
     return anomalies.join(side, "collection_name", "left")
 
 
+def with_size_context(anomalies: DataFrame, stats: DataFrame, key: str) -> DataFrame:
+    """Adds the mean and largest size of the anomaly's collection."""
+    side = bounded(stats.select(F.col(key).alias("collection_name"), "mean_kb", "max_kb"))
+    return anomalies.join(side, "collection_name", "left")
+
+
 def dollar_impact(anomalies: DataFrame, counts: DataFrame) -> DataFrame:
     """Adds the cost columns; collections without a count use 10 000 rows."""
     joined = with_counts(anomalies, counts)

@@ -29,6 +29,7 @@ from driftwatch.session import bounded, keys_of, materialize
 MATCHES, CANDIDATES, DEFAULT_MINUTES = 3, 60, 30
 # Memory of one block of vectors inside a task.
 BLOCK_BYTES = 32 * 1024 * 1024
+MIN_BLOCK_ROWS = 256
 # List of the newest incidents of any type, for types without a history.
 ANY_TYPE = "*"
 
@@ -62,7 +63,7 @@ def nearest(
         widest = h.agg(F.max(F.size("hv")).alias("d")).first()["d"]
         rows_per_block = block_rows(widest or 1)
     n_q = max(1, ceil(q.count() / rows_per_block))
-    n_h = max(1, ceil(h.count() / rows_per_block), _parallelism(history) // n_q)
+    n_h = _history_blocks(h, h.count(), n_q, rows_per_block)
     left = _blocks(q, "q", "qb", "hb", n_q, n_h)
     right = _blocks(h, "h", "hb", "qb", n_h, n_q)
     types = dict(q.dtypes), dict(h.dtypes)
@@ -115,9 +116,11 @@ def _top(scores: np.ndarray, k: int, usable: np.ndarray | None) -> np.ndarray:
     return places[scores[places] > -np.inf]
 
 
-def _parallelism(df: DataFrame) -> int:
-    """Blocks that keep every core busy when the history fits in few blocks."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _history_blocks(h: DataFrame, rows: int, n_q: int, rows_per_block: int) -> int:
+    """Enough blocks for the memory bound, and for all tasks to have work."""
+    tasks = int(h.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    busy = min(tasks // n_q, rows // MIN_BLOCK_ROWS)
+    return max(1, ceil(rows / rows_per_block), busy)
 
 
 def _unit_rows(vectors: pd.Series) -> np.ndarray:

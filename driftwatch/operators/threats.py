@@ -115,6 +115,14 @@ def _children(node: Column) -> Column:
     )
 
 
+def document_strings(df: DataFrame, doc_id: str, doc: str | None = None, columns: list[str] | None = None) -> DataFrame:
+    """The walk as rows (id, field, text)."""
+    dynamic = doc is not None and not isinstance(df.schema[doc].dataType, T.StructType)
+    names = columns or [c for c in df.columns if c != doc_id]
+    strings = variant_strings(doc) if dynamic else typed_strings(df, None if doc else names, doc)
+    return df.select(doc_id, F.inline(strings))
+
+
 # --- tests on one text --------------------------------------------------------
 
 

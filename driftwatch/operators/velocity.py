@@ -192,6 +192,14 @@ def velocity_input(
     return rows.join(enough, keys, "left_semi").unionByName(synthetic)
 
 
+def series_zscores(df: DataFrame, key, value: str) -> DataFrame:
+    """Adds the population z-score of each point within its whole series."""
+    keys = keys_of(key)
+    stats = bounded(df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd")))
+    z = F.when(F.col("_sd") > 0, (F.col(value) - F.col("_mean")) / F.col("_sd")).otherwise(F.lit(0.0))
+    return df.join(stats, keys).withColumn("z", z).drop("_mean", "_sd")
+
+
 def peak_zscore(df: DataFrame, key, order: str, value: str) -> DataFrame:
     """Largest absolute population z-score of each series and where it is.
 

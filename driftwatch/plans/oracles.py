@@ -500,8 +500,25 @@ ORACLES["merge_keep_existing"] = """SELECT DISTINCT user_id, CAST(event_id % 30
 ORACLES["delete_where"] = """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 2 = 0 END AS tag FROM events WHERE event_id % 3 = 0 OR event_id % 2 = 1"""
 ORACLES["dead_letter"] = """SELECT event_id, CASE WHEN event_id % 50 = 0 THEN props || '}' WHEN event_id % 50 = 1 THEN NULL ELSE props END AS props,
  CASE WHEN event_id % 50 < 2 THEN 'JSONDecodeError' END AS error_type, CASE event_id % 50 WHEN 0 THEN 'not valid JSON' WHEN 1 THEN '(no message)' END AS error_message FROM events"""
+ORACLES["shorten"] = """SELECT doc_id, CAST(CASE WHEN length(CAST(json_object('text', text) AS STRING)) > 2000 AND length(text) > 300 THEN 312 ELSE length(text) END AS INT) AS kept, n_chars FROM documents"""
 ORACLES["duplicate_keys"] = f"SELECT vec_id, {DUP_KEY} AS dup_key FROM embeddings"
 
+ORACLES["size_context"] = f"""WITH {anomalies_of("documents")}, st AS ({ORACLES["size_stats"]}) SELECT document_id, lang AS collection_name, mean_kb, max_kb FROM found JOIN st USING (lang)"""
+ORACLES["series_zscores"] = """SELECT event_id, round((value - avg(value) OVER w) / stddev_pop(value) OVER w, 6) AS z FROM events WINDOW w AS (PARTITION BY event_type)"""
+ORACLES["document_strings"] = """SELECT event_id, 'user' AS field, 'u' || user_id AS text FROM events WHERE user_id % 7 = 0
+ UNION ALL SELECT event_id, 'tags[0]', 'a' FROM events WHERE event_id % 5 = 0 UNION ALL SELECT event_id, 'tags[1]', 'b' FROM events WHERE event_id % 5 = 0"""
+ORACLES["fields_present"] = """SELECT event_type, count(*) FILTER (event_id % 11 = 0) AS with_note, count(*) FILTER (event_type IN ('click', 'error') AND event_id % 3 = 0) AS with_lat,
+ count(*) FILTER (event_id % 5 != 0) AS without_tag FROM events GROUP BY 1"""
+ORACLES["cosine_distances"] = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a,
+  list_transform(embedding, lambda x, i: CASE WHEN i % 2 = 1 THEN -CAST(x AS DOUBLE) ELSE CAST(x AS DOUBLE) END) AS b FROM embeddings)
+ SELECT vec_id, round(1 - list_inner_product(a, b) / list_inner_product(a, a), 6) AS flipped, 0e0 AS zero FROM e"""
+ORACLES["correlated_events"] = f"""WITH t AS (SELECT {I.COLLECTION_OF_EVENT} AS c, ts FROM events ORDER BY events.ts DESC, c LIMIT 100)
+ SELECT array_to_string(list_sort(list(DISTINCT c)), '|') AS collection_key, arg_min(c, {{'t': ts, 'c': c}}) AS patient_zero, count(*) AS n_anomalies,
+ round(count(DISTINCT c) / 6e0, 3) AS confidence, CASE WHEN count(DISTINCT c) / 6e0 >= 0.7 THEN 'CRITICAL' ELSE 'WARNING' END AS severity, '{I.AS_OF}' AS window_end FROM t"""
+ORACLES["cluster_list"] = f"""WITH {WINDOWS} SELECT collection_key, strftime(e, {STAMP}) AS created_at, severity FROM cw ORDER BY cw.e DESC, collection_key DESC LIMIT 10"""
+ORACLES["incident_list"] = f"""WITH {COUNTED}, {cost('ac')} SELECT document_id AS incident_id, collection_name, {TITLE} AS title, per_minute_usd FROM ct ORDER BY detected_at DESC, document_id DESC LIMIT 10"""
+ORACLES["span_tool_calls"] = f"WITH {TRACE} SELECT incident_id, agent, tool_name AS name, at_ms FROM tr WHERE tool_name IS NOT NULL"
+
 # --- streams ---------------------------------------------------------------------------------------------------------------------
 
 ORACLES["stream_write_stats"] = f"""WITH {windows('60 seconds')} SELECT event_type, strftime(window_start, {STAMP}) AS window_start, event_count, round(mean_bytes, 6) AS mean_bytes, max_bytes
@@ -509,3 +526,7 @@ ORACLES["stream_write_stats"] = f"""WITH {windows('60 seconds')} SELECT event_ty
 ORACLES["stream_refires"] = ORACLES["suppress_refires"]
 ORACLES["stream_changes"] = """SELECT event_id, CASE event_type WHEN 'click' THEN 'replace' WHEN 'error' THEN 'update' ELSE 'insert' END AS op, props AS doc
  FROM events WHERE event_type != 'view' AND event_id % 10 != 0"""
+ORACLES["stream_rate_limit"] = ORACLES["rate_limit"]
+ORACLES["stream_correlation"] = f"""WITH {WINDOWS} SELECT strftime(s, {STAMP}) AS window_start, collection_key, patient_zero, n_anomalies, severity
+ FROM cw WHERE e <= (SELECT max(ts) - INTERVAL 5 MINUTES FROM events)"""
+ORACLES["stream_anomalies"] = f"""WITH {anomalies_of("documents")} SELECT lang AS collection_name, document_id, round(z, 3) AS z_score, severity FROM found"""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftwatch.functions import text as tx
+from driftwatch.functions import vectors
 from driftwatch.functions.sizes import document_bytes
 from driftwatch.operators import (
     anomaly,
@@ -847,6 +848,67 @@ def duplicate_keys(spark, sf):
     return h.select("vec_id", tx.duplicate_key(F.col("anomaly_type"), F.col("description")).alias("dup_key"))
 
 
+@query
+def size_context(spark, sf):
+    docs = I.table(spark, sf, "documents")
+    c = incident.with_size_context(document_anomalies(spark, sf), profile.size_stats(docs, "lang"), "lang")
+    return c.select("document_id", "collection_name", "mean_kb", "max_kb")
+
+
+@query
+def series_zscores(spark, sf):
+    z = velocity.series_zscores(I.table(spark, sf, "events").select("event_id", "event_type", "value"), "event_type", "value")
+    return z.select("event_id", r6("z"))
+
+
+@query
+def document_strings(spark, sf):
+    w = threats.document_strings(I.event_docs(spark, sf), "event_id", "doc")
+    return w.select("event_id", "field", "text")
+
+
+@query
+def fields_present(spark, sf):
+    d = I.event_docs(spark, sf)
+    return d.groupBy("event_type").agg(
+        F.count_if(feed.has_path("doc", "$.note")).alias("with_note"), F.count_if(feed.has_path("doc", "$.geo.lat")).alias("with_lat"),
+        F.count_if(~feed.has_path("doc", "$.tags[1]")).alias("without_tag"),
+    )
+
+
+@query
+def cosine_distances(spark, sf):
+    v = I.table(spark, sf, "embeddings")
+    flipped = F.transform("embedding", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x))
+    none = F.transform("embedding", lambda x: x * 0)
+    return v.select("vec_id", F.round(vectors.cosine_distance(F.col("embedding"), flipped), 6).alias("flipped"), vectors.cosine_distance(F.col("embedding"), none).alias("zero"))
+
+
+@query
+def correlated_events(spark, sf):
+    """The look-back before ``as_of`` covers the whole table."""
+    c = correlate.correlated_events(_event_anomalies(spark, sf), I.as_of(), I.MONITORED, minutes=60 * 24 * 60)
+    return c.select("collection_key", "patient_zero", "n_anomalies", "confidence", "severity", iso("window_end"))
+
+
+@query
+def cluster_list(spark, sf):
+    w = correlate.correlation_windows(_event_anomalies(spark, sf), I.MONITORED).withColumn("created_at", F.col("window_end"))
+    return feed.cluster_list(w, 99).select("collection_key", iso("created_at"), "severity")
+
+
+@query
+def incident_list(spark, sf):
+    a = I.named_anomalies(spark, sf)
+    r = incident.incident_reports(a, _counts(a)).withColumns({"incident_id": F.col("document_id"), "created_at": F.col("detected_at")})
+    return feed.incident_list(r).select("incident_id", "collection_name", F.col("top_remediation.title").alias("title"), "per_minute_usd")
+
+
+@query
+def span_tool_calls(spark, sf):
+    return audit.span_tool_calls(_trace(spark, sf))
+
+
 # --- streams run to the end of the table ---------------------------------------------------------------------------------------
 
 

@@ -21,6 +21,8 @@ def get_spark(app: str = "driftwatch", cores: str = "*", **conf: str) -> SparkSe
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # call sites of every Column call are costly to record for large expressions
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for name, value in conf.items():
         builder = builder.config(name, value)
@@ -62,6 +64,11 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return stored
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of the rows; runs no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Gives a small input to all cores before CPU-heavy row work.
 
@@ -74,8 +81,7 @@ def spread(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < split * cores / 2 else df
+    return df.repartition(cores) if estimated_bytes(df) < split * cores / 2 else df
 
 
 def keys_of(key: str | list[str] | tuple[str, ...]) -> list[str]:

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwatch.functions.sizes import document_bytes
-from driftwatch.operators import folds
+from driftwatch.operators import folds, profile
+from driftwatch.plans.inputs import COLLECTION_OF_EVENT, MONITORED, as_of
 from driftwatch.session import checkpoint_dir
 from driftwatch.sources import tables
 from driftwatch.streaming import streams
@@ -63,4 +64,29 @@ def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(tables.changes(log))
 
 
-QUERIES = {f.__name__: f for f in (stream_write_stats, stream_refires, stream_changes)}
+def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = streams.fold_stream(_events(spark, sf_dir), "user_id", "ts", "event_id", folds.rate_limit_fold(3, 86400), "admitted")
+    return run(out).select("user_id", "event_id", "admitted")
+
+
+def stream_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = _events(spark, sf_dir).select(F.expr(COLLECTION_OF_EVENT).alias("collection_name"), F.col("ts").alias("detected_at"))
+    out = run(streams.correlation_stream(named, len(MONITORED)))
+    return out.select(
+        F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "collection_key", "patient_zero", "n_anomalies", "severity"
+    )
+
+
+def stream_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size anomalies of a document stream against a stored baseline."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    base = profile.size_baseline(docs, "lang")
+    batch = lambda sink: streams.anomaly_batch(lambda: base, sink, "lang", "doc_id", "ts", docs.columns)
+    out = run(stream.withColumn("ts", as_of()), batch)
+    return out.select("collection_name", "document_id", "z_score", "severity")
+
+
+QUERIES = {f.__name__: f for f in (
+    stream_write_stats, stream_refires, stream_changes, stream_rate_limit, stream_correlation, stream_anomalies,
+)}
