@@ -1,12 +1,14 @@
 """Similar incidents: exact k-nearest search by cosine, near-duplicate
 collapse, and text search through a pluggable embedder.
 
-The search is a block join. Queries and history are each split into blocks by
-a hash of their id, every pair of blocks meets in one task as two matrices,
-and only the best ``k`` per query and block leave the task. Block sizes come
-from counted rows, so no task or driver ever holds an unbounded side and no
-pair list is produced. Equality columns (pre-filters) become part of the block
-key, so only rows that agree on them meet.
+The search is a block join. Queries that fit one block (32 MB of vectors, by
+counted rows) are sent to all tasks, and the history is read once where it
+lies, without a shuffle. More queries are split into blocks by a hash of their
+id, and so is the history; every pair of blocks meets in one task as two
+matrices. Only the best ``k`` per query leave a task, so no task or driver ever
+holds an unbounded side and no pair list is produced. In the block join,
+equality columns (pre-filters) become part of the block key, so only rows that
+agree on them meet.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwatch.functions.text import duplicate_key
-from driftwatch.session import bounded, keys_of, materialize
+from driftwatch.session import bounded, keys_of, materialize, spread
 
 # Matches returned, candidates ranked before the collapse,
 # default resolution time.
@@ -62,11 +64,78 @@ def nearest(
     if rows_per_block is None:
         widest = h.agg(F.max(F.size("hv")).alias("d")).first()["d"]
         rows_per_block = block_rows(widest or 1)
+    types = dict(q.dtypes), dict(h.dtypes)
+    schema = f"q {types[0]['q']}, h {types[1]['h']}, score double"
     n_q = max(1, ceil(q.count() / rows_per_block))
+    if n_q == 1:
+        found = _scan(q, h, same, k, exclude_same, schema)
+    else:
+        found = _block_join(q, h, same, k, exclude_same, schema, n_q, rows_per_block)
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "h")
+    return (
+        found.withColumn("rank", F.row_number().over(order))
+        .filter(F.col("rank") <= k)
+        .select(F.col("q").alias(query_id if query_id != history_id else "query_id"), F.col("h").alias(history_id), "score", "rank")
+    )
+
+
+def _scan(q: DataFrame, h: DataFrame, same: list[str], k: int, exclude_same: bool, schema: str) -> DataFrame:
+    """One pass over the history against one block of queries."""
+    rows = q.collect()  # one block of vectors at most
+    ids = np.array([r["q"] for r in rows] + [None], dtype=object)[:-1]
+    wanted = [[r[c] for r in rows] for c in same]
+    targets = _unit_rows(pd.Series([np.asarray(r["qv"], dtype=float) for r in rows])) if rows else None
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        top = [(np.array([], dtype=object), np.array([])) for _ in ids]
+        for pdf in batches:
+            if pdf.empty or targets is None:
+                continue
+            pdf = pdf.sort_values("h", kind="stable")
+            names, vectors = pdf["h"].to_numpy(dtype=object), _unit_rows(pdf["hv"])
+            columns = [pdf[c].to_numpy(dtype=object) for c in same]
+            for start in range(0, len(ids), 256):
+                block = np.round(np.clip(targets[start : start + 256] @ vectors.T, -1.0, 1.0), 6)
+                for i, row in enumerate(block, start):
+                    if exclude_same:
+                        row = np.where(names != ids[i], row, -np.inf)
+                    for column, value in zip(columns, wanted):
+                        row = np.where(column == value[i], row, -np.inf)
+                    if len(top[i][1]) >= k:
+                        # only scores that reach the k-th best so far compete
+                        reach = np.flatnonzero(row >= top[i][1][-1])
+                        if not len(reach):
+                            continue
+                        places = reach[_top(row[reach], k)]
+                    else:
+                        places = _top(row, k)
+                    top[i] = _merge(top[i], names[places], row[places], k)
+        yield _frame([np.full(len(t[0]), i, dtype=object) for i, t in zip(ids, top)], [t[0] for t in top], [t[1] for t in top])
+
+    return spread(h).mapInPandas(best, schema)
+
+
+def _merge(old: tuple, names: np.ndarray, scores: np.ndarray, k: int) -> tuple:
+    """The ``k`` best of two short lists; of equal scores the smaller ids."""
+    names, scores = np.concatenate([old[0], names]), np.concatenate([old[1], scores])
+    order = sorted(range(len(scores)), key=lambda j: (-scores[j], names[j]))[:k]
+    return names[order], scores[order]
+
+
+def _frame(ids: list, hits: list, scores: list) -> pd.DataFrame:
+    ids, hits, scores = (np.concatenate(x) if x else np.array([], dtype=object) for x in (ids, hits, scores))
+    return pd.DataFrame(
+        {"q": pd.Series(ids, dtype=object), "h": pd.Series(hits, dtype=object), "score": pd.Series(scores, dtype=float)}
+    )
+
+
+def _block_join(
+    q: DataFrame, h: DataFrame, same: list[str], k: int, exclude_same: bool, schema: str, n_q: int, rows_per_block: int
+) -> DataFrame:
+    """Every block of queries against every block of the history."""
     n_h = _history_blocks(h, h.count(), n_q, rows_per_block)
     left = _blocks(q, "q", "qb", "hb", n_q, n_h)
     right = _blocks(h, "h", "hb", "qb", n_h, n_q)
-    types = dict(q.dtypes), dict(h.dtypes)
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         ids, hits, scores = [], [], []
@@ -77,36 +146,19 @@ def nearest(
                 part = a.iloc[start : start + 256]
                 block = np.round(np.clip(_unit_rows(part["qv"]) @ vectors.T, -1.0, 1.0), 6)
                 for qid, row in zip(part["q"].to_numpy(dtype=object), block):
-                    chosen = _top(row, k, names != qid if exclude_same else None)
+                    chosen = _top(np.where(names != qid, row, -np.inf) if exclude_same else row, k)
                     ids.append(np.full(len(chosen), qid, dtype=object))
                     hits.append(names[chosen])
                     scores.append(row[chosen])
-        whole = [np.concatenate(x) if x else np.array([], dtype=object) for x in (ids, hits, scores)]
-        return pd.DataFrame(
-            {
-                "q": pd.Series(whole[0], dtype=object),
-                "h": pd.Series(whole[1], dtype=object),
-                "score": pd.Series(whole[2], dtype=float),
-            }
-        )
-
-    found = (
-        left.groupBy("qb", "hb", *same)
-        .cogroup(right.groupBy("qb", "hb", *same))
-        .applyInPandas(best, f"q {types[0]['q']}, h {types[1]['h']}, score double")
-    )
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "h")
+        return _frame(ids, hits, scores)
+
     return (
-        found.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select(F.col("q").alias(query_id if query_id != history_id else "query_id"), F.col("h").alias(history_id), "score", "rank")
+        left.groupBy("qb", "hb", *same).cogroup(right.groupBy("qb", "hb", *same)).applyInPandas(best, schema)
     )
 
 
-def _top(scores: np.ndarray, k: int, usable: np.ndarray | None) -> np.ndarray:
-    """Places of the ``k`` best scores; of equal ones the earlier places."""
-    if usable is not None:
-        scores = np.where(usable, scores, -np.inf)
+def _top(scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` best finite scores; of equal ones the earlier places."""
     if len(scores) > k:
         # rows that tie with the k-th best all compete for the last places
         places = np.flatnonzero(scores >= np.partition(scores, -k)[-k])

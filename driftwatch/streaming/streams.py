@@ -107,7 +107,8 @@ def anomaly_batch(
     def write(batch: DataFrame, batch_id: int) -> None:
         size = document_bytes(batch, size_columns, doc=doc)
         found = anomaly.size_anomalies(batch, baselines(), key, doc_id, F.col(detected_at), size)
-        tables.append(found.withColumns({"processed": F.lit(False), "batch_id": F.lit(batch_id)}), sink)
+        rows = found.withColumns({"processed": F.lit(False), "batch_id": F.lit(batch_id)})
+        tables.merge_keep_existing(sink, rows, ["collection_name", "document_id", "detected_at"], "detected_at")
 
     return write
 
