@@ -33,8 +33,10 @@ def document_bytes(
 ) -> Column:
     """Size of each row as a document made of ``columns`` (default: all).
 
-    With ``doc`` the document is the value of that struct column.
+    With ``doc`` the document is the value of that struct or variant column.
     """
+    if doc is not None and isinstance(df.schema[doc].dataType, T.VariantType):
+        return variant_bytes(F.col(f"`{doc}`"))
     if doc is not None:
         return _value(df.schema[doc].dataType, F.col(f"`{doc}`"), null_as)
     wanted = set(columns) if columns is not None else None
@@ -110,3 +112,58 @@ def _map(data_type: T.MapType, value: Column, null_as: str) -> Column:
         ),
     )
     return DOCUMENT_OVERHEAD + F.aggregate(sizes, F.lit(0).cast("long"), lambda a, b: a + b)
+
+
+def variant_bytes(doc: Column, max_depth: int = 16) -> Column:
+    """Size of a dynamic document.
+
+    A document's size is the sum of what each node adds by itself, so the
+    nodes are summed level by level. Deeper documents than ``max_depth`` fail
+    rather than count short.
+    """
+    zero = F.lit(0).cast("long")
+
+    def level(acc: Column, _: Column) -> Column:
+        added = F.aggregate(acc["nodes"], zero, lambda a, n: a + ELEMENT_OVERHEAD + n["name"] + _own_bytes(n["v"]))
+        return F.struct((acc["total"] + added).alias("total"), _members(acc["nodes"]).alias("nodes"))
+
+    root = F.array(F.struct(zero.alias("name"), doc.alias("v")))
+    start = F.struct(F.lit(DOCUMENT_OVERHEAD).cast("long").alias("total"), _members(root).alias("nodes"))
+    whole = F.aggregate(
+        F.sequence(F.lit(1), F.lit(max_depth)),
+        start,
+        level,
+        lambda acc: F.when(F.size(acc["nodes"]) == 0, acc["total"]).otherwise(
+            F.raise_error(F.lit(f"document deeper than {max_depth} levels")).cast("long")
+        ),
+    )
+    return F.when(doc.isNotNull(), whole)
+
+
+def _members(nodes: Column) -> Column:
+    """The children of all containers: (bytes of the name, value)."""
+
+    def one(n: Column) -> Column:
+        fields = F.map_entries(F.try_variant_get(n["v"], "$", "map<string,variant>"))
+        items = F.try_variant_get(n["v"], "$", "array<variant>")
+        named = F.transform(fields, lambda e: F.struct(F.octet_length(e["key"]).cast("long").alias("name"), e["value"].alias("v")))
+        listed = F.transform(
+            items, lambda x, i: F.struct(F.length(i.cast("string")).cast("long").alias("name"), x.alias("v"))
+        )
+        return F.coalesce(named, listed)
+
+    return F.flatten(F.filter(F.transform(nodes, one), lambda c: c.isNotNull()))
+
+
+def _own_bytes(value: Column) -> Column:
+    head = F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
+    whole = F.when(F.try_variant_get(value, "$", "int").isNotNull(), F.lit(4)).otherwise(F.lit(8))
+    return (
+        F.when(head == "STRING", 5 + F.octet_length(F.try_variant_get(value, "$", "string")))
+        .when(head == "BIGINT", whole)
+        .when(head == "BOOLEAN", F.lit(1))
+        .when(head == "VOID", F.lit(0))
+        .when(head.isin("OBJECT", "ARRAY"), F.lit(DOCUMENT_OVERHEAD))
+        .otherwise(F.lit(8))
+        .cast("long")
+    )

@@ -58,11 +58,13 @@ def size_histogram(df: DataFrame, key, size: Column | None = None) -> DataFrame:
     """Rows (key, bytes, n): one scan and one map-combined shuffle."""
     keys = keys_of(key)
     size = document_bytes(df) if size is None else size
+    # the group of missing sizes counts 0; a filter on the size itself would be
+    # pushed down and have every size computed twice
     return (
         df.select(*keys, size.cast("long").alias("bytes"))
-        .filter(F.col("bytes").isNotNull())
         .groupBy(*keys, "bytes")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count("bytes").alias("n"))
+        .filter(F.col("n") > 0)
     )
 
 

@@ -107,6 +107,10 @@ ORACLES["field_profile"] = f"""WITH {fields(I.EVENT_DOC)}, c AS (SELECT event_ty
  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY event_type ORDER BY occurrence_count DESC, field) AS INT) AS rank FROM c) SELECT * FROM r WHERE rank <= 30"""
 ORACLES["schema_snapshot"] = f"WITH {fields(I.EVENT_DOC)} SELECT event_type, field, {types(STORE)} AS types, count(*) AS count FROM fl GROUP BY 1, 2"
 ORACLES["live_schema"] = f"WITH {fields(I.EVENT_DOC)} SELECT event_type, field, {types()} AS types FROM fl GROUP BY 1, 2"
+ORACLES["dynamic_sizes"] = """WITH b AS (SELECT event_type, 33 + CASE WHEN user_id % 7 = 0 THEN 5 + strlen('u' || user_id) ELSE 4 END + CASE WHEN event_id % 5 = 0 THEN 29 ELSE 0 END
+  + CASE WHEN event_id % 11 = 0 THEN 6 ELSE 0 END + CASE WHEN event_type IN ('click', 'error') AND event_id % 3 = 0 THEN 23 ELSE 0 END + CASE WHEN event_id % 4 = 0 THEN 7 ELSE 0 END AS b FROM events)
+ SELECT event_type, count(*) AS sample_count, min(b) AS min_bytes, max(b) AS max_bytes, round(avg(b), 6) AS mean_bytes, round(stddev_samp(b), 6) AS stddev_bytes,
+ round(quantile_cont(CAST(b AS DOUBLE), 0.95), 6) AS p95_bytes FROM b GROUP BY 1"""
 ORACLES["typed_schema_snapshot"] = """SELECT event_type, f.field, f.types, count(*) AS count FROM events,
  (VALUES ('event_id', 'long'), ('ts', 'date'), ('user_id', 'long'), ('value', 'double'), ('props', 'string')) f(field, types) GROUP BY 1, 2, 3"""
 ORACLES["schema_examples"] = f"""WITH {fields(I.EVENT_DOC)}, e AS (SELECT event_type, field, {types()} AS types,

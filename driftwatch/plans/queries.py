@@ -26,6 +26,7 @@ from driftwatch.operators import (
     velocity,
 )
 from driftwatch.plans import inputs as I
+from driftwatch.session import spread
 from driftwatch.sources import tables
 from driftwatch.streaming import jobs, streams
 
@@ -127,6 +128,14 @@ def live_schema(spark, sf):
     return s.select("event_type", "field", joined("types", "types"))
 
 
+@query
+def dynamic_sizes(spark, sf):
+    """Baseline of dynamic documents by their own size."""
+    d = spread(I.event_docs(spark, sf))
+    b = profile.size_baseline(d, "event_type", document_bytes(d, doc="doc"), full=True)
+    return b.select("event_type", "sample_count", "min_bytes", "max_bytes", r6("mean_bytes"), r6("stddev_bytes"), r6("p95_bytes"))
+
+
 @query
 def typed_schema_snapshot(spark, sf):
     s = profile.schema_snapshot(I.table(spark, sf, "events"), "event_type")

@@ -1,4 +1,5 @@
 import datetime
+import json
 import struct
 
 import numpy as np
@@ -55,6 +56,24 @@ def test_document_bytes(spark):
     assert got == [len(encoded(d)) for d in docs]
 
 
+def test_variant_bytes(spark):
+    docs = [
+        {}, {"a": None, "b": True, "s": "héllo", "x": 1.5, "e": {}, "l": []},
+        {"n": {"m": {"k": ["a", {"z": "deep"}, [None, "q"]]}}, "tags": [str(i) for i in range(120)]},
+    ]
+    whole = {"small": 5, "big": 2**40}
+    rows = [(i, json.dumps(d)) for i, d in enumerate([*docs, whole])] + [(9, None)]
+    df = spark.createDataFrame(rows, "i int, j string").withColumn("doc", F.parse_json("j"))
+    got = [r[0] for r in df.orderBy("i").select(document_bytes(df, doc="doc")).collect()]
+    assert got == [len(encoded(d)) for d in docs] + [len(encoded(whole)) - 4, None]
+    deep = "1"
+    for _ in range(40):
+        deep = '{"a":' + deep + "}"
+    with pytest.raises(Exception, match="deeper"):
+        d = spark.createDataFrame([(deep,)], "j string").withColumn("doc", F.parse_json("j"))
+        d.select(document_bytes(d, doc="doc")).collect()
+
+
 def test_missing_and_null(spark):
     df = spark.createDataFrame([("a", None)], "s string, n bigint")
     missing = df.select(document_bytes(df)).first()[0]
