@@ -124,10 +124,10 @@ def variant_bytes(doc: Column, max_depth: int = 16) -> Column:
     zero = F.lit(0).cast("long")
 
     def level(acc: Column, _: Column) -> Column:
-        added = F.aggregate(acc["nodes"], zero, lambda a, n: a + ELEMENT_OVERHEAD + n["name"] + _own_bytes(n["v"]))
+        added = F.aggregate(acc["nodes"], zero, lambda a, n: a + ELEMENT_OVERHEAD + n["name"] + _own_bytes(n["v"], n["head"]))
         return F.struct((acc["total"] + added).alias("total"), _members(acc["nodes"]).alias("nodes"))
 
-    root = F.array(F.struct(zero.alias("name"), doc.alias("v")))
+    root = F.array(F.struct(zero.alias("name"), doc.alias("v"), _type_head(doc).alias("head")))
     start = F.struct(F.lit(DOCUMENT_OVERHEAD).cast("long").alias("total"), _members(root).alias("nodes"))
     whole = F.aggregate(
         F.sequence(F.lit(1), F.lit(max_depth)),
@@ -140,23 +140,32 @@ def variant_bytes(doc: Column, max_depth: int = 16) -> Column:
     return F.when(doc.isNotNull(), whole)
 
 
+def _type_head(value: Column) -> Column:
+    return F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
+
+
 def _members(nodes: Column) -> Column:
-    """The children of all containers: (bytes of the name, value)."""
+    """The children of all containers: (bytes of the name, value, type)."""
 
     def one(n: Column) -> Column:
         fields = F.map_entries(F.try_variant_get(n["v"], "$", "map<string,variant>"))
         items = F.try_variant_get(n["v"], "$", "array<variant>")
-        named = F.transform(fields, lambda e: F.struct(F.octet_length(e["key"]).cast("long").alias("name"), e["value"].alias("v")))
-        listed = F.transform(
-            items, lambda x, i: F.struct(F.length(i.cast("string")).cast("long").alias("name"), x.alias("v"))
+        return F.when(
+            n["head"] == "OBJECT",
+            F.transform(fields, lambda e: F.struct(F.octet_length(e["key"]).cast("long").alias("name"), e["value"].alias("v"))),
+        ).otherwise(
+            F.transform(items, lambda x, i: F.struct(F.length(i.cast("string")).cast("long").alias("name"), x.alias("v")))
         )
-        return F.coalesce(named, listed)
 
-    return F.flatten(F.filter(F.transform(nodes, one), lambda c: c.isNotNull()))
+    # the type is taken once per node and kept beside it
+    containers = F.filter(nodes, lambda n: n["head"].isin("OBJECT", "ARRAY"))
+    return F.transform(
+        F.flatten(F.transform(containers, one)),
+        lambda c: F.struct(c["name"].alias("name"), c["v"].alias("v"), _type_head(c["v"]).alias("head")),
+    )
 
 
-def _own_bytes(value: Column) -> Column:
-    head = F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
+def _own_bytes(value: Column, head: Column) -> Column:
     whole = F.when(F.try_variant_get(value, "$", "int").isNotNull(), F.lit(4)).otherwise(F.lit(8))
     return (
         F.when(head == "STRING", 5 + F.octet_length(F.try_variant_get(value, "$", "string")))
