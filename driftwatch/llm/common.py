@@ -31,15 +31,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a frame made by :func:`stored` that nothing will read again."""
-    spark = df.sparkSession
-    own = f"{checkpoint_dir(spark)}/llm-"
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        if "/llm-" in folder and path.getName().startswith("llm-") and own.rpartition("/")[0].split(":")[-1] in folder:
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def forget(*frames: DataFrame) -> None:
+    """Delete the files of frames made by :func:`stored` that nothing will read again."""
+    for df in frames:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getName().startswith("llm-"):
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -121,7 +121,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("m", "u").alias("m"))
-        large = stored(
+        large = (
             both.where(F.col("v") > F.col("u"))
             .join(low, F.col("u") == F.col("w"))
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -135,7 +135,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         )
         after = stored(turned.unionByName(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct())
         forget(now)
-        forget(large)
         now, before, seen = after, seen, mark(after)
         if seen == before:
             break

@@ -98,30 +98,36 @@ def mix_collections(
     the power ``power``. A collection without a positive weight has no slots:
     null, to be placed last. When a collection runs out its slots stay empty, so
     no document is dropped or repeated. Null collections form one collection,
-    null texts are empty, repeated rows are kept, and an empty table gives an
+    null texts are empty, rows repeating an id share its place, and an empty table gives an
     empty result. Other columns are carried along; those of the four names are
     replaced. A large collection is split by hash ranges, never gathered.
     """
-    base = documents.drop("block", "release", "deadline", "slot", "_chars")
-    sized = base.withColumn("_chars", F.length(F.coalesce(F.col(text), F.lit(""))).cast("long"))
-    ids = sized.select(key, id_col, "_chars")
+    base = documents.drop("block", "release", "deadline", "slot")
+    # everything is decided on narrow rows; the texts are only read for their length
+    sized = base.groupBy(F.col(key).alias("_key"), F.col(id_col).alias("_id")).agg(
+        F.sum(F.length(F.coalesce(F.col(text), F.lit(""))).cast("long")).alias("_chars")
+    )
+    sized = stored(sized)
     if weights is None:
         size = F.greatest(F.sum("_chars"), F.lit(1))
-        weights = ids.groupBy(key).agg(F.pow(size, F.lit(power)).alias("weight"))
+        weights = sized.groupBy(F.col("_key").alias(key)).agg(F.pow(size, F.lit(power)).alias("weight"))
     slots = stored(slot_table(whole_shares(weights, key, period), key))
-    rows = documents.count()
-    placed = running_totals(sized, key, [id_col], "_chars", "_before", power_of_two(rows / 64, 1, 4096))
+    placed = running_totals(sized, "_key", ["_id"], "_chars", "_before", power_of_two(sized.count() / 64, 1, 4096))
+    # one row for each collection, and one for each slot of a period
     shares = slots.groupBy(F.col(key).alias("_sk")).agg(F.min("share").alias("_a"), F.min("period").alias("_p"))
     blocks = placed.withColumn("block", F.floor(F.col("_before") / block_chars).cast("long")).join(
-        F.broadcast(shares), F.col(key).eqNullSafe(F.col("_sk")), "left"
+        F.broadcast(shares), F.col("_key").eqNullSafe(F.col("_sk")), "left"
     )
     jobs = slots.select(F.col(key).alias("_jk"), F.col("job").alias("_j"), F.col("slot_in_period").cast("long").alias("_s"))
-    return (
-        blocks.join(
-            F.broadcast(jobs), F.col(key).eqNullSafe(F.col("_jk")) & (F.col("block") % F.col("_a") == F.col("_j")), "left"
-        )
-        .withColumn("release", F.floor(F.col("block") * F.col("_p") / F.col("_a")).cast("long"))
-        .withColumn("deadline", F.ceil((F.col("block") + 1) * F.col("_p") / F.col("_a")).cast("long"))
-        .withColumn("slot", (F.col("block") / F.col("_a")).cast("long") * F.col("_p") + F.col("_s"))
-        .drop("_chars", "_before", "_sk", "_a", "_p", "_jk", "_j", "_s")
+    places = blocks.join(
+        F.broadcast(jobs), F.col("_key").eqNullSafe(F.col("_jk")) & (F.col("block") % F.col("_a") == F.col("_j")), "left"
+    ).select(
+        "_key",
+        "_id",
+        "block",
+        F.floor(F.col("block") * F.col("_p") / F.col("_a")).cast("long").alias("release"),
+        F.ceil((F.col("block") + 1) * F.col("_p") / F.col("_a")).cast("long").alias("deadline"),
+        ((F.col("block") / F.col("_a")).cast("long") * F.col("_p") + F.col("_s")).alias("slot"),
     )
+    mine = F.col(key).eqNullSafe(F.col("_key")) & F.col(id_col).eqNullSafe(F.col("_id"))
+    return base.join(places, mine).drop("_key", "_id")

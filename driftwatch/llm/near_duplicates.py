@@ -16,11 +16,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwatch.llm.common import connected_components, map_batches, stored, words
+from driftwatch.llm.common import connected_components, forget, map_batches, stored, words
 
-TREES = 16
-DEPTH = 5
-SMALL_NODE = 24
+TREES = 12
+DEPTH = 4
+SMALL_NODE = 32
 SKETCH_BITS = 64
 # Two sets of J >= 0.8 differ in a sketch bit with probability 0.1: more than 25
 # of 64 differing bits has probability under 1e-9.
@@ -131,32 +131,39 @@ def _side(df: DataFrame, x: str, key: str = "key") -> DataFrame:
     return df.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}"), F.col(key).alias(f"k_{x}"))
 
 
-def candidates(classes: DataFrame, trees: int, depth: int, small_node: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of class representatives that share a small node or a pivot, and the nodes still large at the end."""
-    picked = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    nodes = classes.select("id", F.col("n_shingles").alias("n"), F.col("sketch").alias("s"), "paths", picked)
-    found = None
+def candidates(
+    classes: DataFrame, trees: int, depth: int, small_node: int, percent: int
+) -> tuple[list[DataFrame], DataFrame]:
+    """Stored pairs of class representatives that share a small node or a pivot, by level, and the nodes large to the end."""
+    nodes = classes.select(
+        "id",
+        F.col("n_shingles").alias("n"),
+        F.col("sketch").alias("s"),
+        F.posexplode(
+            F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.slice("paths", t * depth + 1, depth))
+        ).alias("tree", "path"),
+    )
+    found = []
     for level in range(depth):
-        nodes = nodes.withColumn("key", F.xxhash64("tree", F.element_at("paths", F.col("tree") * depth + level + 1)))
+        nodes = nodes.withColumn("key", F.xxhash64("tree", F.element_at("path", level + 1)))
         sizes = nodes.groupBy("key").agg(
-            F.count("*").alias("size"),
-            F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id", "n", "s")).alias("pivot"),
+            F.count("*").alias("size"), F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id", "n", "s")).alias("pivot")
         )
-        sizes = stored(sizes.where(F.col("size") > 1).select(F.col("key").alias("k"), "size", "pivot"))
-        sized = nodes.join(sizes, F.col("key") == F.col("k")).drop("k")
+        sizes = sizes.where(F.col("size") > 1).select(F.col("key").alias("k"), "size", "pivot")
+        sized = stored(nodes.join(sizes, F.col("key") == F.col("k")).drop("k", "tree"))
         small = sized.where(F.col("size") <= small_node)
         near = _pairs(_side(small, "a"), _side(small, "b"), (F.col("k_a") == F.col("k_b")) & (F.col("a") > F.col("b")), percent)
         large = sized.where(F.col("size") > small_node)
         p = F.col("pivot")
-        star = large.where(
-            (F.col("id") != p["id"]) & _may_link(F.col("n"), p["n"], F.col("s"), p["s"], percent)
-        ).select(
-            F.greatest("id", p["id"]).alias("a"), F.least("id", p["id"]).alias("b"), F.bit_count(F.col("s").bitwiseXOR(p["s"])).alias("apart")
+        star = large.where((F.col("id") != p["id"]) & _may_link(F.col("n"), p["n"], F.col("s"), p["s"], percent)).select(
+            F.greatest("id", p["id"]).alias("a"),
+            F.least("id", p["id"]).alias("b"),
+            F.bit_count(F.col("s").bitwiseXOR(p["s"])).alias("apart"),
         )
-        pairs = near.unionByName(star)
-        found = pairs if found is None else found.unionByName(pairs)
-        nodes = stored(large.select("id", "n", "s", "paths", "tree", "key"))
-    return found.distinct(), nodes
+        found.append(stored(near.unionByName(star)))
+        before, nodes = nodes, stored(large.select("id", "n", "s", "path", F.col("key").alias("tree"), "key"))
+        forget(sized, *([before] if level else []))
+    return found, nodes
 
 
 def _confirmed(pairs: DataFrame, documents: DataFrame, id_col: str, text: str, width: int, percent: int) -> DataFrame:
@@ -174,7 +181,9 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, id_col: str, text: str, w
         sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b"
     )
     shared = F.size(F.array_intersect("x", "y"))
-    return stored(both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+    found = stored(both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+    forget(sets)
+    return found
 
 
 def _across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -233,30 +242,37 @@ def near_duplicates(
     """
     mine = stored(sketches(documents.where(F.col(id_col).isNotNull()), id_col, text, width, trees, depth))
     named = mine.where(F.col("digest").isNotNull())
-    heads = named.groupBy("digest").agg(F.min("id").alias("head"))
-    classes = stored(
-        named.groupBy("digest").agg(F.min(F.struct("id", "n_shingles", "sketch", "paths")).alias("r")).select("r.*")
-    )
-    pairs, crowded = candidates(classes, trees, depth, small_node, percent)
-    pairs = stored(pairs)
+    heads = stored(named.groupBy("digest").agg(F.min("id").alias("head")))
+    classes = named.join(heads.select(F.col("head").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    levels, crowded = candidates(classes, trees, depth, small_node, percent)
+    pairs = levels[0]
+    for more in levels[1:]:
+        pairs = pairs.unionByName(more)
     # first the closest partner of every text, which joins most groups; then only what lies across groups
     best = pairs.select(F.col("a").alias("x"), "a", "b", "apart").unionByName(pairs.select(F.col("b").alias("x"), "a", "b", "apart"))
-    best = best.groupBy("x").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    links = _confirmed(stored(best), documents, id_col, text, width, percent)
+    best = stored(best.groupBy("x").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
+    links = _confirmed(best, documents, id_col, text, width, percent)
     groups = stored(connected_components(links))
-    across = stored(_across(pairs, groups).select("a", "b"))
-    links = stored(links.unionByName(_confirmed(across, documents, id_col, text, width, percent)))
-    groups = stored(connected_components(links))
-    left = stored(_rest(crowded, groups, percent).select("a", "b"))
-    if left.head(1):
-        links = links.unionByName(_confirmed(left, documents, id_col, text, width, percent))
-        groups = stored(connected_components(links))
+    for found in (
+        lambda: _across(pairs.select("a", "b").distinct(), groups),
+        lambda: _rest(crowded, groups, percent),
+    ):
+        more = stored(found().select("a", "b"))
+        if more.head(1):
+            links = links.unionByName(_confirmed(more, documents, id_col, text, width, percent))
+            groups = stored(connected_components(links))
+        forget(more)
     members = (
-        mine.groupBy("id").agg(F.max("n_shingles").alias("n_shingles"), F.min("digest").alias("digest"))
+        mine.groupBy("id")
+        .agg(F.max("n_shingles").alias("n_shingles"), F.min("digest").alias("digest"))
         .join(heads, "digest", "left")
         .join(groups.select(F.col("id").alias("head"), "component_id"), "head", "left")
     )
     component = F.coalesce("component_id", "head", "id")
-    return members.select(
-        F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (component == F.col("id")).alias("kept")
+    result = stored(
+        members.select(
+            F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (component == F.col("id")).alias("kept")
+        )
     )
+    forget(mine, heads, *levels, crowded, best, links, groups)
+    return result

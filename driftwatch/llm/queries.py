@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwatch.llm import mixing, near_duplicates, packing, quality_rules, toxicity
+from driftwatch.llm import fingerprints, mixing, near_duplicates, packing, quality_classifier, quality_rules, tool_calls, toxicity, url_filter
+from driftwatch.llm.url_filter import UrlRule
 from driftwatch.llm.common import table
 
 
@@ -31,6 +32,75 @@ def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHAIN = ("degraded", "toxic")
 
 
+URL_RULES = (
+    UrlRule("org/", "allow"),
+    UrlRule("example.org/es/", "block"),
+    UrlRule("example.org/en/1", "block"),
+    UrlRule("com/fr/", "allow"),
+    UrlRule("com/de/", "block"),
+)
+TURN_SCHEMAS = {"reply": {"turn": "integer", "text": "string?"}, "instruct": {"turn": "integer", "text": "string"}}
+
+
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = watched(spark, sf_dir).select("document_id", F.coalesce("text", F.lit("")).alias("text"))
+    pairs = fingerprints.with_successor(
+        fingerprints.add_fingerprints(docs), "document_id", ["text", "fingerprint"], keys=docs
+    )
+    n = F.length("text").cast("long")
+    half = F.floor(n / 2).cast("int")
+    edited = pairs.select(
+        "document_id",
+        n.alias("n_chars"),
+        "fingerprint",
+        "next_fingerprint",
+        F.concat(F.substr("text", F.lit(1), n.cast("int") - half), F.substr("next_text", F.lit(1), half)).alias("edited"),
+    )
+    both = fingerprints.add_fingerprints(edited, "edited", "edited_fingerprint")
+    return both.select(
+        F.col("document_id").alias("doc_id"),
+        "n_chars",
+        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        fingerprints.likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
+        fingerprints.likeness("fingerprint", "next_fingerprint").alias("near_next"),
+    )
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = watched(spark, sf_dir).select("document_id", "text")
+    out = quality_classifier.held_out("document_id", 4, 2)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("document_id"), "quality")
+    weights = quality_classifier.fit_quality(docs.where(~out), labels.where(~out))
+    scored = quality_classifier.score_quality(docs.withColumn("held_out", out), weights)
+    return scored.select(F.col("document_id").alias("doc_id"), "held_out", "score", "predicted")
+
+
+def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a conversation as calls (user, system) and their results (the assistant's next turn)."""
+    turns = table(spark, sf_dir, "conversations").withColumn("incident_id", F.col("conv_id").cast("string"))
+    call_id = F.format_string("%s:%06d", "incident_id", "turn")
+    before = lambda k: F.format_string("%s:%06d", F.col("incident_id"), F.col("turn") - k)
+    answer = F.col("role") == "assistant"
+    calls = turns.where(~F.coalesce(answer, F.lit(False))).select(
+        "incident_id",
+        call_id.alias("call_id"),
+        F.when(F.col("role") == "system", "instruct").otherwise("reply").alias("tool_name"),
+        F.to_json(F.struct("turn", "text")).alias("args"),
+        F.when(F.col("turn") >= 2, before(2)).when(F.col("turn") == 1, before(1)).alias("after"),
+    )
+    results = turns.where(answer).select("incident_id", before(1).alias("call_id"), F.col("text").alias("response"))
+    linked = tool_calls.link_tool_calls(calls, results, TURN_SCHEMAS)
+    return linked.withColumn("conv_id", F.col("incident_id").cast("long")).drop("incident_id")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    judged = url_filter.judge_urls(pages.select("page_id", "url"), URL_RULES, url_filter.declared_links(pages))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates.near_duplicates(watched(spark, sf_dir), width=2, percent=80)
     return found.withColumnRenamed("document_id", "doc_id")
@@ -70,6 +140,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_tool_calls": op3_tool_calls,
+    "op6_url_filter": op6_url_filter,
     "op5_near_duplicates": op5_near_duplicates,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,

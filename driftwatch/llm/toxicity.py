@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from driftwatch.llm.common import map_batches, stored, words
 
-MAX_TRAIN_ROWS = 12_000
-N_TERMS = 192
+MAX_TRAIN_ROWS = 8_000
+N_TERMS = 128
 N_FOLDS = 5
 N_STYLE = 9
 TRIM = b".,;:!?\"'()[]"
@@ -157,17 +157,13 @@ def fit_chain(
         )
 
     kind = sample.schema["_id"].dataType.simpleString()
-    rows = (
-        map_batches(sample, run, f"_id {kind}, x array<float>, " + ", ".join(f"{c} double" for c in cats))
-        .orderBy("_id")
-        .toPandas()
-    )
+    rows = map_batches(sample, run, f"_id {kind}, x array<float>, " + ", ".join(f"{c} double" for c in cats)).orderBy("_id").toArrow()
     width = 1 + N_STYLE + len(terms)
-    x = np.stack(rows["x"].to_list()).astype(float) if len(rows) else np.zeros((0, width))
+    x = np.concatenate([c.flatten().to_numpy() for c in rows["x"].chunks] or [np.zeros(0)]).reshape(-1, width).astype(float)
     fold = np.arange(len(x)) % folds
     weights = []
     for c in cats:
-        y = rows[c].to_numpy(float) if len(rows) else np.zeros(0)
+        y = rows[c].to_numpy().astype(float)
         known = ~np.isnan(y)
         if (y[known] == 1).sum() < 2 or (y[known] == 0).sum() < 2:
             w = np.zeros(x.shape[1])
