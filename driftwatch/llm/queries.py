@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwatch.llm import fingerprints, mixing, near_duplicates, packing, quality_classifier, quality_rules, tool_calls, toxicity, url_filter
+from driftwatch.llm import context_mixing, fingerprints, mixing, near_duplicates, packing, quality_classifier, quality_rules, tool_calls, toxicity, url_filter
 from driftwatch.llm.url_filter import UrlRule
 from driftwatch.llm.common import table
 
@@ -101,6 +101,16 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_classifier.held_out("document_id", 10, 0)
+    scored = context_mixing.score_texts(watched(spark, sf_dir).withColumn("train", ~out))
+    return scored.select(
+        F.col("document_id").alias("doc_id"),
+        (~F.col("train")).alias("held_out"),
+        *("n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"),
+    )
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates.near_duplicates(watched(spark, sf_dir), width=2, percent=80)
     return found.withColumnRenamed("document_id", "doc_id")
@@ -143,6 +153,7 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_tool_calls": op3_tool_calls,
+    "op4_context_mixing": op4_context_mixing,
     "op6_url_filter": op6_url_filter,
     "op5_near_duplicates": op5_near_duplicates,
     "op7_quality_rules": op7_quality_rules,
