@@ -35,6 +35,8 @@ CHUNK = 4096
 # contexts with a hashed table: the token before; the two classes before
 HASHED = 2
 _MUL = np.uint64(0x9E3779B97F4A7C15)
+NODE = np.uint64(0x9E3779B1)
+MOST_LOGIT = 8.0
 
 
 class ContextModel(NamedTuple):
@@ -80,18 +82,16 @@ def tail_class(token: bytes) -> int:
 
 def _ids(text: str | None, top: dict[bytes, int]) -> tuple[np.ndarray, list[bytes]]:
     """Ranks of a text's tokens with the end; a token outside the top has a number past it, by its class."""
-    n = len(top)
-    tail: list[bytes] = []
-    ids = []
+    w = words(text)
+    w.append(END)
     get = top.get
-    for w in words(text):
-        r = get(w)
-        if r is None:
-            tail.append(w)
-            r = n + tail_class(w) - TOP_CLASSES
-        ids.append(r)
-    ids.append(top.get(END, n))
-    return np.array(ids, np.int64), tail
+    ids = np.array([get(x, -1) for x in w], np.int64)
+    rare = np.flatnonzero(ids < 0)
+    if len(rare) and rare[-1] == len(w) - 1:  # the end is unknown only without training texts
+        ids[-1], rare = len(top), rare[:-1]
+    tail = [w[i] for i in rare.tolist()]
+    ids[rare] = [len(top) - TOP_CLASSES + tail_class(x) for x in tail]
+    return ids, tail
 
 
 def _contexts(ids: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,7 +108,7 @@ def _contexts(ids: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _slot(h: np.ndarray, node: np.ndarray, slots: int) -> np.ndarray:
-    return ((h + node.astype(np.uint64) * np.uint64(0x9E3779B1)) & np.uint64(slots - 1)).astype(np.int64)
+    return ((h + node.astype(np.uint64) * NODE) & np.uint64(slots - 1)).astype(np.int64)
 
 
 def bit_counts(texts: DataFrame, top, rank_class, slots: int) -> DataFrame:
@@ -223,7 +223,9 @@ def fit_context_model(texts: DataFrame, counts: DataFrame) -> ContextModel:
     tables = [np.zeros(max(s, CHUNK), np.float32) for s in sizes]
     for r in bit_counts(texts, top, rank_class, slots).toLocalIterator():
         zeros, ones = (np.frombuffer(r[c], np.uint32).astype(np.float64) for c in ("zeros", "ones"))
-        tables[r["table"]][r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.log((ones + 0.4) / (zeros + 0.4))
+        tables[r["table"]][r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.clip(
+            np.log((ones + 0.4) / (zeros + 0.4)), -MOST_LOGIT, MOST_LOGIT
+        )
     with np.errstate(divide="ignore"):
         log_mass = np.log10(class_mass)
     return ContextModel(
@@ -262,12 +264,16 @@ class Scorer:
                 whole[: len(x[k]), j] = x[k]
             padded.append(whole)
         inputs = len(self.start)
-        weights = np.tile(self.start[:, None, None], (1, BITS, n)).astype(np.float32)
-        own = np.zeros((CLASSES, n), np.float32)  # logit-free: probability less a half of the lane's own bits
-        refined = np.tile((1 / (1 + np.exp(-self.steps)))[None, :, None], (BITS, 1, n)).astype(np.float32)
+        # one block for each bit, so that a bit's state is contiguous; lanes lie side by side
+        weights = np.tile(self.start[None, :, None], (BITS, 1, n))
+        own = np.zeros(CLASSES * n, np.float32)  # the lane's own bits: probability less a half
+        refined = np.tile((1 / (1 + np.exp(-self.steps)))[:, None], (BITS, 1, n)).reshape(BITS, -1)
         score = np.zeros(n)
         lane = np.arange(n)
-        one = np.float32(1)
+        mask = np.uint64(m.slots - 1)
+        nodes = np.arange(CLASSES, dtype=np.uint64) * NODE
+        half, one = np.float32(0.5), np.float32(1)
+        take = np.take
         for t in range(longest):
             a = running[t]
             c, before, h1, h2 = (p[t, :a] for p in padded)
@@ -275,33 +281,39 @@ class Scorer:
             who = lane[:a]
             node = np.ones(a, np.int64)
             gained = np.ones(a, np.float32)
+            x = np.empty((inputs, a), np.float32)
             for b in range(BITS):
-                bit = (c >> (BITS - 1 - b)) & 1
-                target = bit.astype(np.float32)
-                x = np.empty((inputs, a), np.float32)
-                x[0] = m.tables[0][node]
-                x[1] = m.tables[1][base | node]
-                x[2] = m.tables[2][_slot(h1, node, m.slots)]
-                x[3] = m.tables[3][_slot(h2, node, m.slots)]
-                memory = own[node, who]
-                x[4] = memory * np.float32(6)
-                w = weights[:, b, :a]
-                dot = np.clip((w * x).sum(axis=0), -7.9, 7.9)
+                target = ((c >> (BITS - 1 - b)) & 1).astype(np.float32)
+                spread = take(nodes, node)
+                take(m.tables[0], node, out=x[0], mode="clip")
+                take(m.tables[1], base | node, out=x[1], mode="clip")
+                take(m.tables[2], ((h1 + spread) & mask).view(np.int64), out=x[2], mode="clip")
+                take(m.tables[3], ((h2 + spread) & mask).view(np.int64), out=x[3], mode="clip")
+                at = node * n + who
+                memory = take(own, at)
+                np.multiply(memory, np.float32(6), out=x[4])
+                w = weights[b, :, :a]
+                dot = np.einsum("ij,ij->j", w, x)
+                np.clip(dot, -7.9, 7.9, out=dot)
                 p = one / (one + np.exp(-dot))
                 # the refining table: probabilities at fixed logits, read between its two nearest entries
-                place = dot + np.float32(8)
-                low = place.astype(np.int64)
-                part = place - low
+                dot += np.float32(8)
+                low = dot.astype(np.int64)
+                dot -= low
+                low = low * n + who
                 table = refined[b]
-                left, right = table[low, who], table[low + 1, who]
-                final = np.float32(0.75) * p + np.float32(0.25) * (left + part * (right - left))
+                left, right = take(table, low), take(table, low + n)
+                final = left + dot * (right - left)
+                final = final * np.float32(0.25) + p * np.float32(0.75)
                 np.clip(final, 1e-4, 1 - 1e-4, out=final)
-                gained *= np.where(bit == 1, final, one - final)
-                w += (self.rate * (target - p)) * np.clip(x, -8, 8)
-                table[low, who] = left + (target - left) * (one - part) * np.float32(0.03)
-                table[low + 1, who] = right + (target - right) * part * np.float32(0.03)
-                own[node, who] = memory + (target - np.float32(0.5) - memory) * self.forget
-                node = node << 1 | bit
+                # the probability of the bit that came: 1 - |target - final|
+                gained *= one - np.abs(target - final)
+                w += x * (self.rate * (target - p))
+                close = dot > half
+                nearest = np.where(close, right, left)
+                table[low + close * n] = nearest + (target - nearest) * np.float32(0.03)
+                own[at] = memory + (target - half - memory) * self.forget
+                node = node << 1 | target.astype(np.int64)
             score[:a] += np.log10(gained)
         return score
 
