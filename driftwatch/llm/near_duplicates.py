@@ -11,6 +11,7 @@ full sets.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,7 @@ from driftwatch.llm.common import connected_components, forget, map_batches, sto
 TREES = 12
 DEPTH = 4
 SMALL_NODE = 32
+BLOCK = 128
 SKETCH_BITS = 64
 # Two sets of J >= 0.8 differ in a sketch bit with probability 0.1: more than 25
 # of 64 differing bits has probability under 1e-9.
@@ -166,55 +168,105 @@ def candidates(
     return found, nodes
 
 
-def _confirmed(pairs: DataFrame, documents: DataFrame, id_col: str, text: str, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _full_sets(ids: DataFrame, documents: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
+    """(id, items): the full shingle sets of the given ids, as sorted hashes."""
     id_type = documents.schema[id_col].dataType.simpleString()
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t, width).astype(np.int64) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "items"])
 
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text).alias("t")).join(wanted, "id", "left_semi")
-    sets = stored(map_batches(texts, run, f"id {id_type}, items array<long>"))
+    texts = documents.select(F.col(id_col).alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi")
+    return map_batches(texts, run, f"id {id_type}, items array<long>")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b"
     )
     shared = F.size(F.array_intersect("x", "y"))
-    found = stored(both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b"))
-    forget(sets)
-    return found
+    return stored(both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b"))
 
 
-def _across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The pairs whose ends are not yet in one component."""
-    a = groups.select(F.col("id").alias("a"), F.col("component_id").alias("c_a"))
-    b = groups.select(F.col("id").alias("b"), F.col("component_id").alias("c_b"))
-    labelled = pairs.join(a, "a", "left").join(b, "b", "left")
-    return labelled.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
+def _across(pairs: DataFrame, groups: DataFrame, crowds: DataFrame) -> DataFrame:
+    """The pairs whose ends are not yet in one component, nor in one crowd, which is compared as a whole."""
+    for x in ("a", "b"):
+        pairs = pairs.join(groups.select(F.col("id").alias(x), F.col("component_id").alias(f"c_{x}")), x, "left")
+        pairs = pairs.join(crowds.select(F.col("id").alias(x), F.col("crowd").alias(f"w_{x}")), x, "left")
+    apart = F.coalesce("c_a", "a") != F.coalesce("c_b", "b")
+    return pairs.where(apart & ~F.coalesce(F.col("w_a") == F.col("w_b"), F.lit(False))).select("a", "b")
 
 
-def _rest(nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs in nodes still large after the last level that lie across components.
+def block_links(one: list[np.ndarray], two: list[np.ndarray], c_one: list, c_two: list, percent: int) -> list[tuple[int, int]]:
+    """Links (i, j) between two lists of sets that join their components into as few as all links would.
 
-    The largest component of a node is its bulk. Every text outside the bulk
-    meets all texts of the node in hash blocks; texts of the bulk, linked
-    already, are not compared with each other.
+    Shared items are counted by matrix products over slices of the items, so
+    memory is bounded; of the linked pairs only those that join are returned.
     """
-    label = nodes.join(groups.select("id", "component_id"), "id", "left").withColumn("c", F.coalesce("component_id", "id"))
-    counts = label.groupBy("key", "c").agg(F.count("*").alias("m"))
-    bulk = counts.groupBy(F.col("key").alias("bk")).agg(F.max(F.struct("m", "c"))["c"].alias("bc"), F.count("*").alias("parts"))
-    label = stored(label.join(bulk.where("parts > 1"), F.col("key") == F.col("bk")))
-    blocks = 8
-    stray = label.where(F.col("c") != F.col("bc")).withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    stray = stray.withColumn("key", F.xxhash64("key", "blk"))
-    rest = label.withColumn("key", F.xxhash64("key", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")))
-    return _pairs(
-        stray.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"), F.col("key").alias("k_a"), F.col("c").alias("c_a")),
-        rest.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"), F.col("key").alias("k_b"), F.col("c").alias("c_b")),
-        (F.col("k_a") == F.col("k_b")) & (F.col("c_a") != F.col("c_b")),
-        percent,
-    ).distinct()
+    sizes = [np.array([len(x) for x in side]) for side in (one, two)]
+    items, where = np.unique(np.concatenate([*one, *two]), return_inverse=True)
+    row = np.repeat(np.arange(len(one) + len(two)), np.concatenate(sizes))
+    shared = np.zeros((len(one), len(two)), np.float32)
+    for at in range(0, len(items), 8192):
+        here = (where >= at) & (where < at + 8192)
+        m = np.zeros((len(one) + len(two), min(8192, len(items) - at)), np.float32)
+        m[row[here], where[here] - at] = 1
+        shared += m[: len(one)] @ m[len(one) :].T
+    either = sizes[0][:, None] + sizes[1][None, :] - shared
+    top: dict = {}
+
+    def root(c):
+        while top.get(c, c) != c:
+            c = top[c]
+        return c
+
+    found = []
+    for i, j in np.argwhere(100 * shared >= percent * either):
+        a, b = root(c_one[i]), root(c_two[j])
+        if a != b:
+            top[max(a, b)] = min(a, b)
+            found.append((int(i), int(j)))
+    return found
+
+
+def _crowd_links(members: DataFrame, sets: DataFrame, groups: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links inside crowds: sets of texts that meet in nodes still large after the last level.
+
+    The largest component of a crowd is its bulk. Each text outside the bulk is
+    compared with all of the crowd, in pairs of blocks of about ``block`` texts.
+    """
+    label = members.join(groups, "id", "left").select("id", "crowd", F.coalesce("component_id", "id").alias("c"))
+    parts = label.groupBy("crowd", "c").agg(F.count("*").alias("m"))
+    bulk = parts.groupBy("crowd").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("size"))
+    bulk = bulk.where(F.col("size") > F.col("top.m")).select(
+        "crowd",
+        F.col("top.c").alias("bulk"),
+        F.ceil(F.col("size") / block).cast("int").alias("all_blocks"),
+        F.ceil((F.col("size") - F.col("top.m")) / block).cast("int").alias("stray_blocks"),
+    )
+    label = label.join(bulk, "crowd")
+    h = F.xxhash64("id")
+    stray = label.where(F.col("c") != F.col("bulk")).select(
+        "id", "c", "crowd", F.lit(0).alias("side"), F.pmod(h, F.col("stray_blocks")).cast("int").alias("i"),
+        F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"),
+    )
+    rest = label.select(
+        "id", "c", "crowd", F.lit(1).alias("side"),
+        F.explode(F.sequence(F.lit(0), F.col("stray_blocks") - 1)).alias("i"), F.pmod(h, F.col("all_blocks")).cast("int").alias("j"),
+    )
+    id_type = members.schema["id"].dataType.simpleString()
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        one, two = (frame[frame["side"] == side].sort_values("id") for side in (0, 1))
+        links = []
+        if len(one) and len(two):
+            links = block_links(list(one["items"]), list(two["items"]), list(one["c"]), list(two["c"]), percent)
+        a, b = one["id"].to_numpy(), two["id"].to_numpy()
+        return pd.DataFrame([(max(a[i], b[j]), min(a[i], b[j])) for i, j in links], columns=["a", "b"])
+
+    placed = stray.unionByName(rest).join(sets, "id")
+    return placed.groupBy("crowd", "i", "j").applyInPandas(run, f"a {id_type}, b {id_type}")
 
 
 def near_duplicates(
@@ -226,6 +278,7 @@ def near_duplicates(
     trees: int = TREES,
     depth: int = DEPTH,
     small_node: int = SMALL_NODE,
+    block: int = BLOCK,
 ) -> DataFrame:
     """(id_col, n_shingles, component_id, kept): groups of texts of a watched collection that are nearly equal.
 
@@ -236,9 +289,9 @@ def near_duplicates(
     smallest id. A null or empty text has no shingle and stays by itself.
     Repeated rows of one id fall into one row; null ids are left out; an empty
     table gives an empty result. Of each hundred linked pairs at the very limit
-    of similarity 0.8, a tree keeps 80 or, in crowded nodes, ever fewer with
-    depth; with ``trees`` trees, pivots for crowded nodes, and the comparison of
-    what is left over in nodes crowded to the last level, practically none is lost.
+    of similarity 0.8, a tree keeps 80, or fewer where nodes are branched again;
+    with ``trees`` trees, and an exhaustive comparison by blocks inside nodes
+    crowded to the last level, practically none is lost.
     """
     mine = stored(sketches(documents.where(F.col(id_col).isNotNull()), id_col, text, width, trees, depth))
     named = mine.where(F.col("digest").isNotNull())
@@ -248,20 +301,28 @@ def near_duplicates(
     pairs = levels[0]
     for more in levels[1:]:
         pairs = pairs.unionByName(more)
-    # first the closest partner of every text, which joins most groups; then only what lies across groups
+    # texts that share crowded nodes of any tree form one crowd
+    in_node = crowded.select(F.col("id").alias("member"), F.col("key").alias("node"))
+    node_head = in_node.groupBy("node").agg(F.min("member").alias("b"))
+    crowds = stored(
+        connected_components(in_node.join(node_head, "node").select(F.col("member").alias("a"), "b")).select(
+            "id", F.col("component_id").alias("crowd")
+        )
+    )
+    # the closest partner of every text joins most groups; after it only what lies across groups is compared
     best = pairs.select(F.col("a").alias("x"), "a", "b", "apart").unionByName(pairs.select(F.col("b").alias("x"), "a", "b", "apart"))
-    best = stored(best.groupBy("x").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
-    links = _confirmed(best, documents, id_col, text, width, percent)
+    best = stored(best.groupBy("x").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select(F.col("x").alias("id"), "p.a", "p.b"))
+    sets = stored(_full_sets(best.select("id").union(crowds.select("id")).distinct(), documents, id_col, text, width))
+    links = _confirmed(best.select("a", "b").distinct(), sets, percent)
     groups = stored(connected_components(links))
-    for found in (
-        lambda: _across(pairs.select("a", "b").distinct(), groups),
-        lambda: _rest(crowded, groups, percent),
-    ):
-        more = stored(found().select("a", "b"))
-        if more.head(1):
-            links = links.unionByName(_confirmed(more, documents, id_col, text, width, percent))
-            groups = stored(connected_components(links))
-        forget(more)
+    inside = stored(_crowd_links(crowds, sets, groups, percent, block))
+    if inside.head(1):
+        links = links.unionByName(inside)
+        groups = stored(connected_components(links))
+    across = _confirmed(_across(pairs.select("a", "b").distinct(), groups, crowds), sets, percent)
+    if across.head(1):
+        links = links.unionByName(across)
+        groups = stored(connected_components(links))
     members = (
         mine.groupBy("id")
         .agg(F.max("n_shingles").alias("n_shingles"), F.min("digest").alias("digest"))
@@ -274,5 +335,5 @@ def near_duplicates(
             F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (component == F.col("id")).alias("kept")
         )
     )
-    forget(mine, heads, *levels, crowded, best, links, groups)
+    forget(mine, heads, *levels, crowded, crowds, best, sets, inside, across, links, groups)
     return result
