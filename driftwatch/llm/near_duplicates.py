@@ -24,9 +24,9 @@ DEPTH = 4
 SMALL_NODE = 32
 BLOCK = 128
 SKETCH_BITS = 64
-# Two sets of J >= 0.8 differ in a sketch bit with probability 0.1: more than 25
-# of 64 differing bits has probability under 1e-9.
-MAX_BITS_APART = 25
+# Two sets of J >= 0.8 differ in a sketch bit with probability 0.1 at most: more
+# than 21 of 64 differing bits then has a probability of about 1e-7.
+MAX_BITS_APART = 21
 
 
 def _odd(seed: int, n: int) -> np.ndarray:
@@ -148,19 +148,24 @@ def candidates(
     found = []
     for level in range(depth):
         nodes = nodes.withColumn("key", F.xxhash64("tree", F.element_at("path", level + 1)))
-        sizes = nodes.groupBy("key").agg(
-            F.count("*").alias("size"), F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id", "n", "s")).alias("pivot")
-        )
-        sizes = sizes.where(F.col("size") > 1).select(F.col("key").alias("k"), "size", "pivot")
-        sized = stored(nodes.join(sizes, F.col("key") == F.col("k")).drop("k", "tree"))
+        sizes = nodes.groupBy("key").agg(F.count("*").alias("size"))
+        sizes = sizes.where(F.col("size") > 1).select(F.col("key").alias("k"), "size")
+        sized = stored(nodes.drop("tree").join(sizes, F.col("key") == F.col("k")).drop("k"))
         small = sized.where(F.col("size") <= small_node)
         near = _pairs(_side(small, "a"), _side(small, "b"), (F.col("k_a") == F.col("k_b")) & (F.col("a") > F.col("b")), percent)
         large = sized.where(F.col("size") > small_node)
-        p = F.col("pivot")
-        star = large.where((F.col("id") != p["id"]) & _may_link(F.col("n"), p["n"], F.col("s"), p["s"], percent)).select(
-            F.greatest("id", p["id"]).alias("a"),
-            F.least("id", p["id"]).alias("b"),
-            F.bit_count(F.col("s").bitwiseXOR(p["s"])).alias("apart"),
+        pivots = large.groupBy(F.col("key").alias("k")).agg(
+            F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id", "n", "s")).alias("p")
+        )
+        p = F.col("p")
+        star = (
+            large.join(pivots, F.col("key") == F.col("k"))
+            .where((F.col("id") != p["id"]) & _may_link(F.col("n"), p["n"], F.col("s"), p["s"], percent))
+            .select(
+                F.greatest("id", p["id"]).alias("a"),
+                F.least("id", p["id"]).alias("b"),
+                F.bit_count(F.col("s").bitwiseXOR(p["s"])).alias("apart"),
+            )
         )
         found.append(stored(near.unionByName(star)))
         before, nodes = nodes, stored(large.select("id", "n", "s", "path", F.col("key").alias("tree"), "key"))
