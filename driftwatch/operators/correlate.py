@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Look-back, newest anomalies considered, fewest collections,
-# confidence that makes an event critical, refire interval.
+# Look-back, fewest collections, confidence that makes an event
+# critical, refire interval.
 LOOKBACK_MINUTES = 5
-NEWEST = 100
 MIN_COLLECTIONS = 2
 CRITICAL_CONFIDENCE = 0.7
 REFIRE_HOURS = 1
@@ -49,20 +48,20 @@ def correlated_events(
 ) -> DataFrame:
     """The cluster event of the look-back window before ``as_of``, if any.
 
-    The newest 100 anomalies of the window count. ``stored`` events of the
-    same collection set within the last hour suppress it.
+    All anomalies of the window count, as one count and earliest time for each
+    monitored collection. ``stored`` events of the same collection set within
+    the last hour suppress it.
     """
     start = as_of - F.expr(f"INTERVAL {minutes} MINUTES")
-    newest = (
+    hit = (
         anomalies.filter((F.col(ts) >= start) & (F.col(ts) <= as_of) & F.col("collection_name").isin(monitored))
-        .select("collection_name", F.col(ts).alias("_ts"))
-        .orderBy(F.desc("_ts"), "collection_name")
-        .limit(NEWEST)
+        .groupBy("collection_name")
+        .agg(F.min(ts).alias("_ts"), F.count(F.lit(1)).alias("_n"))
     )
-    grouped = newest.agg(
+    grouped = hit.agg(
         F.collect_set("collection_name").alias("names"),
         F.min(F.struct("_ts", "collection_name")).alias("first"),
-        F.count(F.lit(1)).alias("n_anomalies"),
+        F.sum("_n").alias("n_anomalies"),
     )
     found = _event(grouped, len(monitored)).withColumns({"window_start": start, "window_end": as_of, "created_at": as_of})
     return suppress_stored(found, stored) if stored is not None else found

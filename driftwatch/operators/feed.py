@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Default size and cap of each feed.
+# Default size of each feed, and the largest size its readers publish.
 FEED_LIMITS = {
     "anomalies": (50, 200),
     "incidents": (20, 100),
@@ -20,9 +20,10 @@ FEED_KEEP, REPLAY = 100, 10
 MAX_RETRIES = 3
 
 
-def feed_size(feed: str, n: int | None = None) -> int:
-    default, cap = FEED_LIMITS[feed]
-    return min(default if n is None else int(n), cap)
+def feed_size(feed: str, n: int | None = None, most: int | None = None) -> int:
+    """``n`` or the feed's default; cut to ``most`` only where a maximum is asked for."""
+    size = FEED_LIMITS[feed][0] if n is None else int(n)
+    return size if most is None else min(size, most)
 
 
 def newest(df: DataFrame, ts: str, tie: str, feed: str = "anomalies", n: int | None = None) -> DataFrame:
@@ -36,7 +37,7 @@ def replay(df: DataFrame, ts: str, tie: str, n: int = REPLAY) -> DataFrame:
 
 
 def find(df: DataFrame, predicate: Column | None = None, columns: list[str] | None = None, n: int | None = None) -> DataFrame:
-    """Filtered, projected rows; 10 by default and 50 at most."""
+    """Filtered, projected rows; 10 by default."""
     rows = df if predicate is None else df.filter(predicate)
     rows = rows if columns is None else rows.select(*columns)
     return rows.limit(feed_size("find", n))
@@ -166,7 +167,7 @@ def system_status(dead_letters: DataFrame, history: DataFrame, progress: DataFra
 def expected_seen(df: DataFrame, key: str, name: str, expected: list[str]) -> DataFrame:
     """Which of the expected names each key has, and whether all are there."""
     wanted = F.array(*[F.lit(x) for x in sorted(expected)])
-    seen = df.filter(F.col(name).isin(expected)).groupBy(key).agg(F.collect_set(name).alias("_s"))
+    seen = df.groupBy(key).agg(F.collect_set(F.when(F.col(name).isin(expected), F.col(name))).alias("_s"))
     return seen.select(
         key,
         F.array_intersect(wanted, "_s").alias("seen"),

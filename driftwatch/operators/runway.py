@@ -94,10 +94,12 @@ def runway(
     ``fallback`` (from :func:`recent_counts`) replaces the windows of keys
     with fewer than three. ``metric='rate'`` divides the size gap by the slope
     of the event rate; ``'size'`` uses the slope of the mean size instead.
-    ``strict`` reports a fallback without any event as insufficient.
+    ``strict`` reports a fallback without any event as insufficient. Windows
+    that end after ``as_of`` do not count.
     """
     keys = keys_of(key)
     rate = "event_count" if metric == "rate" else "avg_doc_size_kb"
+    stats = stats.filter(F.col("window_end") <= as_of)
     slopes = trend_slopes(stats, keys, rate)
     if fallback is not None:
         good = slopes.filter(F.col("n_windows") >= MIN_WINDOWS)

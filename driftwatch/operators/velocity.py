@@ -152,7 +152,7 @@ def semantic_velocity(
 
 
 def _lookback(df: DataFrame, ts: str, as_of: Column, hours: int) -> DataFrame:
-    return df.filter(F.col(ts) >= as_of - F.expr(f"INTERVAL {hours} HOURS"))
+    return df.filter((F.col(ts) >= as_of - F.expr(f"INTERVAL {hours} HOURS")) & (F.col(ts) <= as_of))
 
 
 def velocity_input(

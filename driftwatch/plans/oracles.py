@@ -473,13 +473,13 @@ ORACLES["span_overlap"] = f"""WITH {SPANS}, g AS (SELECT incident_id, count(*) A
  SELECT incident_id, n_spans, n_spans >= 2 AND ms < me AS parallel_verified, sequential_sum_ms, parallel_wall_ms,
  CASE WHEN parallel_wall_ms != 0 THEN round(sequential_sum_ms / greatest(parallel_wall_ms, 1), 2) ELSE 1e0 END AS speedup_factor FROM h"""
 ORACLES["tool_counts"] = f"WITH {TRACE} SELECT incident_id, tool_name AS name, count(*) AS n FROM tr WHERE tool_name IS NOT NULL GROUP BY 1, 2"
-ORACLES["expected_agents"] = f"""WITH {TRACE}, s AS (SELECT incident_id, list(DISTINCT agent || ':' || tool_name) AS l FROM tr WHERE tool_name IS NOT NULL
-  AND agent || ':' || tool_name IN ('error:find', 'view:find', 'click:aggregate') GROUP BY 1), w AS (SELECT *, ['click:aggregate', 'error:find', 'view:find'] AS e FROM s)
+ORACLES["expected_agents"] = f"""WITH {TRACE}, s AS (SELECT incident_id, coalesce(list(DISTINCT agent || ':' || tool_name) FILTER (agent || ':' || tool_name IN ('error:find', 'view:find', 'click:aggregate')), []) AS l
+  FROM tr WHERE tool_name IS NOT NULL GROUP BY 1), w AS (SELECT *, ['click:aggregate', 'error:find', 'view:find'] AS e FROM s)
  SELECT incident_id, array_to_string(list_filter(e, lambda x: list_contains(l, x)), ',') AS seen, array_to_string(list_filter(e, lambda x: NOT list_contains(l, x)), ',') AS missing, len(l) = 3 AS complete FROM w"""
 
 # --- feeds, lookups, keyed writes ------------------------------------------------------------------------------------------
 
-ORACLES["newest"] = f"SELECT event_id, strftime(ts, {STAMP}) AS ts, event_type FROM (SELECT * FROM events ORDER BY events.ts DESC, event_id DESC LIMIT 200) e"
+ORACLES["newest"] = f"SELECT event_id, strftime(ts, {STAMP}) AS ts, event_type FROM (SELECT * FROM events ORDER BY events.ts DESC, event_id DESC LIMIT 500) e"
 ORACLES["replay"] = f"""SELECT CAST(row_number() OVER (ORDER BY e.ts, event_id) AS INT) AS place, event_id, strftime(e.ts, {STAMP}) AS ts
  FROM (SELECT * FROM events ORDER BY events.ts DESC, event_id DESC LIMIT 10) e"""
 ORACLES["latest_per_key"] = f"""SELECT user_id, event_id, strftime(e.ts, {STAMP}) AS ts, event_type, value FROM events e
@@ -516,10 +516,10 @@ ORACLES["fields_present"] = """SELECT event_type, count(*) FILTER (event_id % 11
 ORACLES["cosine_distances"] = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a,
   list_transform(embedding, lambda x, i: CASE WHEN i % 2 = 1 THEN -CAST(x AS DOUBLE) ELSE CAST(x AS DOUBLE) END) AS b FROM embeddings)
  SELECT vec_id, round(1 - list_inner_product(a, b) / list_inner_product(a, a), 6) AS flipped, 0e0 AS zero FROM e"""
-ORACLES["correlated_events"] = f"""WITH t AS (SELECT {I.COLLECTION_OF_EVENT} AS c, ts FROM events ORDER BY events.ts DESC, c LIMIT 100)
+ORACLES["correlated_events"] = f"""WITH t AS (SELECT {I.COLLECTION_OF_EVENT} AS c, ts FROM events)
  SELECT array_to_string(list_sort(list(DISTINCT c)), '|') AS collection_key, arg_min(c, {{'t': ts, 'c': c}}) AS patient_zero, count(*) AS n_anomalies,
  round(count(DISTINCT c) / 6e0, 3) AS confidence, CASE WHEN count(DISTINCT c) / 6e0 >= 0.7 THEN 'CRITICAL' ELSE 'WARNING' END AS severity, '{I.AS_OF}' AS window_end FROM t"""
-ORACLES["cluster_list"] = f"""WITH {WINDOWS} SELECT collection_key, strftime(e, {STAMP}) AS created_at, severity FROM cw ORDER BY cw.e DESC, collection_key DESC LIMIT 10"""
+ORACLES["cluster_list"] = f"""WITH {WINDOWS} SELECT collection_key, strftime(e, {STAMP}) AS created_at, severity FROM cw ORDER BY cw.e DESC, collection_key DESC LIMIT 99"""
 ORACLES["incident_list"] = f"""WITH {COUNTED}, {cost('ac')} SELECT document_id AS incident_id, collection_name, {TITLE} AS title, per_minute_usd FROM ct ORDER BY detected_at DESC, document_id DESC LIMIT 10"""
 ORACLES["span_tool_calls"] = f"WITH {TRACE} SELECT incident_id, agent, tool_name AS name, at_ms FROM tr WHERE tool_name IS NOT NULL"
 

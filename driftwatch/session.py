@@ -32,8 +32,8 @@ def get_spark(app: str = "driftwatch", cores: str = "*", **conf: str) -> SparkSe
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A folder of our own is made only when the cluster names none, which is the
-    case in local tests.
+    A folder of our own is made only for a local master that names none; on a
+    cluster executors could not see it, so there that is an error.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -41,6 +41,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="driftwatch-")
     context.setCheckpointDir(named)
     return context.getCheckpointDir()

@@ -167,7 +167,7 @@ def test_model_embedder(spark):
 
 def test_runway(spark):
     def windows(key, counts, kb):
-        return [(key, minutes(i + 1), c, kb) for i, c in enumerate(counts)]
+        return [(key, minutes(i - 20), c, kb) for i, c in enumerate(counts)]
 
     rows = windows("up", [1, 9, 9, 2, 4, 6, 8, 10, 12], 0.5) + windows("flat", [3] * 6, 0.5) + windows("down", [9, 7, 5, 3], 0.5) + windows("few", [1, 2], 0.5)
     stats = spark.createDataFrame(rows, "key string, window_end timestamp, event_count bigint, avg_doc_size_kb double")
@@ -185,6 +185,8 @@ def test_runway(spark):
     assert [r["event_count"] for r in counts.orderBy(F.desc("window_end")).collect()] == [2, 2, 0, 0, 0, 2]
     got = {r["key"]: r for r in runway.runway(stats, base, "key", F.lit(T0), fallback=counts).collect()}
     assert got["few"]["current_rate_per_min"] == 2.0 and len(got) == 4
+    early = {r["key"]: r for r in runway.runway(stats, base, "key", F.lit(minutes(-17))).collect()}
+    assert early["up"]["current_rate_per_min"] == 2.0 and early["flat"]["slope"] == 0.0  # later windows are cut
 
 
 def test_scores(spark):
@@ -267,8 +269,22 @@ def test_spans(spark):
 
 def test_feed_sizes(spark):
     df = spark.range(300).withColumns({"ts": F.timestamp_seconds("id"), "embedding": F.array(F.lit(1.0))})
-    assert feed.newest(df, "ts", "id").count() == 50 and feed.newest(df, "ts", "id", n=999).count() == 200
+    assert feed.newest(df, "ts", "id").count() == 50 and feed.newest(df, "ts", "id", n=999).count() == 300
     assert "embedding" not in feed.newest(df, "ts", "id").columns
     assert [r["id"] for r in feed.replay(df, "ts", "id").collect()] == list(range(290, 300))
-    assert feed.find(df, F.col("id") > 5, ["id"], 100).count() == 50
+    assert feed.find(df, F.col("id") > 5, ["id"], 100).count() == 100
+    assert feed.feed_size("find", 100, most=50) == 50 and feed.feed_size("find") == 10
     assert profile.sample_rows(df, "id", 7).collect() == profile.sample_rows(df.repartition(5), "id", 7).collect()
+
+
+def test_expected_seen_keeps_keys_without_any(spark):
+    df = spark.createDataFrame([("i1", "a"), ("i1", "b"), ("i2", "z")], "incident_id string, agent string")
+    rows = {r["incident_id"]: r for r in feed.expected_seen(df, "incident_id", "agent", ["a", "b"]).collect()}
+    assert rows["i1"]["complete"] and rows["i2"]["missing"] == ["a", "b"] and not rows["i2"]["complete"]
+
+
+def test_burst_does_not_hide_a_cluster(spark):
+    rows = [("c0", minutes(1))] * 3 + [("c1", minutes(2))] * 150
+    a = spark.createDataFrame(rows, "collection_name string, detected_at timestamp")
+    r = correlate.correlated_events(a, F.lit(minutes(5)), ["c0", "c1", "c2"]).first()
+    assert r["collections_affected"] == ["c0", "c1"] and r["patient_zero"] == "c0" and r["n_anomalies"] == 153
