@@ -133,7 +133,11 @@ def bit_counts(texts: DataFrame, top, rank_class, slots: int) -> DataFrame:
                 bit = (c >> (BITS - 1 - b)) & 1
                 where = (node, before << BITS | node, _slot(h1, node, slots), _slot(h2, node, slots))
                 for table, at in zip(counts, where):
-                    np.add.at(table.reshape(-1), bit * table.shape[1] + at, 1)
+                    at = bit * table.shape[1] + at
+                    if 4 * len(at) < table.size:
+                        np.add.at(table.reshape(-1), at, 1)
+                    else:
+                        table += np.bincount(at, minlength=table.size).reshape(table.shape).astype(np.uint32)
         for k, table in enumerate(counts):
             for at in range(0, table.shape[1], CHUNK):
                 zeros, ones = table[0, at : at + CHUNK], table[1, at : at + CHUNK]
