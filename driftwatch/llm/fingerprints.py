@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwatch.llm.common import map_batches
+from driftwatch.session import bounded
 
 BINS = 128
 _BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses modulo 2**64
@@ -139,6 +140,8 @@ def with_successor(rows: DataFrame, order: str, columns: list[str], chunk_rows:
         "first", F.coalesce(F.lag("p").over(around), F.max("p").over(Window.partitionBy(F.lit(0)))).alias("before")
     )
     ties = [F.col(c) for c in columns if c != order]
+    # two numbers for each range; broadcast up to a counted bound, else joined with a shuffle
+    heads = bounded(heads)
     sent = rows.join(heads, F.col(order) == F.col("first"), "left").drop("first").withColumn("_own", part)
     sent = sent.select(
         *rows.columns,
