@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwatch.llm import mixing, near_duplicates, packing, quality_rules, queries, toxicity
-from driftwatch.llm.common import stored
+from driftwatch.llm.common import marks, perhaps_in, stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,14 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    kept = near_duplicates.near_duplicates(docs, id_col="doc_id").where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    found = near_duplicates.near_duplicates(docs, id_col="doc_id")
+    dropped = found.where(~F.col("kept")).select("doc_id")
+    bitmap = marks(dropped, "doc_id")
+    named = docs.where("doc_id IS NOT NULL")
+    # a document whose mark is free was not dropped; only the others are shuffled to be looked up
+    clear = perhaps_in(named, bitmap, "doc_id", "left_anti")
+    unclear = perhaps_in(named, bitmap, "doc_id").join(dropped, "doc_id", "left_anti")
+    return clear.select(*docs.columns).unionByName(unclear.select(*docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

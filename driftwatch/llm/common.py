@@ -13,6 +13,7 @@ from driftwatch.session import checkpoint_dir
 
 # A word is a run of anything but ASCII white space, as in bytes.split().
 SPACES = r"[\x20\x09-\x0D]+"
+BITMAP_BITS = 1 << 26
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,6 +43,31 @@ def forget(*frames: DataFrame) -> None:
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def marks(ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """(_bucket, _bits): a bitmap of the hashes of the ids, of 8 MB at most however many they are."""
+    at = _mark(id_col)
+    return ids.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits")
+    )
+
+
+def perhaps_in(df: DataFrame, bitmap: DataFrame, id_col: str = "id", how: str = "left_semi") -> DataFrame:
+    """The rows whose id has its hash in ``bitmap``, or with ``left_anti`` the others, without a shuffle.
+
+    Every row with one of the bitmap's ids is among the former, and some more:
+    an exact join must follow, which then shuffles few rows in vain. With very
+    many ids the bitmap is full and only that join is left.
+    """
+    place = F.bitmap_bit_position(_mark(id_col))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.getbit(byte, (place % 8).cast("int")) == 1
+    return df.join(F.broadcast(bitmap), (F.bitmap_bucket_number(_mark(id_col)) == F.col("_bucket")) & there, how)
+
+
+def _mark(id_col: str) -> Column:
+    return F.pmod(F.xxhash64(id_col), F.lit(BITMAP_BITS)) + 1
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwatch.llm.common import connected_components, forget, map_batches, stored, words
+from driftwatch.llm.common import connected_components, forget, map_batches, marks, perhaps_in, stored, words
 
 TREES = 12
 DEPTH = 4
@@ -181,7 +181,8 @@ def _full_sets(ids: DataFrame, documents: DataFrame, id_col: str, text: str, wid
         sets = [shingle_set(t, width).astype(np.int64) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "items"])
 
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi")
+    # most texts have no candidate partner: the bitmap keeps them out of the shuffle of the exact join
+    texts = perhaps_in(documents.select(F.col(id_col).alias("id"), F.col(text).alias("t")), marks(ids)).join(ids, "id", "left_semi")
     return map_batches(texts, run, f"id {id_type}, items array<long>")
 
 
@@ -324,7 +325,9 @@ def near_duplicates(
     if inside.head(1):
         links = links.unionByName(inside)
         groups = stored(connected_components(links))
-    across = _confirmed(_across(pairs.select("a", "b").distinct(), groups, crowds), sets, percent)
+    apart = stored(_across(pairs.select("a", "b").distinct(), groups, crowds))
+    ends = apart.select(F.col("a").alias("id")).union(apart.select("b"))
+    across = _confirmed(apart, perhaps_in(sets, marks(ends)), percent)
     if across.head(1):
         links = links.unionByName(across)
         groups = stored(connected_components(links))
@@ -340,5 +343,5 @@ def near_duplicates(
             F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (component == F.col("id")).alias("kept")
         )
     )
-    forget(mine, heads, *levels, crowded, crowds, best, sets, inside, across, links, groups)
+    forget(mine, heads, *levels, crowded, crowds, best, sets, inside, apart, across, links, groups)
     return result

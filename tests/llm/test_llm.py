@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftwatch.llm import (
+from driftwatch.llm import common, (
     common,
     context_mixing,
     fingerprints,
@@ -412,3 +412,13 @@ def test_pipeline(spark):
         now = after
     rows = corpus_pipeline.STAGES[-1][1](spark, now, SF).collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in now.collect()}
+
+
+def test_bitmap_keeps_every_id(spark):
+    rows = spark.range(-3000, 3000).selectExpr("id", "'t' AS text").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS id, 't' AS text"))
+    ids = spark.range(0, 500)
+    inside = common.perhaps_in(rows, common.marks(ids))
+    outside = common.perhaps_in(rows, common.marks(ids), how="left_anti")
+    assert {r["id"] for r in ids.collect()} <= {r["id"] for r in inside.collect()}
+    assert inside.count() + outside.count() == 6001 and inside.count() < 600
+    assert common.perhaps_in(rows, common.marks(ids.limit(0))).count() == 0
