@@ -114,12 +114,16 @@ def _map(data_type: T.MapType, value: Column, null_as: str) -> Column:
     return DOCUMENT_OVERHEAD + F.aggregate(sizes, F.lit(0).cast("long"), lambda a, b: a + b)
 
 
+# JSON parsers refuse deeper documents.
+PARSER_DEPTH = 1000
+
+
 def variant_bytes(doc: Column, max_depth: int = 16) -> Column:
     """Size of a dynamic document.
 
     A document's size is the sum of what each node adds by itself, so the
-    nodes are summed level by level. Deeper documents than ``max_depth`` fail
-    rather than count short.
+    nodes are summed level by level, first ``max_depth`` levels, and for a
+    document with more all that a parser accepts.
     """
     zero = F.lit(0).cast("long")
 
@@ -129,12 +133,20 @@ def variant_bytes(doc: Column, max_depth: int = 16) -> Column:
 
     root = F.array(F.struct(zero.alias("name"), doc.alias("v"), _type_head(doc).alias("head")))
     start = F.struct(F.lit(DOCUMENT_OVERHEAD).cast("long").alias("total"), _members(root).alias("nodes"))
+
+    def finished(acc: Column, beyond: Column) -> Column:
+        return F.when(F.size(acc["nodes"]) == 0, acc["total"]).otherwise(beyond)
+
+    too_deep = F.raise_error(F.lit(f"document deeper than {PARSER_DEPTH} levels")).cast("long")
     whole = F.aggregate(
         F.sequence(F.lit(1), F.lit(max_depth)),
         start,
         level,
-        lambda acc: F.when(F.size(acc["nodes"]) == 0, acc["total"]).otherwise(
-            F.raise_error(F.lit(f"document deeper than {max_depth} levels")).cast("long")
+        lambda acc: finished(
+            acc,
+            F.aggregate(
+                F.sequence(F.lit(max_depth + 1), F.lit(PARSER_DEPTH)), acc, level, lambda rest: finished(rest, too_deep)
+            ),
         ),
     )
     return F.when(doc.isNotNull(), whole)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftwatch.functions.scores import ANOMALY_Z, kilobytes, severity, z_confidence
 from driftwatch.functions.sizes import document_bytes
-from driftwatch.session import bounded
+from driftwatch.session import bounded, null_safe_join
 
 # Baseline of a key that has none, and the smallest deviation.
 DEFAULT_MEAN, DEFAULT_STDDEV, MIN_STDDEV = 1000.0, 500.0, 1.0
@@ -20,7 +20,7 @@ def with_z(
     """Adds ``bytes``, ``mean_bytes`` and ``z`` to every document."""
     size = document_bytes(docs) if size is None else size
     side = bounded(baseline.select(key, F.col("mean_bytes").alias("_mean"), F.col("stddev_bytes").alias("_sd")))
-    joined = docs.withColumn("bytes", size).join(side, key, "left")
+    joined = null_safe_join(docs.withColumn("bytes", size), side, key, "left")
     center = F.coalesce(F.col("_mean"), F.lit(mean))
     spread = F.greatest(F.coalesce(F.col("_sd"), F.lit(stddev)), F.lit(MIN_STDDEV))
     return joined.withColumns({"mean_bytes": center, "z": (F.col("bytes") - center) / spread}).drop("_mean", "_sd")
@@ -81,18 +81,20 @@ def escalate(anomalies: DataFrame, threats: DataFrame, doc_id: str = "document_i
     """Marks anomalies whose document carries a threat.
 
     Only a size spike is re-typed; its severity becomes that of the threat.
-    ``threats`` has one row per document, so the join stays one to one. It is
+    ``threats`` has one row per document, so the join stays one to one; ids are
+    unique only within a collection, so a ``collection_name`` there must agree. It is
     not filtered by verdict here: that predicate would be pushed down to the
     documents and have every one of them scanned before any join.
     """
+    on = [c for c in ("collection_name", doc_id) if c in threats.columns]
     side = threats.select(
-        F.col(doc_id),
+        *on,
         F.col("severity").alias("_severity"),
         F.col("matches").alias("ai_threat_matches"),
         F.col("confidence").alias("ai_threat_confidence"),
         F.col("threat_detected").alias("_hit"),
     )
-    joined = anomalies.join(side, doc_id, "left")
+    joined = null_safe_join(anomalies, side, on, "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     retyped = hit & (F.col("anomaly_type") == "DOC_SIZE_SPIKE")
     return joined.withColumns(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwatch.session import keys_of
+from driftwatch.session import keys_of, null_safe_join
 
 # Fixed value: a mean that moved by more than this percentage is refreshed.
 STABLE_PERCENT = 5.0
@@ -20,7 +20,7 @@ def schema_changes(live: DataFrame, stored: DataFrame, key) -> DataFrame:
     keys = keys_of(key)
     now = live.select(*keys, "field", F.array_sort("types").alias("now"))
     was = stored.select(*keys, "field", F.array_sort("types").alias("was"))
-    both = now.join(was, [*keys, "field"], "full_outer")
+    both = null_safe_join(now, was, [*keys, "field"], "full_outer")
     change = (
         F.when(F.col("was").isNull(), F.lit("added"))
         .when(F.col("now").isNull(), F.lit("removed"))
@@ -68,8 +68,8 @@ def schema_after_drift(live: DataFrame, stored: DataFrame, key) -> DataFrame:
     """
     keys = keys_of(key)
     drifting = schema_changes(live, stored, keys).filter(F.col("change").isNotNull()).select(*keys).distinct()
-    kept = stored.select(*keys, "field", "types").join(drifting, keys, "left_anti")
-    taken = live.select(*keys, "field", "types").join(drifting, keys, "left_semi")
+    kept = null_safe_join(stored.select(*keys, "field", "types"), drifting, keys, "left_anti")
+    taken = null_safe_join(live.select(*keys, "field", "types"), drifting, keys, "left_semi")
     return kept.unionByName(taken)
 
 
@@ -92,7 +92,7 @@ def refresh_baseline(fresh: DataFrame, stored: DataFrame, key) -> DataFrame:
         F.col("stddev_bytes").alias("old_sd"),
         F.col("sample_count").alias("old_n"),
     )
-    both = new.join(old, keys, "full_outer")
+    both = null_safe_join(new, old, keys, "full_outer")
     missing = F.coalesce(F.col("old_mean"), F.lit(0.0)) == 0
     empty = F.col("fresh_mean").isNull()
     percent = F.abs(F.col("fresh_mean") - F.col("old_mean")) / F.greatest("old_mean", F.lit(1.0)) * 100.0

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from driftwatch.functions import scores
 from driftwatch.functions import templates as T
 from driftwatch.functions.text import title_case, usable_reply
-from driftwatch.session import bounded
+from driftwatch.session import bounded, null_safe_join
 
 
 def _lookup(table: dict, key: Column, default: Column) -> Column:
@@ -235,15 +235,15 @@ def incident_reports(
 ) -> DataFrame:
     """One report per anomaly.
 
-    ``similar`` (per document_id: top_match_score, estimated_resolution_minutes,
+    ``similar`` (per document_id, and collection_name if it has one: top_match_score, estimated_resolution_minutes,
     pattern_identified) and ``drift`` (per collection_name, from the schema
     check) are optional signals.
     """
     base = with_counts(anomalies, counts)
     if similar is not None:
         signal = ["top_match_score", "estimated_resolution_minutes", "pattern_identified"]
-        side = similar.select("document_id", *[F.col(c).alias(f"_{c}") for c in signal])
-        base = base.join(side, "document_id", "left")
+        on = [c for c in ("collection_name", "document_id") if c in similar.columns]
+        base = null_safe_join(base, similar.select(*on, *[F.col(c).alias(f"_{c}") for c in signal]), on, "left")
     else:
         base = base.withColumns(
             {

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from driftwatch.functions.scores import ANOMALY_Z, CRITICAL_Z, kilobytes
 from driftwatch.functions.sizes import document_bytes
-from driftwatch.session import keys_of
+from driftwatch.session import keys_of, null_safe_join
 
 # Buckets keep the leading bits of a value: at most 2**BUCKET_BITS per octave.
 BUCKET_BITS = 10
@@ -121,8 +121,7 @@ def _percentiles(hist: DataFrame, coarse: DataFrame, keys: list[str], probs: lis
     ).filter(F.size("ws") > 0)
     by_value = Window.partitionBy(*keys, "low").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     found = (
-        hist.withColumn("low", _bucket_low(F.col(value)))
-        .join(hits, [*keys, "low"])
+        null_safe_join(hist.withColumn("low", _bucket_low(F.col(value))), hits, [*keys, "low"])
         .withColumn("upto", F.col("before") + F.sum("n").over(by_value))
         .select(
             *keys,
@@ -195,8 +194,7 @@ def size_baseline(df: DataFrame, key, size: Column | None = None, full: bool = F
     coarse = _coarse(hist, keys, "bytes")
     cuts = _percentiles(hist, coarse, keys, [0.5, 0.95, 0.99], "bytes")
     return (
-        _moments(coarse, keys)
-        .join(cuts, keys)
+        null_safe_join(_moments(coarse, keys), cuts, keys)
         .select(
             *keys,
             "mean_bytes",
@@ -356,7 +354,7 @@ def live_schema(df: DataFrame, key, doc: str | None = None, min_share: float = 0
     found = _field_types(df, keys, doc, CLIENT_TYPES)
     if min_share > 0:
         total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
-        found = found.join(total, keys).filter(F.col("count") >= min_share * F.col("total")).drop("total")
+        found = null_safe_join(found, total, keys).filter(F.col("count") >= min_share * F.col("total")).drop("total")
     return found.drop("count")
 
 
@@ -371,8 +369,7 @@ def schema_examples(df: DataFrame, key, order: str, doc: str | None = None) -> D
         .groupBy(*keys, "field")
         .agg(F.array_sort(F.collect_set("type")).alias("types"), F.min_by("text", "ord").alias("example"))
     )
-    counts = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("field_count"))
-    return found.join(counts, keys)
+    return found.withColumn("field_count", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
 
 
 def first_types(df: DataFrame, key, order: str, doc: str | None = None) -> DataFrame:
@@ -429,7 +426,7 @@ def health_card(df: DataFrame, key, size: Column | None = None, layout: DataFram
     keys = keys_of(key)
     base = size_baseline(df, keys, size, full=True)
     if layout is not None:
-        base = base.join(layout.select(*keys, "index_count"), keys, "left")
+        base = null_safe_join(base, layout.select(*keys, "index_count"), keys, "left")
     else:
         base = base.withColumn("index_count", F.lit(0))
     p50, p95, p99 = F.col("p50_bytes"), F.col("p95_bytes"), F.col("p99_bytes")

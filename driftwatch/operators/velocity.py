@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from driftwatch.functions import scores
 from driftwatch.functions.vectors import unit, unit_cosine_distance
 from driftwatch.operators.evaluate import evaluate
-from driftwatch.session import bounded, keys_of
+from driftwatch.session import bounded, keys_of, null_safe_join
 
 # Smallest deviation and mean used as divisors, newest rows and
 # bucket size of the cold-start fallback.
@@ -176,20 +176,19 @@ def velocity_input(
 
     now = _lookback(usable(live), ts, as_of, hours)
     past = _lookback(usable(history), ts, as_of, hours)
-    rows = now.unionByName(past.join(rich(now), keys, "left_anti"))
+    rows = now.unionByName(null_safe_join(past, rich(now), keys, "left_anti"))
     if fallback != "recent":
         return rows
     enough = rich(rows)
     newest = Window.partitionBy(*keys).orderBy(F.desc(ts))
     synthetic = (
-        usable(history)
-        .join(enough, keys, "left_anti")
+        null_safe_join(usable(history), enough, keys, "left_anti")
         .withColumn("rn", F.row_number().over(newest))
         .filter(F.col("rn") <= RECENT_ROWS)
         .withColumn(ts, as_of - F.make_dt_interval(hours=F.floor((F.col("rn") - 1) / RECENT_BUCKET).cast("int")))
         .select(*columns)
     )
-    return rows.join(enough, keys, "left_semi").unionByName(synthetic)
+    return null_safe_join(rows, enough, keys, "left_semi").unionByName(synthetic)
 
 
 def series_zscores(df: DataFrame, key, value: str) -> DataFrame:
@@ -197,7 +196,7 @@ def series_zscores(df: DataFrame, key, value: str) -> DataFrame:
     keys = keys_of(key)
     stats = bounded(df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd")))
     z = F.when(F.col("_sd") > 0, (F.col(value) - F.col("_mean")) / F.col("_sd")).otherwise(F.lit(0.0))
-    return df.join(stats, keys).withColumn("z", z).drop("_mean", "_sd")
+    return null_safe_join(df, stats, keys).withColumn("z", z).drop("_mean", "_sd")
 
 
 def peak_zscore(df: DataFrame, key, order: str, value: str) -> DataFrame:

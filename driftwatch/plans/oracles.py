@@ -48,6 +48,19 @@ ORACLES["full_baseline"] = f"""WITH {full("source")} SELECT source, n AS sample_
  round(p95, 6) AS p95_bytes, round(p99, 6) AS p99_bytes, round(m + 2.0e0 * sd, 6) AS warning_threshold_bytes,
  round(m + 3.5e0 * sd, 6) AS critical_threshold_bytes FROM full_base"""
 
+NULL_KEY = f"(SELECT doc_id, nullif(lang, 'fr') AS lang, {DOC_BYTES} AS b FROM documents)"
+ORACLES["null_key_baseline"] = f"""SELECT lang, count(*) AS sample_count, min(b) AS min_bytes, max(b) AS max_bytes,
+ round(avg(b), 6) AS mean_bytes, round(stddev_samp(b), 6) AS stddev_bytes, round(quantile_cont(CAST(b AS DOUBLE), 0.5), 6) AS p50_bytes,
+ round(quantile_cont(CAST(b AS DOUBLE), 0.99), 6) AS p99_bytes FROM {NULL_KEY} GROUP BY lang"""
+ORACLES["null_key_zscores"] = """WITH e AS (SELECT event_id, nullif(event_type, 'view') AS event_type, value FROM events),
+ s AS (SELECT *, avg(value) OVER (PARTITION BY event_type) AS m, stddev_pop(value) OVER (PARTITION BY event_type) AS sd FROM e)
+ SELECT event_id, round(CASE WHEN sd > 0 THEN (value - m) / sd ELSE 0 END, 6) AS z FROM s"""
+ORACLES["null_key_refresh"] = f"""WITH g AS (SELECT lang, doc_id % 2 AS half, avg(b) AS m, count(*) AS n FROM {NULL_KEY} GROUP BY ALL),
+ j AS (SELECT f.lang, o.m AS om, o.n AS onn, f.m AS fm, f.n AS fnn, abs(f.m - o.m) / greatest(o.m, 1) * 100 AS pct
+  FROM g f JOIN g o ON f.lang IS NOT DISTINCT FROM o.lang WHERE f.half = 1 AND o.half = 0)
+ SELECT lang, pct > 5 AS drifted, round(pct, 2) AS drift_pct, CASE WHEN pct > 5 THEN 'refreshed' ELSE 'none' END AS action, pct <= 5 AS stable,
+ round(CASE WHEN pct > 5 THEN fm ELSE om END, 6) AS mean_bytes, CASE WHEN pct > 5 THEN fnn ELSE onn END AS sample_count FROM j"""
+
 HEALTH = f"""{full("lang")}, card AS (SELECT *, p95 / greatest(p50, 1) AS skew FROM full_base),
  scored AS (SELECT *, round(greatest(0e0, 7.0e0 - CASE WHEN skew > 20 THEN 2.5e0 WHEN skew > 5 THEN 1.0e0 ELSE 0e0 END
  - CASE WHEN p99 > 1048576 THEN 2.0e0 ELSE 0e0 END - CASE WHEN hi > 8388608 THEN 1.5e0 ELSE 0e0 END), 1) AS health_score FROM card)"""

@@ -72,6 +72,29 @@ def full_baseline(spark, sf):
     return b.select("source", "sample_count", "min_bytes", "max_bytes", *[r6(c) for c in doubles])
 
 
+@query
+def null_key_baseline(spark, sf):
+    """Documents of one language lose their key, which is then a key of its own."""
+    docs = I.table(spark, sf, "documents").withColumn("bytes", document_bytes(I.table(spark, sf, "documents")))
+    b = profile.size_baseline(docs.withColumn("lang", F.expr("nullif(lang, 'fr')")), "lang", F.col("bytes"), full=True)
+    return b.select("lang", "sample_count", "min_bytes", "max_bytes", *[r6(c) for c in ("mean_bytes", "stddev_bytes", "p50_bytes", "p99_bytes")])
+
+
+@query
+def null_key_zscores(spark, sf):
+    events = I.table(spark, sf, "events").select("event_id", F.expr("nullif(event_type, 'view')").alias("event_type"), "value")
+    return velocity.series_zscores(events, "event_type", "value").select("event_id", r6("z"))
+
+
+@query
+def null_key_refresh(spark, sf):
+    docs = I.table(spark, sf, "documents").withColumn("bytes", document_bytes(I.table(spark, sf, "documents")))
+    docs = docs.withColumn("lang", F.expr("nullif(lang, 'fr')"))
+    halves = [profile.size_baseline(docs.filter(f"doc_id % 2 = {k}"), "lang", F.col("bytes")) for k in (1, 0)]
+    r = drift.refresh_baseline(*halves, "lang")
+    return r.select("lang", "drifted", "drift_pct", "action", "stable", r6("mean_bytes"), "sample_count")
+
+
 @query
 def health_card(spark, sf):
     docs = I.table(spark, sf, "documents")

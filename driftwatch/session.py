@@ -4,6 +4,8 @@ the size-checked broadcast used by every join with a side of unknown size."""
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,5 +88,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if estimated_bytes(df) < split * cores / 2 else df
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, key, how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys meet each other; the key columns appear once."""
+    keys = keys_of(key)
+    side = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    both = left.join(side, same, how)
+    if how in ("left_semi", "left_anti"):
+        return both
+    if how == "full_outer":
+        both = both.withColumns({k: F.coalesce(k, f"_right_{k}") for k in keys})
+    return both.drop(*[f"_right_{k}" for k in keys])
+
+
 def keys_of(key: str | list[str] | tuple[str, ...]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)

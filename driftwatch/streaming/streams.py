@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from driftwatch.functions.sizes import document_bytes
 from driftwatch.operators import anomaly, correlate, incident, runway, threats
 from driftwatch.operators.folds import Fold
-from driftwatch.session import bounded, keys_of, materialize
+from driftwatch.session import bounded, keys_of, materialize, null_safe_join
 from driftwatch.sources import tables
 
 # Late rows are waited for this long.
@@ -115,18 +115,23 @@ def anomaly_batch(
 
 def enrich(
     anomalies: DataFrame, docs: DataFrame, doc_id: str, drift: DataFrame | None = None, velocity: DataFrame | None = None,
-    runways: DataFrame | None = None, columns: list[str] | None = None, doc: str | None = None,
+    runways: DataFrame | None = None, columns: list[str] | None = None, doc: str | None = None, key: str | None = None,
 ) -> DataFrame:
     """Adds threat, drift, velocity and runway signals to anomalies.
 
     Anomalies are found once and stored; only the documents they flag are
     scanned. ``drift``, ``velocity`` and
-    ``runways`` are reports with one row per ``collection_name``.
+    ``runways`` are reports with one row per ``collection_name``. ``key`` names
+    the collection of a document where ids repeat between collections.
     """
     anomalies = materialize(anomalies)
-    wanted = bounded(anomalies.select("document_id").distinct())
-    flagged = docs.withColumn("document_id", F.col(doc_id).cast("string")).join(wanted, "document_id", "left_semi")
-    out = anomaly.escalate(anomalies, threats.scan_threats(flagged, "document_id", columns, doc))
+    on = ["document_id"] if key is None else ["collection_name", "document_id"]
+    named = docs.withColumn("document_id", F.col(doc_id).cast("string"))
+    if key is not None:
+        named = named.withColumn("collection_name", F.col(key))
+    flagged = null_safe_join(named, bounded(anomalies.select(*on).distinct()), on, "left_semi")
+    found = threats.scan_threats(flagged, "document_id", columns or docs.columns, doc, keep=on[:-1])
+    out = anomaly.escalate(anomalies, found)
     if drift is not None:
         out = out.join(drift.select("collection_name", F.col("drift_detected").alias("schema_drift")), "collection_name", "left")
     if velocity is not None:
@@ -154,7 +159,7 @@ def incident_batch(
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         found = anomaly.size_anomalies(batch, baselines(), key, doc_id, F.col(detected_at), document_bytes(batch, columns, doc=doc))
-        enriched = enrich(found, batch, doc_id, columns=columns, doc=doc).persist()
+        enriched = enrich(found, batch, doc_id, columns=columns, doc=doc, key=key).persist()
         tables.merge_keep_existing(anomaly_sink, enriched, ["collection_name", "document_id", "detected_at"], "detected_at")
         reports = incident.incident_reports(enriched, counts())
         tables.merge_keep_existing(incident_sink, reports, ["incident_id", "detected_at"], "detected_at")
