@@ -130,7 +130,7 @@ def enrich(
     if key is not None:
         named = named.withColumn("collection_name", F.col(key))
     flagged = null_safe_join(named, bounded(anomalies.select(*on).distinct()), on, "left_semi")
-    found = threats.scan_threats(flagged, "document_id", columns or docs.columns, doc, keep=on[:-1])
+    found = threats.scan_threats(flagged, "document_id", columns or (None if doc else docs.columns), doc, keep=on[:-1])
     out = anomaly.escalate(anomalies, found)
     if drift is not None:
         out = out.join(drift.select("collection_name", F.col("drift_detected").alias("schema_drift")), "collection_name", "left")
