@@ -46,9 +46,14 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and offset."""
-    pieces = packing.token_pieces(docs, queries.vocabulary(), id_col="doc_id").drop("token_ids")
-    return packing.pack_pieces(pieces, id_col="doc_id", rows=docs.count())
+    """Token pieces with their sequence and offset; ``sequence_id`` follows the Pfair schedule of the sources."""
+    # a written table keeps no order, so the schedule is decided again, from the same rows
+    named = docs.select(F.struct("doc_id", "source").alias("who"), "text")
+    pieces = packing.token_pieces(named, queries.vocabulary(), id_col="who").drop("token_ids").select("who.*", "piece", "start", "length")
+    places = mixing.slot_places(docs, key="source", id_col="doc_id").select("_key", "_id", "slot")
+    mine = F.col("source").eqNullSafe(F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    placed = stored(pieces.join(places, mine).select("doc_id", "piece", "start", "length", "slot"))
+    return packing.pack_pieces(placed, id_col="doc_id", order="slot").drop("slot")
 
 
 STAGES = [

@@ -103,8 +103,24 @@ def mix_collections(
     replaced. A large collection is split by hash ranges, never gathered.
     """
     base = documents.drop("block", "release", "deadline", "slot")
+    places = slot_places(base, weights, key, id_col, text, block_chars, period, power)
+    mine = F.col(key).eqNullSafe(F.col("_key")) & F.col(id_col).eqNullSafe(F.col("_id"))
+    return base.join(places, mine).drop("_key", "_id")
+
+
+def slot_places(
+    documents: DataFrame,
+    weights: DataFrame | None = None,
+    key: str = "collection_name",
+    id_col: str = "document_id",
+    text: str = "text",
+    block_chars: int = BLOCK_CHARS,
+    period: int = PERIOD,
+    power: float = 0.5,
+) -> DataFrame:
+    """(_key, _id, block, release, deadline, slot): the places of :func:`mix_collections`, one row for each collection and id."""
     # everything is decided on narrow rows; the texts are only read for their length
-    sized = base.groupBy(F.col(key).alias("_key"), F.col(id_col).alias("_id")).agg(
+    sized = documents.groupBy(F.col(key).alias("_key"), F.col(id_col).alias("_id")).agg(
         F.sum(F.length(F.coalesce(F.col(text), F.lit(""))).cast("long")).alias("_chars")
     )
     sized = stored(sized)
@@ -119,7 +135,7 @@ def mix_collections(
         F.broadcast(shares), F.col("_key").eqNullSafe(F.col("_sk")), "left"
     )
     jobs = slots.select(F.col(key).alias("_jk"), F.col("job").alias("_j"), F.col("slot_in_period").cast("long").alias("_s"))
-    places = blocks.join(
+    return blocks.join(
         F.broadcast(jobs), F.col("_key").eqNullSafe(F.col("_jk")) & (F.col("block") % F.col("_a") == F.col("_j")), "left"
     ).select(
         "_key",
@@ -129,5 +145,3 @@ def mix_collections(
         F.ceil((F.col("block") + 1) * F.col("_p") / F.col("_a")).cast("long").alias("deadline"),
         ((F.col("block") / F.col("_a")).cast("long") * F.col("_p") + F.col("_s")).alias("slot"),
     )
-    mine = F.col(key).eqNullSafe(F.col("_key")) & F.col(id_col).eqNullSafe(F.col("_id"))
-    return base.join(places, mine).drop("_key", "_id")

@@ -414,6 +414,45 @@ def test_pipeline(spark):
     assert {r.doc_id for r in rows} == {r.doc_id for r in now.collect()}
 
 
+def test_pipeline_sequences_keep_to_weights(spark):
+    import corpus_pipeline
+
+    # sizes 4 : 1 : 1, so weights 2 : 1 : 1 until the small sources run out after two thirds
+    source = F.expr("CASE id % 6 WHEN 0 THEN 'b' WHEN 1 THEN 'c' ELSE 'a' END")
+    text = F.expr("concat(repeat('some words of a text ', 28), id)")
+    docs = spark.range(18_000).select(F.col("id").alias("doc_id"), text.alias("text"), source.alias("source"))
+    stages = dict(corpus_pipeline.STAGES)
+    mixed = common.stored(stages["mixing"](spark, docs, SF))
+    placed = stages["packing"](spark, mixed, SF)
+    assert set(placed.columns) == {"doc_id", "piece", "start", "length", "sequence_id", "offset"}
+    sums = placed.join(docs, "doc_id").groupBy("sequence_id", "source").agg(F.sum("length").alias("n")).orderBy("sequence_id").collect()
+    total, had, checked = sum(r.n for r in sums), collections.Counter(), 0
+    for k, r in enumerate(sums):
+        had[r.source] += r.n
+        done = sum(had.values())
+        if 0.1 * total < done < 0.6 * total and sums[k + 1].sequence_id != r.sequence_id:
+            checked += 1
+            assert abs(had["a"] / done - 0.5) < 0.05 and abs(had["b"] / done - 0.25) < 0.05
+    assert checked > 100
+    again = stages["packing"](spark, docs.repartition(7), SF)
+    assert sorted(again.collect()) == sorted(placed.collect())
+
+
+def test_packing_in_order(spark):
+    rows = [(i % 5, i, None if i % 7 == 6 else i % 7 * 3, 10 + i % 90) for i in range(2000)]
+    pieces = spark.createDataFrame(rows, "piece int, document_id long, place long, length long")
+    got = packing.pack_pieces(pieces, shard_rows=200, capacity=100, order="place").collect()
+    assert sorted((r.piece, r.document_id, r.place, r.length) for r in got if r.place is not None) == sorted(r for r in rows if r[2] is not None)
+    assert len(got) == 2000
+    spans = collections.defaultdict(list)
+    for r in got:
+        spans[r.sequence_id >> 32].append(99 if r.place is None else r.place)
+    ranges = [spans[k] for k in sorted(spans)]
+    assert len(ranges) == 10 and all(max(a) <= min(b) for a, b in zip(ranges, ranges[1:]))
+    assert max(map(len, ranges)) < 300
+    assert packing.pack_pieces(pieces.limit(0), order="place").count() == 0
+
+
 def test_bitmap_keeps_every_id(spark):
     rows = spark.range(-3000, 3000).selectExpr("id", "'t' AS text").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS id, 't' AS text"))
     ids = spark.range(0, 500)
