@@ -5,7 +5,8 @@ The search is a block join. Queries that fit one block (32 MB of vectors, by
 counted rows) are sent to all tasks, and the history is read once where it
 lies, without a shuffle. More queries are split into blocks by a hash of their
 id, and so is the history; every pair of blocks meets in one task as two
-matrices. Only the best ``k`` per query leave a task, so no task or driver ever
+matrices. Only the best ``k`` per query, of different keys where near-duplicates
+collapse, leave a task, so no task or driver ever
 holds an unbounded side and no pair list is produced. In the block join,
 equality columns (pre-filters) become part of the block key, so only rows that
 agree on them meet.
@@ -26,9 +27,8 @@ from pyspark.sql import functions as F
 from driftwatch.functions.text import duplicate_key
 from driftwatch.session import bounded, keys_of, materialize, spread
 
-# Matches returned, candidates ranked before the collapse,
-# default resolution time.
-MATCHES, CANDIDATES, DEFAULT_MINUTES = 3, 60, 30
+# Matches returned, default resolution time.
+MATCHES, DEFAULT_MINUTES = 3, 30
 # Memory of one block of vectors inside a task.
 BLOCK_BYTES = 32 * 1024 * 1024
 MIN_BLOCK_ROWS = 256
@@ -49,29 +49,36 @@ def _blocks(df: DataFrame, row_id: str, mine: str, other: str, n_mine: int, n_ot
 
 def nearest(
     queries: DataFrame, history: DataFrame, query_id: str, history_id: str, emb: str, k: int, match_on=(),
-    exclude_same: bool = False, rows_per_block: int | None = None,
+    exclude_same: bool = False, rows_per_block: int | None = None, distinct: Column | None = None,
 ) -> DataFrame:
     """Rows (query_id, history_id, score, rank) of the ``k`` best per query.
 
+    With ``distinct``, a string of the history, only the best row of each of
+    its values counts, null being one value.
+
     Exact: every query meets every history row that agrees on ``match_on``.
     Scores are cosines rounded to 6 places, ties go to the smaller id. A
     vector of zero length scores 0.
     """
     same = keys_of(match_on)
     q = queries.filter(F.col(emb).isNotNull()).select(F.col(query_id).alias("q"), F.col(emb).alias("qv"), *same)
-    h = history.filter(F.col(emb).isNotNull()).select(F.col(history_id).alias("h"), F.col(emb).alias("hv"), *same)
+    h = history.filter(F.col(emb).isNotNull()).select(F.col(history_id).alias("h"), F.col(emb).alias("hv"), *same, _text_key(distinct).alias("_c"))
     q = materialize(q)
     if rows_per_block is None:
         widest = h.agg(F.max(F.size("hv")).alias("d")).first()["d"]
         rows_per_block = block_rows(widest or 1)
     types = dict(q.dtypes), dict(h.dtypes)
-    schema = f"q {types[0]['q']}, h {types[1]['h']}, score double"
+    schema = f"q {types[0]['q']}, h {types[1]['h']}, score double, c string"
+    once = distinct is not None
     n_q = max(1, ceil(q.count() / rows_per_block))
     if n_q == 1:
-        found = _scan(q, h, same, k, exclude_same, schema)
+        found = _scan(q, h, same, k, exclude_same, schema, once)
     else:
-        found = _block_join(q, h, same, k, exclude_same, schema, n_q, rows_per_block)
+        found = _block_join(q, h, same, k, exclude_same, schema, n_q, rows_per_block, once)
     order = Window.partitionBy("q").orderBy(F.desc("score"), "h")
+    if once:
+        first = Window.partitionBy("q", "c").orderBy(F.desc("score"), "h")
+        found = found.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
     return (
         found.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
@@ -79,7 +86,12 @@ def nearest(
     )
 
 
-def _scan(q: DataFrame, h: DataFrame, same: list[str], k: int, exclude_same: bool, schema: str) -> DataFrame:
+def _text_key(distinct: Column | None) -> Column:
+    """The values of ``distinct`` as strings, null apart from all of them."""
+    return F.lit(None).cast("string") if distinct is None else F.coalesce(F.concat(F.lit("="), distinct), F.lit(""))
+
+
+def _scan(q: DataFrame, h: DataFrame, same: list[str], k: int, exclude_same: bool, schema: str, once: bool) -> DataFrame:
     """One pass over the history against one block of queries."""
     rows = q.collect()  # one block of vectors at most
     ids = np.array([r["q"] for r in rows] + [None], dtype=object)[:-1]
@@ -87,12 +99,13 @@ def _scan(q: DataFrame, h: DataFrame, same: list[str], k: int, exclude_same: boo
     targets = _unit_rows(pd.Series([np.asarray(r["qv"], dtype=float) for r in rows])) if rows else None
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        top = [(np.array([], dtype=object), np.array([])) for _ in ids]
+        top = [(np.array([], dtype=object), np.array([]), np.array([], dtype=object)) for _ in ids]
         for pdf in batches:
             if pdf.empty or targets is None:
                 continue
             pdf = pdf.sort_values("h", kind="stable")
-            names, vectors = pdf["h"].to_numpy(dtype=object), _unit_rows(pdf["hv"])
+            names, vectors, keys = pdf["h"].to_numpy(dtype=object), _unit_rows(pdf["hv"]), pdf["_c"].to_numpy(dtype=object)
+            codes = pd.factorize(keys)[0] if once else None
             columns = [pdf[c].to_numpy(dtype=object) for c in same]
             for start in range(0, len(ids), 256):
                 block = np.round(np.clip(targets[start : start + 256] @ vectors.T, -1.0, 1.0), 6)
@@ -106,31 +119,40 @@ def _scan(q: DataFrame, h: DataFrame, same: list[str], k: int, exclude_same: boo
                         reach = np.flatnonzero(row >= top[i][1][-1])
                         if not len(reach):
                             continue
-                        places = reach[_top(row[reach], k)]
+                        places = reach[_best(row[reach], k, codes[reach] if once else None)]
                     else:
-                        places = _top(row, k)
-                    top[i] = _merge(top[i], names[places], row[places], k)
-        yield _frame([np.full(len(t[0]), i, dtype=object) for i, t in zip(ids, top)], [t[0] for t in top], [t[1] for t in top])
+                        places = _best(row, k, codes)
+                    top[i] = _merge(top[i], (names[places], row[places], keys[places]), k, once)
+        yield _frame([np.full(len(t[0]), i, dtype=object) for i, t in zip(ids, top)], *[[t[j] for t in top] for j in range(3)])
 
     return spread(h).mapInPandas(best, schema)
 
 
-def _merge(old: tuple, names: np.ndarray, scores: np.ndarray, k: int) -> tuple:
-    """The ``k`` best of two short lists; of equal scores the smaller ids."""
-    names, scores = np.concatenate([old[0], names]), np.concatenate([old[1], scores])
-    order = sorted(range(len(scores)), key=lambda j: (-scores[j], names[j]))[:k]
-    return names[order], scores[order]
+def _merge(old: tuple, new: tuple, k: int, once: bool) -> tuple:
+    """The ``k`` best of two short lists, with ``once`` of different keys; of equal scores the smaller ids."""
+    names, scores, keys = (np.concatenate(x) for x in zip(old, new))
+    order = sorted(range(len(scores)), key=lambda j: (-scores[j], names[j]))
+    if once:
+        first: dict = {}
+        for j in order:
+            first.setdefault(keys[j], j)
+        order = list(first.values())
+    return names[order[:k]], scores[order[:k]], keys[order[:k]]
 
 
-def _frame(ids: list, hits: list, scores: list) -> pd.DataFrame:
-    ids, hits, scores = (np.concatenate(x) if x else np.array([], dtype=object) for x in (ids, hits, scores))
+def _frame(ids: list, hits: list, scores: list, keys: list) -> pd.DataFrame:
+    ids, hits, scores, keys = (np.concatenate(x) if x else np.array([], dtype=object) for x in (ids, hits, scores, keys))
     return pd.DataFrame(
-        {"q": pd.Series(ids, dtype=object), "h": pd.Series(hits, dtype=object), "score": pd.Series(scores, dtype=float)}
+        {
+            "q": pd.Series(ids, dtype=object), "h": pd.Series(hits, dtype=object),
+            "score": pd.Series(scores, dtype=float), "c": pd.Series(keys, dtype=object),
+        }
     )
 
 
 def _block_join(
-    q: DataFrame, h: DataFrame, same: list[str], k: int, exclude_same: bool, schema: str, n_q: int, rows_per_block: int
+    q: DataFrame, h: DataFrame, same: list[str], k: int, exclude_same: bool, schema: str, n_q: int, rows_per_block: int,
+    once: bool,
 ) -> DataFrame:
     """Every block of queries against every block of the history."""
     n_h = _history_blocks(h, h.count(), n_q, rows_per_block)
@@ -138,19 +160,21 @@ def _block_join(
     right = _blocks(h, "h", "hb", "qb", n_h, n_q)
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        ids, hits, scores = [], [], []
+        ids, hits, scores, found = [], [], [], []
         if len(a) and len(b):
             b = b.sort_values("h", kind="stable")
-            names, vectors = b["h"].to_numpy(dtype=object), _unit_rows(b["hv"])
+            names, vectors, keys = b["h"].to_numpy(dtype=object), _unit_rows(b["hv"]), b["_c"].to_numpy(dtype=object)
+            codes = pd.factorize(keys)[0] if once else None
             for start in range(0, len(a), 256):
                 part = a.iloc[start : start + 256]
                 block = np.round(np.clip(_unit_rows(part["qv"]) @ vectors.T, -1.0, 1.0), 6)
                 for qid, row in zip(part["q"].to_numpy(dtype=object), block):
-                    chosen = _top(np.where(names != qid, row, -np.inf) if exclude_same else row, k)
+                    chosen = _best(np.where(names != qid, row, -np.inf) if exclude_same else row, k, codes)
                     ids.append(np.full(len(chosen), qid, dtype=object))
                     hits.append(names[chosen])
                     scores.append(row[chosen])
-        return _frame(ids, hits, scores)
+                    found.append(keys[chosen])
+        return _frame(ids, hits, scores, found)
 
     return (
         left.groupBy("qb", "hb", *same).cogroup(right.groupBy("qb", "hb", *same)).applyInPandas(best, schema)
@@ -168,6 +192,19 @@ def _top(scores: np.ndarray, k: int) -> np.ndarray:
     return places[scores[places] > -np.inf]
 
 
+def _best(scores: np.ndarray, k: int, codes: np.ndarray | None) -> np.ndarray:
+    """As :func:`_top`; with ``codes``, only the best place of each code counts."""
+    if codes is None:
+        return _top(scores, k)
+    reach = k
+    while True:
+        places = _top(scores, reach)
+        first = np.unique(codes[places], return_index=True)[1]
+        if len(first) >= k or len(places) < reach:
+            return places[np.sort(first)[:k]]
+        reach *= 4
+
+
 def _history_blocks(h: DataFrame, rows: int, n_q: int, rows_per_block: int) -> int:
     """Enough blocks for the memory bound, and for all tasks to have work."""
     tasks = int(h.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -197,11 +234,11 @@ def collapse(candidates: DataFrame, query: str, kind: str, description: str, ord
 
 def similar(
     queries: DataFrame, history: DataFrame, query_id: str, history_id: str, emb: str, kind: str = "anomaly_type",
-    description: str = "description", keep: list[str] | None = None, k: int = MATCHES, candidates: int = CANDIDATES,
-    match_on=(),
+    description: str = "description", keep: list[str] | None = None, k: int = MATCHES, match_on=(),
 ) -> DataFrame:
-    """The ``k`` distinct past incidents most similar to each query."""
-    hits = nearest(queries, history, query_id, history_id, emb, candidates, match_on).drop("rank")
+    """The ``k`` distinct past incidents most similar to each query, however many near-duplicates are nearer."""
+    key = duplicate_key(F.col(kind), F.col(description))
+    hits = nearest(queries, history, query_id, history_id, emb, k, match_on, distinct=key).drop("rank")
     payload = [c for c in dict.fromkeys([history_id, kind, description, *(keep or [])])]
     joined = hits.join(history.select(*payload), history_id)
     query = query_id if query_id != history_id else "query_id"

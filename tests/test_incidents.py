@@ -149,6 +149,21 @@ def test_collapse_and_summary(spark):
     assert (top["top_match_score"], top["pattern_identified"], top["estimated_resolution_minutes"]) == (1.0, "A", 5)
 
 
+def test_similar_past_many_near_duplicates(spark):
+    rows = [(i, [1.0, i / 1e4], "A", f"drift {i}", 5) for i in range(100)]
+    rows += [(200, [1.0, 0.5], "B", "other", 6), (201, [1.0, 0.6], None, "none", 7), (202, [1.0, 0.7], "C", "last", 8), (203, [1.0, 0.65], None, "nil", 9)]
+    hist = spark.createDataFrame(rows, "hid int, emb array<double>, anomaly_type string, description string, resolution_time_minutes int")
+    q = spark.createDataFrame([(f"q{i}", [1.0, 0.0]) for i in range(3)], "qid string, emb array<double>")
+    s = similar.similar(q, hist.repartition(5), "qid", "hid", "emb", keep=["resolution_time_minutes"])
+    got = s.orderBy("qid", "rank").collect()
+    assert [(r["qid"], r["hid"]) for r in got] == [(f"q{i}", h) for i in range(3) for h in (0, 200, 201)]
+    assert {r["n_matches"] for r in similar.similar_summary(s, "qid").collect()} == {3}
+    key = F.concat_ws("|", "anomaly_type")
+    for rows_per_block in (2, 10_000):
+        out = similar.nearest(q, hist, "qid", "hid", "emb", 3, rows_per_block=rows_per_block, distinct=key).orderBy("qid", "rank")
+        assert [r["hid"] for r in out.collect()] == [0, 200, 201] * 3
+
+
 def test_text_similar_brute_force(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["red fox jumps", "blue whale swims", "the red fox", "", None])], "doc int, text string")
     q = spark.createDataFrame([(0, "Red, fox!")], "q int, text string")
