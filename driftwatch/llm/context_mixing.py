@@ -261,12 +261,6 @@ class Scorer:
         m, n, longest = self.model, len(lanes), len(lanes[0][0])
         sizes = np.array([len(x[0]) for x in lanes])
         running = np.searchsorted(-sizes, -np.arange(longest), side="left")
-        padded = []
-        for k in range(4):
-            whole = np.zeros((longest, n), lanes[0][k].dtype)
-            for j, x in enumerate(lanes):
-                whole[: len(x[k]), j] = x[k]
-            padded.append(whole)
         inputs = len(self.start)
         # one block for each bit, so that a bit's state is contiguous; lanes lie side by side
         weights = np.tile(self.start[None, :, None], (BITS, 1, n))
@@ -280,7 +274,16 @@ class Scorer:
         take = np.take
         for t in range(longest):
             a = running[t]
-            c, before, h1, h2 = (p[t, :a] for p in padded)
+            if t % SEGMENT == 0:
+                # the next stretch of all lanes side by side; their state goes on
+                padded = []
+                for k in range(4):
+                    part = np.zeros((min(SEGMENT, longest - t), a), lanes[0][k].dtype)
+                    for j in range(a):
+                        some = lanes[j][k][t : t + SEGMENT]
+                        part[: len(some), j] = some
+                    padded.append(part)
+            c, before, h1, h2 = (p[t % SEGMENT, :a] for p in padded)
             base = before << BITS
             who = lane[:a]
             node = np.ones(a, np.int64)
@@ -335,7 +338,7 @@ def score_texts(
     alone. ``id_col`` should be unique: rows with equal ids, null ids included,
     count as one text, laid one after the other. Without training rows every
     token is unknown; an empty table gives an empty result. Score adaptation
-    starts anew every 2,048 tokens, so that a long text has several lanes.
+    goes on over the whole of a text, however long.
     """
     id_type = documents.schema[id_col].dataType.simpleString()
     docs = documents.select(F.col(id_col).alias("id"), F.col(text).alias("t"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
@@ -350,14 +353,11 @@ def score_texts(
         top_log = np.concatenate([np.log10(m.top_counts + SMOOTH), np.zeros(len(m.rank_class) - len(m.top_counts))])
         no_end = END not in m.top
         for batch in batches:
-            lanes, owner, fixed, base, known, sizes, tails, bytes_ = [], [], [], [], [], [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
+            lanes, fixed, base, known, sizes, tails, bytes_ = [], [], [], [], [], [], []
+            for t in batch.column(1).to_pylist():
                 ids, tail = _ids(t, m.top)
                 cls = m.rank_class[ids]
-                made = (cls, *_contexts(ids, cls))
-                for at in range(0, len(ids), SEGMENT):
-                    lanes.append(tuple(x[at : at + SEGMENT] for x in made))
-                    owner.append(i)
+                lanes.append((cls, *_contexts(ids, cls)))
                 fixed.append(-m.class_log_mass[cls].sum())
                 base.append(top_log[ids].sum() + (math.log10(SMOOTH) if no_end else 0.0))
                 sizes.append(len(ids))
@@ -365,7 +365,7 @@ def score_texts(
                 c = Counter(tail)
                 tails.append([{"token": k, "k": v} for k, v in c.items()])
                 bytes_.append(len(t.encode("utf-8", "surrogatepass")) if t else 0)
-            bits = np.bincount(owner, scorer(lanes), minlength=batch.num_rows)
+            bits = scorer(lanes)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()),

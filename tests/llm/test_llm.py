@@ -390,6 +390,16 @@ def test_bit_probabilities_sum_to_one():
     assert sum(10 ** (whole - first)) == pytest.approx(1, abs=1e-3)
 
 
+def test_long_texts_are_mixed_as_a_whole(spark, monkeypatch):
+    texts = [("a b c d e f g " * 900, False), ("x y z " * 1500, False), ("a b", False), (None, False), ("b c d x " * 50, True)]
+    docs = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "document_id int, text string, train boolean")
+    scores = []
+    for segment in (2048, 50, 100_000):
+        monkeypatch.setattr(context_mixing, "SEGMENT", segment)
+        scores.append([r.score for r in context_mixing.score_texts(docs).orderBy("document_id").collect()])
+    assert scores[0] == pytest.approx(scores[2], rel=1e-9) and scores[1] == pytest.approx(scores[2], rel=1e-9)
+
+
 # the pipeline
 
 
