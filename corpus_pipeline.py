@@ -27,7 +27,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8).
+
+    Documents without an id cannot be named as duplicates and are all kept.
+    """
     found = near_duplicates.near_duplicates(docs, id_col="doc_id")
     dropped = found.where(~F.col("kept")).select("doc_id")
     bitmap = marks(dropped, "doc_id")
@@ -35,7 +38,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     # a document whose mark is free was not dropped; only the others are shuffled to be looked up
     clear = perhaps_in(named, bitmap, "doc_id", "left_anti")
     unclear = perhaps_in(named, bitmap, "doc_id").join(dropped, "doc_id", "left_anti")
-    return clear.select(*docs.columns).unionByName(unclear.select(*docs.columns))
+    unnamed = docs.where("doc_id IS NULL")
+    return clear.select(*docs.columns).unionByName(unclear.select(*docs.columns)).unionByName(unnamed)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

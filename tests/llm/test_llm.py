@@ -424,6 +424,19 @@ def test_pipeline(spark):
     assert {r.doc_id for r in rows} == {r.doc_id for r in now.collect()}
 
 
+def test_pipeline_keeps_documents_without_id(spark):
+    import corpus_pipeline
+
+    some = common.table(spark, SF, "documents").limit(40)
+    docs = common.stored(some.unionByName(some.limit(3).withColumn("doc_id", F.lit(None).cast(some.schema["doc_id"].dataType))))
+    stages = dict(corpus_pipeline.STAGES)
+    after = common.stored(stages["near_duplicates"](spark, docs, SF))
+    unnamed = sorted(r.text for r in docs.where("doc_id IS NULL").collect())
+    assert len(unnamed) == 3 and sorted(r.text for r in after.where("doc_id IS NULL").collect()) == unnamed
+    placed = stages["packing"](spark, common.stored(stages["mixing"](spark, after, SF)), SF)
+    assert placed.where("doc_id IS NULL AND piece = 0").count() == 3
+
+
 def test_pipeline_sequences_keep_to_weights(spark):
     import corpus_pipeline
 
