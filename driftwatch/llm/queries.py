@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwatch.llm import context_mixing, fingerprints, mixing, near_duplicates, packing, quality_classifier, quality_rules, tool_calls, toxicity, url_filter
+from driftwatch.llm import (
+    collocations,
+    context_mixing,
+    fingerprints,
+    learned_partitions,
+    mixing,
+    near_duplicates,
+    packing,
+    quality_classifier,
+    quality_rules,
+    spelling,
+    tool_calls,
+    toxicity,
+    url_filter,
+)
 from driftwatch.llm.url_filter import UrlRule
 from driftwatch.llm.common import table
 
@@ -149,6 +163,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(watched(spark, sf_dir))
+
+
+def op12_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("incident_id"), "embedding")
+    queries = history.where("incident_id % 50 = 0").withColumnRenamed("incident_id", "query_id")
+    found = learned_partitions.learned_neighbours(queries, history, k=5)
+    return found.withColumnRenamed("incident_id", "vec_id")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_quality_classifier": op2_quality_classifier,
@@ -160,5 +189,39 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_learned_partitions": op12_learned_partitions,
+    "op13_collocations": op13_collocations,
 }
-ORACLES: dict[str, str] = {}
+
+# every phrase of one to four words is listed and counted, then cut and scored
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL),
+listed AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), x -> x <> '') AS w FROM pieces),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM listed),
+counts AS (
+  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k, count(*) AS f
+  FROM starts, (VALUES (1), (2), (3), (4)) AS s(k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 30),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM candidates),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a // (x.f::HUGEINT + y.f))::BIGINT AS score
+  FROM cuts c
+  JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.cut], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.cut + 1:c.k], ' ')),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+spans AS (SELECT lang, a, w, k, unnest(range(1, k)) AS i FROM candidates WHERE k > 2),
+inside AS (
+  SELECT lang, array_to_string(w[i:j], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(i + 1, k + 1)) AS j FROM spans) WHERE j - i + 1 < k GROUP BY ALL),
+kept AS (
+  SELECT w.* FROM worst w LEFT JOIN inside i ON i.lang = w.lang AND i.phrase = w.phrase
+  WHERE i.longer IS NULL OR 100::HUGEINT * i.longer < 80::HUGEINT * w.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000
+"""
+ORACLES: dict[str, str] = {"op13_collocations": OP13_SQL}
