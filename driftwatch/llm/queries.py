@@ -200,7 +200,7 @@ WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang,
          unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
   FROM documents WHERE text IS NOT NULL),
-listed AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), x -> x <> '') AS w FROM pieces),
+listed AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces),
 starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM listed),
 counts AS (
   SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k, count(*) AS f
