@@ -76,7 +76,7 @@ class _Slice:
         lang = np.array([number[x] for x in langs], np.int64)[np.cumsum(kind == 2)]
         piece, word = np.cumsum(kind > 0), kind == 0
         self.code, self.lang, self.piece = code[word], lang[word], piece[word]
-        self.hashes = word_hashes(self.values)
+        self.hashes, self.lang_hashes = word_hashes(self.values), word_hashes([x.encode() for x in self.langs])
 
     def suffixes(self, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rows, counts): distinct sorted rows (language, word, ..., word) with their counts; -1 after an end.
@@ -104,8 +104,25 @@ class _Slice:
         first = np.flatnonzero(new)
         return rows[order[first]], np.diff(np.append(first, len(order)))
 
+    def frequent_leads(self, least: int) -> Iterator[tuple[int, int]]:
+        """(hash, n) of the phrases of one to three words seen ``least`` times or more in the slice."""
+        h = self.lang_hashes[self.lang]
+        start = np.arange(len(self.code))
+        for k in range(LONGEST - 1):
+            if k:
+                near = start + k < len(self.code)
+                start, h = start[near], h[near]
+                near = self.piece[start + k] == self.piece[start]
+                start, h = start[near], h[near]
+            h = (h ^ (h >> np.uint64(29))) * _MUL + self.hashes[self.code[start + k]]
+            lead, where, n = np.unique(h, return_inverse=True, return_counts=True)
+            big = n >= least
+            yield from zip(lead[big].view(np.int64).tolist(), n[big].tolist())
+            # no longer phrase is more frequent
+            start, h = start[big[where]], h[big[where]]
+
     def lead_hashes(self, rows: np.ndarray) -> np.ndarray:
-        return lead_hashes(rows, word_hashes([(x).encode() for x in self.langs]), self.hashes)
+        return lead_hashes(rows, self.lang_hashes, self.hashes)
 
 
 def word_hashes(values: list[bytes]) -> np.ndarray:
@@ -123,6 +140,21 @@ def lead_hashes(rows: np.ndarray, langs: np.ndarray, words: np.ndarray) -> np.nd
     return out.view(np.int64)
 
 
+def _hot_leads(keys: np.ndarray, langs: np.ndarray, words: np.ndarray, hot: bytes) -> np.ndarray:
+    """Mask like ``keys``: is the phrase from the first word to this one hot? A language is if one of its words is."""
+    found = np.zeros(keys.shape, bool)
+    some = np.arange(len(keys))
+    h = langs[keys[:, 0]]
+    for k in range(1, LONGEST):
+        h = (h ^ (h >> np.uint64(29))) * _MUL + words[keys[some, k]]
+        # only what follows a hot phrase can be hot
+        still = _bits(hot, h) & (keys[some, k] >= 0)
+        some, h = some[still], h[still]
+        found[some, k] = True
+    found[:, 0] = found[:, 1]
+    return found
+
+
 def _bits(bitmap: bytes, hashes: np.ndarray) -> np.ndarray:
     at = hashes.view(np.int64) % BITMAP_BITS
     return (np.frombuffer(bitmap, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
@@ -166,16 +198,8 @@ def leading_counts(texts: DataFrame) -> DataFrame:
                 for k, v in zip(key.tolist(), n.tolist()):
                     lang, code = divmod(k, len(s.values))
                     seen[s.langs[lang], s.values[code], None] += v
-                often = np.bincount(s.code, minlength=len(s.values)) >= LOCAL_HOT
-                rows, n = s.suffixes(often)
-                heads = s.lead_hashes(rows)
-                for k in range(LONGEST - 1):
-                    have = rows[:, k + 1] >= 0
-                    lead, where = np.unique(heads[have, k], return_inverse=True)
-                    total = np.bincount(where, n[have], len(lead)).astype(np.int64)
-                    big = total >= LOCAL_HOT
-                    for h, v in zip(lead[big].tolist(), total[big].tolist()):
-                        seen[None, None, h] += v
+                for h, v in s.frequent_leads(LOCAL_HOT):
+                    seen[None, None, h] += v
                 if len(seen) > FLUSH:
                     yield out(seen)
                     seen.clear()
@@ -227,34 +251,35 @@ def equal_partitions(
     Partitions whose sum is below ``least`` are abandoned, unless they hold a
     row marked in ``spared`` (a mask like ``keys``) at the depth just compared.
     """
-    last = keys.shape[1] - 1
-    pointer = np.arange(len(keys))
-    part = np.zeros(len(keys), np.int64)  # partition of each pointer, ascending
-    depth = np.zeros(1, np.int64)  # of each partition
+    n, last = len(keys), keys.shape[1] - 1
+    flat = np.ascontiguousarray(keys.T, np.int32).reshape(-1)  # all codes of a depth side by side
+    marked = None if spared is None or not spared.any() else np.ascontiguousarray(spared.T).reshape(-1)
+    pointer = np.arange(n, dtype=np.int32)
+    lengths = np.array([n] if n else [], np.int64)  # of the partitions, which lie one after the other
+    depth = np.zeros(len(lengths), np.int64)
     while len(pointer):
-        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        size = np.diff(np.append(first, len(part)))
-        code = keys[pointer, depth[part]]
-        pivot = np.median(np.stack([code[first], code[first + size // 2], code[first + size - 1]]), axis=0).astype(code.dtype)
-        side = np.sign(code - pivot[part]) + 1
+        first = np.cumsum(lengths) - lengths
+        where = np.repeat(depth * n, lengths) + pointer
+        code = flat[where]
+        pivot = np.median(np.stack([code[first], code[first + lengths // 2], code[first + lengths - 1]]), axis=0).astype(np.int32)
+        pivot = np.repeat(pivot, lengths)
+        less, more = code < pivot, code > pivot
         # stable split of each partition into less, equal and greater
-        counts = np.bincount(3 * part + side, minlength=3 * len(first))
-        offset = np.cumsum(counts) - counts
-        target = np.empty(len(pointer), np.int64)
-        for k in range(3):
-            mine = side == k
-            before = np.cumsum(mine) - mine
-            target[mine] = offset[3 * part[mine] + k] + before[mine] - before[first][part[mine]]
+        n_less, n_more = np.add.reduceat(less, first, dtype=np.int64), np.add.reduceat(more, first, dtype=np.int64)
+        same = ~(less | more)
         moved = np.empty_like(pointer)
-        moved[target] = pointer
+        counts = np.stack([n_less, lengths - n_less - n_more, n_more], axis=1)
+        offset = (np.cumsum(counts) - counts.reshape(-1)).reshape(-1, 3)
+        for k, mine in enumerate((less, same, more)):
+            moved[_ranges(offset[:, k], counts[:, k])] = pointer[mine]
         pointer = moved
-        which = np.flatnonzero(counts)
-        starts, lengths = offset[which], counts[which]
+        which = np.flatnonzero(counts.reshape(-1))
+        starts, lengths = offset.reshape(-1)[which], counts.reshape(-1)[which]
         at, equal, head = depth[which // 3], which % 3 == 1, pointer[starts]
         total = np.add.reduceat(weights[pointer], starts)
         keep = total >= least
-        if spared is not None:
-            keep |= np.maximum.reduceat(spared[pointer, np.repeat(at, lengths)], starts)
+        if marked is not None:
+            keep |= np.maximum.reduceat(marked[np.repeat(at * n, lengths) + pointer], starts)
         whole = equal & (keys[head, at] >= 0)
         for d in np.unique(at[whole & keep]).tolist():
             mine = whole & keep & (at == d)
@@ -262,8 +287,13 @@ def equal_partitions(
         # equal pointers go on to their next word; those at an end or at full depth are sorted
         go = keep & np.where(equal, whole & (at < last), True)
         pointer = pointer[np.repeat(go, lengths)]
-        part = np.repeat(np.arange(int(go.sum())), lengths[go])
-        depth = (at + equal)[go]
+        lengths, depth = lengths[go], (at + equal)[go]
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0] .. start[0] + size[0] - 1, start[1] ..., in one array."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 def route_counts(suffixes: DataFrame, hot: Broadcast, least: int) -> DataFrame:
@@ -285,18 +315,14 @@ def route_counts(suffixes: DataFrame, hot: Broadcast, least: int) -> DataFrame:
         code = words.indices.to_numpy(zero_copy_only=False)
         start = lists.offsets.to_numpy().astype(np.int64)
         length = np.diff(start)
-        keys = np.full((len(length), LONGEST + 1), -1, np.int64)
+        keys = np.full((len(length), LONGEST + 1), -1, np.int32)
         keys[:, 0] = langs.indices.to_numpy(zero_copy_only=False)
         for k in range(LONGEST):
             have = np.flatnonzero(length > k)
             keys[have, k + 1] = code[start[have] + k]
-        heads = lead_hashes(
-            keys, word_hashes([v.encode() for v in langs.dictionary.to_pylist()]), word_hashes(words.dictionary.to_pylist())
+        spared = _hot_leads(
+            keys, word_hashes([v.encode() for v in langs.dictionary.to_pylist()]), word_hashes(words.dictionary.to_pylist()), hot.value
         )
-        spared = np.zeros(keys.shape, bool)
-        for k in range(LONGEST - 1):
-            spared[:, k + 1] = _bits(hot.value, heads[:, k]) & (keys[:, k + 1] >= 0)
-        spared[:, 0] = spared[:, 1]
         for rows, depth, size in equal_partitions(keys, table.column("n").to_numpy(), least, spared):
             if depth < 3:  # a language, or a word, counted before
                 continue
