@@ -3,7 +3,8 @@
 These rules depend on their own earlier decisions, so no window function
 expresses them. A fold takes the state of a key and a run of its events in time
 order and returns the new state with one decision per event. The same folds
-serve the streaming operators.
+serve the streaming operators. A fold with a ``memory`` (microseconds) decides
+like one that starts fresh when so much time has passed since the last event.
 
 In batch, a key may own a third of all rows, so a fold never runs over a whole
 key in one task. The rows are range-partitioned by (key, time) into even chunks
@@ -57,6 +58,7 @@ def refire_fold(seconds: int = REFIRE_SECONDS) -> Fold:
             i = int(np.searchsorted(ts, state[0] + gap, "left"))
         return state, kept
 
+    fold.memory = gap
     return fold
 
 
@@ -81,6 +83,7 @@ def rate_limit_fold(limit: int = RATE_LIMIT, seconds: int = RATE_SECONDS) -> Fol
                 log.popleft()
         return list(log), admitted
 
+    fold.memory = window
     return fold
 
 

@@ -6,6 +6,8 @@ version folder, so a reader, a retry or a lost executor never sees half of it.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -191,6 +193,19 @@ def cache_card(df: DataFrame, path: str) -> str:
     return replace(df, path)
 
 
+def write_once(df: DataFrame, path: str) -> bool:
+    """Writes ``df`` to a folder that appears whole or not at all; an existing folder is left as it is."""
+    spark = df.sparkSession
+    if table_exists(spark, path):
+        return False
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    parent, _, name = path.rpartition("/")
+    aside = f"{parent}/_{name}-{uuid.uuid4().hex}"
+    df.write.parquet(aside)
+    files = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.rename(hadoop(aside), hadoop(path))
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

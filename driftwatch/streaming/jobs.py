@@ -17,7 +17,8 @@ from driftwatch.operators import folds, profile
 from driftwatch.plans.inputs import COLLECTION_OF_EVENT, MONITORED, as_of
 from driftwatch.session import checkpoint_dir
 from driftwatch.sources import tables
-from driftwatch.streaming import streams
+from driftwatch.streaming import routing, streams
+from driftwatch.streaming.event_folds import timer_state
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,25 +26,68 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
-def run(df: DataFrame, write=None) -> DataFrame:
-    """Runs a stream to its end and reads the table it wrote."""
+def run(df: DataFrame, write=None, base: str | None = None) -> DataFrame:
+    """Runs a stream to its end and reads the table it wrote; ``base`` holds the sink and the checkpoint of a stream that goes on."""
     spark = df.sparkSession
-    base = f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
-    if write is None:
-        q = (
-            df.writeStream.format("parquet").option("path", f"{base}/sink").option("checkpointLocation", f"{base}/log")
-            .trigger(availableNow=True).start()
-        )
-    else:
-        q = streams.start(df, f"{base}/log", write(f"{base}/sink"))
+    base = base or f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
+    with timer_state(spark):
+        if write is None:
+            q = (
+                df.writeStream.format("parquet").option("path", f"{base}/sink").option("checkpointLocation", f"{base}/log")
+                .trigger(availableNow=True).start()
+            )
+        else:
+            q = streams.start(df, f"{base}/log", write(f"{base}/sink"))
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{base}/sink") if write is None else spark.read.parquet(f"{base}/sink")
 
 
+# Every tenth event comes one file too late.
+FILES = 6
+FILE_OF_EVENT = "least(floor(event_id * {files} / {rows}) + CASE WHEN event_id % 10 = 3 THEN 1 ELSE 0 END, {files} - 1)"
+
+
+def _feed(spark: SparkSession, events: DataFrame, base: str, files: range, rows: int) -> DataFrame:
+    """Writes some of the files the events arrive in, one after the other, and gives the folder as a stream of single files."""
+    number = F.expr(FILE_OF_EVENT.format(files=FILES, rows=rows))
+    for i in files:
+        events.where(number == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+
+
+def through_router(spark: SparkSession, events: DataFrame, stream, ts: str, row_id: str, watermark: str, error=None, restart: bool = True) -> tuple[DataFrame, str]:
+    """Events in files out of order, routed, read as a stream, stopped in between and resumed.
+
+    ``stream`` turns the accepted stream into the result. The router and the
+    reader are stopped after half of the files and started again from their
+    checkpoints. Returns the result and the router's folder.
+    """
+    base = f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
+    rows = events.count()
+    parts = [range(FILES // 2), range(FILES // 2, FILES)] if restart else [range(FILES)]
+    out = None
+    for part in parts:
+        source = _feed(spark, events, base, part, rows)
+        streams.start(source, f"{base}/routed", routing.route_batches(base, ts, error, watermark)).awaitTermination()
+        if part.stop == FILES:
+            routing.close_stream(spark, base, events.schema, ts, "1 hour", watermark)
+        if stream is not None:
+            out = run(stream(routing.accepted_stream(spark, base, events.schema, ts, row_id, watermark)), base=f"{base}/out")
+    return out, base
+
+
+def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+# The files of the events overlap by the span of one file, five days.
+WAIT = "6 days"
+
+
 def stream_write_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _events(spark, sf_dir)
-    stats = streams.write_stats_stream(events, "event_type", "ts", document_bytes(events))
-    out = run(stats, lambda sink: streams.keep_existing_sink(sink, ["event_type", "window_end"], "window_end"))
+    events = _table(spark, sf_dir)
+    stats = lambda df: streams.write_stats_stream(df, "event_type", "ts", document_bytes(events), watermark=None)
+    out, _ = through_router(spark, events, stats, "ts", "event_id", WAIT)
     return out.select(
         "event_type", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_count",
         F.round("mean_bytes", 6).alias("mean_bytes"), "max_bytes",
@@ -51,8 +95,37 @@ def stream_write_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_refires(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = streams.fold_stream(_events(spark, sf_dir), "event_type", "ts", "event_id", folds.refire_fold(), "kept")
-    return run(kept).filter("kept = 1").select("event_type", "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+    """Events out of order, in two runs of the stream: what the batch rule keeps."""
+    keep = lambda df: streams.fold_stream(df, "event_type", "ts", "event_id", folds.refire_fold(), "kept")
+    out, _ = through_router(spark, _table(spark, sf_dir), keep, "ts", "event_id", WAIT)
+    return out.filter("kept = 1").select("event_type", "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    check = lambda df: streams.fold_stream(df, "event_type", "ts", "event_id", folds.refire_fold(1800), "checked")
+    out, _ = through_router(spark, _table(spark, sf_dir), check, "ts", "event_id", WAIT)
+    return out.select("event_type", "event_id", "checked")
+
+
+def stream_circuit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir)
+    ran = lambda df: streams.fold_stream(
+        df.withColumn("failed", F.col("event_type").isin("error", "view", "click")), "user_id", "ts", "event_id", folds.circuit_fold(3, 86400), "ran", "failed"
+    )
+    out, _ = through_router(spark, events, ran, "ts", "event_id", WAIT)
+    return out.select("user_id", "event_id", "ran")
+
+
+def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that are late, have no time or are not JSON, by kind; all others are accepted."""
+    events = _table(spark, sf_dir).withColumns(
+        {
+            "ts": F.expr("CASE WHEN event_id % 101 = 0 THEN NULL ELSE ts END"),
+            "props": F.expr("CASE WHEN event_id % 103 = 0 THEN props || '}' ELSE props END"),
+        }
+    )
+    _, base = through_router(spark, events, None, "ts", "event_id", "1 day", tables.json_error("props"), restart=False)
+    return routing.dead_letters(spark, base).select("event_id", "error_type", "retry_count")
 
 
 def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,18 +138,30 @@ def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = streams.fold_stream(_events(spark, sf_dir), "user_id", "ts", "event_id", folds.rate_limit_fold(3, 86400), "admitted")
-    return run(out).select("user_id", "event_id", "admitted")
+    admit = lambda df: streams.fold_stream(df, "user_id", "ts", "event_id", folds.rate_limit_fold(3, 86400), "admitted")
+    out, _ = through_router(spark, _table(spark, sf_dir), admit, "ts", "event_id", WAIT)
+    return out.select("user_id", "event_id", "admitted")
+
+
+def _named_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir).select(F.expr(COLLECTION_OF_EVENT).alias("collection_name"), F.col("ts").alias("detected_at"), "event_id")
 
 
 def stream_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = _events(spark, sf_dir).select(F.expr(COLLECTION_OF_EVENT).alias("collection_name"), F.col("ts").alias("detected_at"))
-    out = run(streams.correlation_stream(named, len(MONITORED)))
+    found = lambda df: streams.correlation_stream(df, len(MONITORED), watermark=None).drop("closed_at")
+    out, _ = through_router(spark, _named_anomalies(spark, sf_dir), found, "detected_at", "event_id", WAIT)
     return out.select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "collection_key", "patient_zero", "n_anomalies", "severity"
     )
 
 
+def stream_correlated_refires(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster events, at most one per collection set and hour, as one stream of two stateful steps."""
+    once = lambda df: streams.correlated_refires_stream(df, len(MONITORED))
+    out, _ = through_router(spark, _named_anomalies(spark, sf_dir), once, "detected_at", "event_id", WAIT)
+    return out.select("collection_key", F.date_format("window_end", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
 def stream_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size anomalies of a document stream against a stored baseline."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -88,5 +173,6 @@ def stream_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    stream_write_stats, stream_refires, stream_changes, stream_rate_limit, stream_correlation, stream_anomalies,
+    stream_write_stats, stream_refires, stream_throttle, stream_circuit, stream_dead_letters, stream_changes, stream_rate_limit,
+    stream_correlation, stream_correlated_refires, stream_anomalies,
 )}

@@ -2,34 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from driftwatch.functions.sizes import document_bytes
-from driftwatch.operators import anomaly, correlate, incident, runway, threats
-from driftwatch.operators.folds import Fold
-from driftwatch.session import bounded, keys_of, materialize, null_safe_join
+from driftwatch.operators import anomaly, correlate, folds, incident, runway, threats
+from driftwatch.session import bounded, materialize, null_safe_join
 from driftwatch.sources import tables
+from driftwatch.streaming.event_folds import fold_stream
+from driftwatch.streaming.routing import WATERMARK
 
-# Late rows are waited for this long.
-WATERMARK = "5 minutes"
 
-
-def write_stats_stream(df: DataFrame, key, ts: str, size: Column, width: str = "60 seconds", watermark: str = WATERMARK) -> DataFrame:
-    """Tumbling write statistics; append mode emits each window once."""
-    timed = df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+def write_stats_stream(
+    df: DataFrame, key, ts: str, size: Column, width: str = "60 seconds", watermark: str | None = WATERMARK
+) -> DataFrame:
+    """Tumbling write statistics; append mode emits each window once. ``watermark`` is None if ``df`` has one."""
+    timed = df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark) if watermark else df
     return runway.write_stats(timed, key, ts, size, width)
 
 
-def correlation_stream(df: DataFrame, n_monitored: int, ts: str = "detected_at", watermark: str = WATERMARK) -> DataFrame:
-    """Cluster events of sliding five-minute windows, once a window closes."""
-    timed = df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+def correlation_stream(df: DataFrame, n_monitored: int, ts: str = "detected_at", watermark: str | None = WATERMARK) -> DataFrame:
+    """Cluster events of sliding five-minute windows, once a window closes.
+
+    ``watermark`` is None if ``df`` has one already. ``closed_at`` is the event
+    time of the result: the last moment of the window.
+    """
+    timed = df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark) if watermark else df
     minutes = correlate.LOOKBACK_MINUTES
     grouped = timed.groupBy(F.window(ts, f"{minutes} minutes", "1 minute").alias("w")).agg(
         F.collect_set("collection_name").alias("names"),
@@ -38,42 +39,29 @@ def correlation_stream(df: DataFrame, n_monitored: int, ts: str = "detected_at",
     )
     return (
         correlate._event(grouped, n_monitored)
-        .withColumns({"window_start": F.col("w.start"), "window_end": F.col("w.end")})
+        .withColumns({"window_start": F.col("w.start"), "window_end": F.col("w.end"), "closed_at": F.window_time("w")})
         .drop("w")
     )
 
 
+def correlated_refires_stream(df: DataFrame, n_monitored: int, ts: str = "detected_at", hours: int = correlate.REFIRE_HOURS) -> DataFrame:
+    """Cluster events with re-fires suppressed: a window aggregation and a stateful rule in one query.
+
+    ``df`` has a watermark on ``ts``. An event is kept if none of the same
+    collections was kept in the hours before.
+    """
+    found = correlation_stream(df, n_monitored, ts, None).select("collection_key", "closed_at", "window_start")
+    kept = fold_stream(found, "collection_key", "closed_at", "window_start", folds.refire_fold(hours * 3600), "kept")
+    end = F.col("closed_at") + F.expr("INTERVAL 1 MICROSECOND")
+    return kept.where("kept = 1").select("collection_key", end.alias("window_end"), "window_start")
+
+
 def feed_stream(df: DataFrame, id_column: str, ts: str, watermark: str = WATERMARK) -> DataFrame:
     """Live feed: no embedding, each id once."""
     timed = df.drop("embedding").withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
     return timed.dropDuplicatesWithinWatermark([id_column])
 
 
-def fold_stream(df: DataFrame, key, ts: str, tie: str, fold: Fold, decision: str, flag: str | None = None) -> DataFrame:
-    """A sequential rule as a stateful stream: one decision per event.
-
-    The state of a key is the short list the fold keeps. Events of one trigger
-    are put in time order; a later trigger must not bring earlier events.
-    """
-    keys = keys_of(key)
-    mark = F.coalesce(F.col(flag), F.lit(False)) if flag else F.lit(False)
-    rows = df.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), tie, mark.alias("_f"))
-    types = dict(rows.dtypes)
-    names = ", ".join(f"`{c}` {types[c]}" for c in [*keys, "_t", tie])
-
-    def step(name, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values(["_t", tie], kind="stable")
-        before = list(state.get[0]) if state.exists else []
-        after, decisions = fold(before, pdf["_t"].to_numpy(), pdf["_f"].to_numpy())
-        state.update(([int(x) for x in after],))
-        yield pdf[[*keys, "_t", tie]].assign(**{decision: np.asarray(decisions)})
-
-    decided = rows.groupBy(*keys).applyInPandasWithState(
-        step, f"{names}, `{decision}` int", "s array<bigint>", "append", GroupStateTimeout.NoTimeout
-    )
-    return decided.select(*keys, F.timestamp_micros("_t").alias(ts), tie, decision)
-
-
 def split_late(df: DataFrame, ts: str, newest: Column, watermark: str = WATERMARK) -> tuple[DataFrame, DataFrame]:
     """Rows in time, and rows later than the watermark for the dead letters."""
     late = F.when(
@@ -133,17 +121,17 @@ def enrich(
     found = threats.scan_threats(flagged, "document_id", columns or (None if doc else docs.columns), doc, keep=on[:-1])
     out = anomaly.escalate(anomalies, found)
     if drift is not None:
-        out = out.join(drift.select("collection_name", F.col("drift_detected").alias("schema_drift")), "collection_name", "left")
+        out = null_safe_join(out, drift.select("collection_name", F.col("drift_detected").alias("schema_drift")), "collection_name", "left")
     if velocity is not None:
         side = velocity.select(
             "collection_name",
             F.col("centroid_distance").alias("semantic_velocity"),
             F.col("spike_detected").alias("semantic_spike"),
         )
-        out = out.join(side, "collection_name", "left")
+        out = null_safe_join(out, side, "collection_name", "left")
     if runways is not None:
         side = runways.select("collection_name", F.struct("minutes_to_critical", "trend", "status").alias("runway"))
-        out = out.join(side, "collection_name", "left")
+        out = null_safe_join(out, side, "collection_name", "left")
     return out
 
 

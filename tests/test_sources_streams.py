@@ -103,19 +103,6 @@ def source(spark, tmp_path):
     return stream, spark.read.parquet(path), rows
 
 
-@pytest.mark.parametrize(
-    "fold", [folds.refire_fold(900), folds.rate_limit_fold(5, 1200), folds.circuit_fold(2, 600)], ids=["refire", "rate", "circuit"]
-)
-def test_fold_stream_equals_batch(spark, tmp_path, source, fold):
-    stream, batch, _ = source
-    out = streams.fold_stream(stream, "key", "ts", "id", fold, "ok", "failed")
-    q = out.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    drain(q)
-    got = {(r["id"], r["ok"]) for r in spark.read.parquet(str(tmp_path / "o")).collect()}
-    want = {(r["id"], r["ok"]) for r in folds.fold_events(batch, "key", "ts", "id", fold, "ok", "failed", chunks=7).collect()}
-    assert got == want
-
-
 def test_write_stats_stream_equals_batch(spark, tmp_path, source):
     stream, batch, rows = source
     out = streams.write_stats_stream(stream, "key", "ts", document_bytes(stream), watermark="1 minute")
