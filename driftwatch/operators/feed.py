@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftwatch.session import null_safe_join
+
 # Default size of each feed, and the largest size its readers publish.
 FEED_LIMITS = {
     "anomalies": (50, 200),
@@ -62,10 +64,18 @@ def lookup(df: DataFrame, ids: DataFrame, id_column: str) -> DataFrame:
     return df.join(ids.select(id_column).distinct(), id_column, "left_semi")
 
 
-def flagged_documents(anomalies: DataFrame, docs: DataFrame, doc_id: str) -> DataFrame:
-    """Each anomaly with the document it names."""
+def flagged_documents(anomalies: DataFrame, docs: DataFrame, doc_id: str, key: str | None = None) -> DataFrame:
+    """Each anomaly with the document it names.
+
+    ``key`` is the collection column of the documents; with it an anomaly
+    meets only a document of its own collection, as ids may repeat between
+    collections. Null collections and ids meet each other.
+    """
     side = docs.withColumn("document_id", F.col(doc_id).cast("string"))
-    return anomalies.join(side, "document_id")
+    if key is None:
+        return null_safe_join(anomalies, side, "document_id")
+    side = side.withColumn("collection_name", F.col(key).cast("string"))
+    return null_safe_join(anomalies, side, ["collection_name", "document_id"])
 
 
 def latest_per_key(df: DataFrame, key: list[str], ts: str, tie: str) -> DataFrame:

@@ -196,13 +196,13 @@ def impact_columns(rows: Column, z: Column, kind: Column, collection: Column) ->
 def with_counts(anomalies: DataFrame, counts: DataFrame) -> DataFrame:
     """Adds ``doc_count`` of the anomaly's collection."""
     side = bounded(counts.select("collection_name", "doc_count"))
-    return anomalies.join(side, "collection_name", "left")
+    return null_safe_join(anomalies, side, "collection_name", "left")
 
 
 def with_size_context(anomalies: DataFrame, stats: DataFrame, key: str) -> DataFrame:
     """Adds the mean and largest size of the anomaly's collection."""
     side = bounded(stats.select(F.col(key).alias("collection_name"), "mean_kb", "max_kb"))
-    return anomalies.join(side, "collection_name", "left")
+    return null_safe_join(anomalies, side, "collection_name", "left")
 
 
 def dollar_impact(anomalies: DataFrame, counts: DataFrame) -> DataFrame:
@@ -259,7 +259,7 @@ def incident_reports(
                 F.size("added_fields").alias("n_added"), F.size("removed_fields").alias("n_removed"),
             )
         )
-        base = base.join(side, "collection_name", "left")
+        base = null_safe_join(base, side, "collection_name", "left")
     else:
         base = base.withColumns({"drift_detected": F.lit(False), "n_added": F.lit(0), "n_removed": F.lit(0)})
     kind = F.coalesce("anomaly_type", F.lit("UNKNOWN"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwatch.functions import scores
-from driftwatch.session import bounded, keys_of
+from driftwatch.session import bounded, keys_of, null_safe_join
 
 # Windows looked at, fewest windows trusted, defaults of a key
 # without a baseline.
@@ -103,15 +103,15 @@ def runway(
     slopes = trend_slopes(stats, keys, rate)
     if fallback is not None:
         good = slopes.filter(F.col("n_windows") >= MIN_WINDOWS)
-        spare = fallback.join(good.select(*keys), keys, "left_anti")
+        spare = null_safe_join(fallback, good.select(*keys), keys, "left_anti")
         replaced = trend_slopes(spare, keys, rate)
         if strict:
             alive = spare.groupBy(*keys).agg(F.sum("event_count").alias("n")).filter("n > 0").select(*keys)
-            replaced = replaced.join(alive, keys, "left_semi")
-        few = slopes.filter(F.col("n_windows") < MIN_WINDOWS).join(replaced.select(*keys), keys, "left_anti")
+            replaced = null_safe_join(replaced, alive, keys, "left_semi")
+        few = null_safe_join(slopes.filter(F.col("n_windows") < MIN_WINDOWS), replaced.select(*keys), keys, "left_anti")
         slopes = good.unionByName(replaced).unionByName(few)
     side = bounded(baseline.select(*keys, F.col("mean_bytes").alias("_mean"), F.col("stddev_bytes").alias("_sd")))
-    joined = slopes.join(side, keys, "left")
+    joined = null_safe_join(slopes, side, keys, "left")
     slope, current = F.col("slope"), F.col("current_rate")
     spread = F.greatest(F.coalesce(F.when(F.col("_sd") != 0, F.col("_sd")), F.lit(DEFAULT_STDDEV)), F.lit(1.0))
     critical_kb = (F.coalesce("_mean", F.lit(DEFAULT_MEAN)) + scores.CRITICAL_Z * spread) / 1024

@@ -330,6 +330,8 @@ ESCALATED = f"""{threats_sql()}, {PLANTED_ANOMALIES}, esc AS (SELECT f.document_
   CASE WHEN th.threat_detected THEN th.severity ELSE f.severity END AS severity, th.threat_detected AS ai_memory_poisoning
   FROM found f JOIN th ON th.doc_id = f.doc_id)"""
 ORACLES["escalate"] = f"WITH {ESCALATED} SELECT * FROM esc"
+ORACLES["runway_null_key"] = ORACLES["runway_rate"]
+ORACLES["flagged_by_collection"] = f"WITH {anomalies_of('documents')} SELECT document_id, lang AS collection_name, n_chars, round(z, 3) AS z_score FROM found"
 ORACLES["evaluate_threats"] = f"""WITH {threats_sql()}, tv AS (SELECT doc_id % 97 IN ({', '.join(str(k) for k in I.PAYLOADS)}) AS t, threat_detected AS p FROM th), {rates('tv')}"""
 ORACLES["evaluate_sizes"] = f"""WITH {anomalies_of('documents')}, tv AS (SELECT lang, toxic = 1 AS t, abs(z) >= 2.0 AS p FROM zs JOIN labels USING (doc_id)), {rates('tv', 'lang')}"""
 
@@ -348,11 +350,13 @@ def nearest(k: int, same: bool = False) -> str:
 ORACLES["nearest"] = f"WITH {nearest(10)} SELECT query, vec_id, score, rank FROM nr"
 ORACLES["nearest_filtered"] = f"WITH {nearest(10, True)} SELECT query, vec_id, score, rank FROM nr"
 DUP_KEY = f"{I.VECTOR_TYPE} || '|' || lower(trim(regexp_replace(substring({I.VECTOR_TEXT}, 1, 60), '[\\d.\\s]+$', '')))"
-SIMILAR = f"""{nearest(60)}, hs AS (SELECT vec_id, {I.VECTOR_TYPE} AS anomaly_type, {I.VECTOR_TEXT} AS description, {DUP_KEY} AS dk, CAST(vec_id % 50 AS INT) AS mins FROM embeddings),
- cd AS (SELECT nr.query, nr.vec_id, nr.score, hs.anomaly_type, hs.description, hs.mins, row_number() OVER (PARTITION BY query, dk ORDER BY score DESC, vec_id) AS n
-  FROM nr JOIN hs USING (vec_id)),
+# near-duplicates collapse before the best three are taken, however many there are
+SIMILAR = f"""{QUERY_VECTORS}, sc AS (SELECT q.label AS query, e.vec_id, {COSINE} AS score FROM cent q JOIN embeddings e ON true),
+ hs AS (SELECT vec_id, {I.VECTOR_TYPE} AS anomaly_type, {I.VECTOR_TEXT} AS description, {DUP_KEY} AS dk, CAST(vec_id % 50 AS INT) AS mins FROM embeddings),
+ cd AS (SELECT sc.query, sc.vec_id, sc.score, hs.anomaly_type, hs.description, hs.mins FROM sc JOIN hs USING (vec_id)
+  QUALIFY row_number() OVER (PARTITION BY query, dk ORDER BY score DESC, vec_id) = 1),
  sm AS (SELECT query, vec_id, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS INT) AS rank, anomaly_type, description, mins
-  FROM cd WHERE n = 1 QUALIFY rank <= 3)"""
+  FROM cd QUALIFY rank <= 3)"""
 ORACLES["similar_incidents"] = f"WITH {SIMILAR} SELECT query, vec_id, score, rank, anomaly_type, description FROM sm"
 ORACLES["similar_summary"] = f"""WITH {SIMILAR} SELECT query, count(*) AS n_matches, max(score) FILTER (rank = 1) AS top_match_score,
  max(anomaly_type) FILTER (rank = 1) AS pattern_identified, max(mins) FILTER (rank = 1) AS estimated_resolution_minutes FROM sm GROUP BY query"""
@@ -362,6 +366,18 @@ ORACLES["recent_same_type"] = f"""WITH a AS (SELECT c_custkey, CASE c_nationkey
  g AS (SELECT event_type, event_id, CAST(row_number() OVER (ORDER BY ts DESC, event_id DESC) AS INT) AS rank FROM events QUALIFY rank <= 3)
  SELECT c_custkey, event_id, event_type, rank FROM a JOIN t ON t.event_type = a.et
  UNION ALL SELECT c_custkey, event_id, event_type, rank FROM a CROSS JOIN g WHERE et NOT IN (SELECT event_type FROM events)"""
+ORACLES["text_similar"] = r"""WITH docs AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\W+'), lambda w: w <> '') AS w FROM documents),
+ asks AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\W+'), lambda w: w <> '') AS w FROM benchmark),
+ dt AS (SELECT doc_id, p, count(*)::DOUBLE AS n FROM (SELECT doc_id, CAST('0x' || substr(md5(unnest(w)), 1, 7) AS BIGINT) % 384 AS p FROM docs) GROUP BY ALL),
+ qt AS (SELECT item_id, p, count(*)::DOUBLE AS n FROM (SELECT item_id, CAST('0x' || substr(md5(unnest(w)), 1, 7) AS BIGINT) % 384 AS p FROM asks) GROUP BY ALL),
+ dl AS (SELECT doc_id, sqrt(sum(n * n)) AS len FROM dt GROUP BY 1), ql AS (SELECT item_id, sqrt(sum(n * n)) AS len FROM qt GROUP BY 1),
+ dot AS (SELECT item_id, doc_id, sum(qt.n * dt.n) AS x FROM qt JOIN dt USING (p) GROUP BY ALL),
+ sc AS (SELECT a.item_id, d.doc_id, coalesce(round(x / (ql.len * dl.len), 6), 0e0) AS score FROM benchmark a CROSS JOIN documents d
+  LEFT JOIN dot ON dot.item_id = a.item_id AND dot.doc_id = d.doc_id LEFT JOIN dl ON dl.doc_id = d.doc_id LEFT JOIN ql ON ql.item_id = a.item_id)
+ SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM sc QUALIFY rank <= 3"""
+ORACLES["embedded_once"] = """SELECT (SELECT count(*) FROM (SELECT text FROM documents UNION SELECT text FROM benchmark)) AS embedded, (SELECT count(*) FROM documents) + (SELECT count(*) FROM benchmark) AS texts"""
+ORACLES["nearest_indexed"] = """SELECT count(*) AS queries, count(*) * 10 AS found, true AS recall_reached, (SELECT count(*) FROM embeddings) >= 400 AS fewer_cells
+ FROM embeddings WHERE vec_id % 20 = 0"""
 ORACLES["backfill_embeddings"] = f"""SELECT {I.COLLECTION_OF_EVENT} AS collection_name, count(*) AS n, count(*) AS n_embedded,
  count(*) FILTER (event_id % 2 = 0) AS n_kept, 384 AS width FROM events GROUP BY 1"""
 
@@ -511,6 +527,9 @@ ORACLES["result_summary"] = """SELECT event_type, count(*) FILTER (user_id % 4 !
 ORACLES["slowest"] = """SELECT event_type, event_id, value, CAST(row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS INT) AS rank FROM events QUALIFY rank <= 5"""
 ORACLES["upsert_latest"] = """SELECT o_orderkey % 4000 AS k, o_orderkey, o_totalprice FROM orders
  QUALIFY row_number() OVER (PARTITION BY o_orderkey % 4000 ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"""
+ORACLES["upsert_buckets"] = ORACLES["upsert_latest"]
+ORACLES["delete_buckets"] = """SELECT o_orderkey % 4000 AS k, o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 4000 != 17
+ QUALIFY row_number() OVER (PARTITION BY k ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"""
 ORACLES["patch"] = """SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 'PATCHED' ELSE c_mktsegment END AS c_mktsegment, c_acctbal, CASE WHEN c_custkey % 3 = 0 THEN 'x' END AS note FROM customer"""
 ORACLES["merge_keep_existing"] = """SELECT DISTINCT user_id, CAST(event_id % 30 AS INT) AS slot FROM events
  WHERE (user_id, event_id % 30) NOT IN (SELECT (user_id, event_id % 30) FROM events WHERE event_id % 4 = 0)"""
@@ -539,11 +558,20 @@ ORACLES["span_tool_calls"] = f"WITH {TRACE} SELECT incident_id, agent, tool_name
 # --- streams ---------------------------------------------------------------------------------------------------------------------
 
 ORACLES["stream_write_stats"] = f"""WITH {windows('60 seconds')} SELECT event_type, strftime(window_start, {STAMP}) AS window_start, event_count, round(mean_bytes, 6) AS mean_bytes, max_bytes
- FROM ws WHERE window_end <= (SELECT max(ts) - INTERVAL 5 MINUTES FROM events)"""
+ FROM ws"""
 ORACLES["stream_refires"] = ORACLES["suppress_refires"]
+ORACLES["stream_throttle"] = ORACLES["throttle_checks"]
+ORACLES["stream_circuit"] = ORACLES["circuit_state"]
+ORACLES["stream_dead_letters"] = """WITH d AS (SELECT event_id, CASE WHEN event_id % 101 != 0 THEN ts END AS ts, event_id % 103 = 0 AS bad,
+  least(event_id * 6 // (SELECT count(*) FROM events) + CASE WHEN event_id % 10 = 3 THEN 1 ELSE 0 END, 5) AS f FROM events),
+ m AS (SELECT f, max(ts) FILTER (NOT bad) AS newest FROM d GROUP BY f),
+ w AS (SELECT d.*, (SELECT max(newest) FROM m WHERE m.f < d.f) AS newest FROM d)
+ SELECT event_id, CASE WHEN bad THEN 'JSONDecodeError' WHEN ts IS NULL THEN 'NullEventTime' ELSE 'LateEvent' END AS error_type, 0 AS retry_count
+ FROM w WHERE bad OR ts IS NULL OR ts <= newest - INTERVAL 1 DAY"""
 ORACLES["stream_changes"] = """SELECT event_id, CASE event_type WHEN 'click' THEN 'replace' WHEN 'error' THEN 'update' ELSE 'insert' END AS op, props AS doc
  FROM events WHERE event_type != 'view' AND event_id % 10 != 0"""
 ORACLES["stream_rate_limit"] = ORACLES["rate_limit"]
 ORACLES["stream_correlation"] = f"""WITH {WINDOWS} SELECT strftime(s, {STAMP}) AS window_start, collection_key, patient_zero, n_anomalies, severity
- FROM cw WHERE e <= (SELECT max(ts) - INTERVAL 5 MINUTES FROM events)"""
+ FROM cw"""
+ORACLES["stream_correlated_refires"] = ORACLES["correlated_refires"]
 ORACLES["stream_anomalies"] = f"""WITH {anomalies_of("documents")} SELECT lang AS collection_name, document_id, round(z, 3) AS z_score, severity FROM found"""

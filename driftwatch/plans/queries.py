@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +16,7 @@ from driftwatch.operators import (
     audit,
     correlate,
     drift,
+    embedding_store,
     evaluate,
     feed,
     folds,
@@ -23,11 +25,12 @@ from driftwatch.operators import (
     runway,
     similar,
     threats,
+    vector_index,
     velocity,
 )
 from driftwatch.plans import inputs as I
-from driftwatch.session import spread
-from driftwatch.sources import tables
+from driftwatch.session import checkpoint_dir, spread
+from driftwatch.sources import buckets, tables
 from driftwatch.streaming import jobs, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +42,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new table folder in the shared folder of the session."""
+    return f"{checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+
+
 def r6(column: str) -> Column:
     return F.round(F.col(column), 6).alias(column)
 
@@ -371,6 +379,18 @@ def runway_fallback(spark, sf):
     return r.drop("projected_critical_at")
 
 
+@query
+def runway_null_key(spark, sf):
+    """One of the keys is null: its rows count like those of any other key, and once."""
+    events, size = _event_size(spark, sf)
+    rows = events.withColumns({"ts": F.col("ts").cast("timestamp"), "g": F.expr("nullif(event_type, 'view')"), "_size": size})
+    base = profile.size_baseline(rows, "g", F.col("_size"))
+    stats = runway.write_stats(rows, "g", "ts", F.col("_size"), "6 hours")
+    r = runway.runway(stats, base, "g", I.as_of(), fallback=runway.recent_counts(rows, "g", "ts", I.as_of()))
+    named = r.select(F.coalesce("g", F.lit("view")).alias("event_type"), *[c for c in r.columns if c != "g"])
+    return named.withColumn("projected_critical_at", F.date_format("projected_critical_at", "yyyy-MM-dd HH:mm:ss"))
+
+
 # --- threats ---------------------------------------------------------------------------------
 
 
@@ -490,13 +510,39 @@ def recent_same_type(spark, sf):
     return similar.recent_same_type(a, h, "c_custkey", "event_type", "ts", "event_id").select("c_custkey", "event_id", "event_type", "rank")
 
 
+@query
+def nearest_indexed(spark, sf):
+    """The stored index beside the exact search: enough recall, fewer cells than there are."""
+    e = I.table(spark, sf, "embeddings")
+    path = folder(spark, "vectors")
+    probes = vector_index.build_index(e, path, "vec_id", "embedding", 10)
+    asked = e.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query")
+    found = vector_index.search_index(spark, path, asked, "query", "vec_id", "embedding", 10)
+    exact = similar.nearest(asked, e, "query", "vec_id", "embedding", 10)
+    both = found.select("query", "vec_id", F.lit(1).alias("hit")).join(exact.select("query", "vec_id", F.lit(1).alias("true")), ["query", "vec_id"], "full_outer")
+    cells = spark.read.parquet(f"{path}/centroids").count()
+    counted = both.agg(F.count_distinct("query").alias("queries"), F.count("hit").alias("found"), (F.count_if(F.col("hit").isNotNull() & F.col("true").isNotNull()) / F.count("true")).alias("recall"))
+    return counted.select("queries", "found", (F.col("recall") >= 0.95).alias("recall_reached"), F.lit(probes < cells).alias("fewer_cells"))
+
+
 @query
 def text_similar(spark, sf):
-    return similar.text_similar(
-        I.table(spark, sf, "benchmark"), I.table(spark, sf, "documents"), "item_id", "doc_id", "text", 3
+    """Benchmark items against documents, each distinct text embedded once."""
+    return embedding_store.text_similar_stored(
+        I.table(spark, sf, "benchmark"), I.table(spark, sf, "documents"), "item_id", "doc_id", "text", 3, folder(spark, "texts")
     )
 
 
+@query
+def embedded_once(spark, sf):
+    """Two loads of overlapping texts: the store holds each distinct text once."""
+    path = folder(spark, "texts")
+    d, b = I.table(spark, sf, "documents"), I.table(spark, sf, "benchmark")
+    embedding_store.embed_once(path, d.filter("doc_id % 3 != 0").select("text"), "text")
+    again = embedding_store.embed_once(path, d.select("text").unionByName(b.select("text")), "text")
+    return again.agg(F.count("embedding").alias("texts")).select(F.lit(embedding_store.stored_texts(spark, path)).alias("embedded"), "texts")
+
+
 @query
 def backfill_embeddings(spark, sf):
     e = I.table(spark, sf, "events").select(
@@ -782,6 +828,15 @@ def flagged_documents(spark, sf):
     return feed.flagged_documents(document_anomalies(spark, sf), docs, "doc_id").select("document_id", "source", "n_chars", "z_score")
 
 
+@query
+def flagged_by_collection(spark, sf):
+    """Document ids that repeat in other collections: an anomaly meets its own document only."""
+    docs = I.table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    more = docs.select("doc_id", F.concat("lang", F.lit("-old")).alias("lang"), (F.col("n_chars") + 1).alias("n_chars"))
+    found = feed.flagged_documents(document_anomalies(spark, sf), docs.unionByName(more), "doc_id", "lang")
+    return found.select("document_id", "collection_name", "n_chars", "z_score")
+
+
 @query
 def lookup(spark, sf):
     ids = I.table(spark, sf, "labels").filter("toxic = 1").select("doc_id")
@@ -834,6 +889,29 @@ def upsert_latest(spark, sf):
     return tables.upsert(*ordered, "k", "at").select("k", "o_orderkey", "o_totalprice")
 
 
+def _bucketed_orders(spark, sf) -> str:
+    """Orders upserted in three steps, the last one for a single key."""
+    o = I.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    keyed = o.withColumns({"k": F.expr("o_orderkey % 4000"), "at": F.struct("o_orderdate", "o_orderkey")})
+    path = folder(spark, "orders")
+    for part in ("o_orderkey % 3 = 0", "o_orderkey % 3 = 1", "o_orderkey % 3 = 2"):
+        buckets.upsert_buckets(path, keyed.filter(part), "k", "at", 16)
+    return path
+
+
+@query
+def upsert_buckets(spark, sf):
+    path = _bucketed_orders(spark, sf)
+    return buckets.read_table(spark, path).select("k", "o_orderkey", "o_totalprice")
+
+
+@query
+def delete_buckets(spark, sf):
+    path = _bucketed_orders(spark, sf)
+    buckets.delete_from_buckets(spark, path, F.col("k") == 17, "k")
+    return buckets.read_table(spark, path).select("k", "o_orderkey", "o_totalprice")
+
+
 @query
 def patch(spark, sf):
     c = I.table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
