@@ -102,10 +102,10 @@ SUSPICIOUS_FIELDS = [
     "llm_context", "agent_instruction", "rag_injection",
 ]
 
-# Depth and length limits of the walk, text kept per match,
-# weights and limits of the confidence.
-MAX_DEPTH = 5
-MIN_CHARS = 10
+# Depth and length limits of the shorter walk, text kept per
+# match, weights and limits of the confidence.
+SHORT_DEPTH = 5
+SHORT_CHARS = 10
 MATCH_CHARS = 120
 MATCH_WEIGHT, FIELD_WEIGHT = 0.35, 0.2
 CRITICAL_MATCHES, CRITICAL_CONFIDENCE = 2, 0.7

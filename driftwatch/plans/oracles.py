@@ -553,6 +553,23 @@ ORACLES["correlated_events"] = f"""WITH t AS (SELECT {I.COLLECTION_OF_EVENT} AS
  round(count(DISTINCT c) / 6e0, 3) AS confidence, CASE WHEN count(DISTINCT c) / 6e0 >= 0.7 THEN 'CRITICAL' ELSE 'WARNING' END AS severity, '{I.AS_OF}' AS window_end FROM t"""
 ORACLES["cluster_list"] = f"""WITH {WINDOWS} SELECT collection_key, strftime(e, {STAMP}) AS created_at, severity FROM cw ORDER BY cw.e DESC, collection_key DESC LIMIT 99"""
 ORACLES["incident_list"] = f"""WITH {COUNTED}, {cost('ac')} SELECT document_id AS incident_id, collection_name, {TITLE} AS title, per_minute_usd FROM ct ORDER BY detected_at DESC, document_id DESC LIMIT 10"""
+# the first page of a span: its first two calls of the first hour with a call
+ORACLES["incident_details"] = f"""WITH {SPANS}, {EVIDENCE.replace("value / 4 - 5", "value - 20")}, {COUNTED}, {cost('ac')},
+ nw AS (SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1),
+ st AS (SELECT incident_id, max(end_ms) - min(start_ms) AS total_ms,
+  array_to_string(list(agent || ':' || start_ms || ':' || duration_ms || ':' || n_tool_calls ORDER BY start_ms, agent), ',') AS steps FROM sp GROUP BY 1),
+ fc AS (SELECT incident_id, agent, tool_name FROM tr WHERE tool_name IS NOT NULL
+  QUALIFY dense_rank() OVER (PARTITION BY incident_id, agent ORDER BY at_ms // 3600000) = 1 AND row_number() OVER (PARTITION BY incident_id, agent, at_ms // 3600000 ORDER BY at_ms, tool_name) <= 2),
+ fs AS (SELECT incident_id, array_to_string(list(agent || ':' || tool_name ORDER BY agent || ':' || tool_name), ',') AS first_calls FROM fc GROUP BY 1),
+ tc AS ({ORACLES["tool_counts"]}), ts AS (SELECT incident_id, array_to_string(list(name || ':' || n ORDER BY name), ',') AS tools FROM tc GROUP BY 1),
+ ov AS ({ORACLES["span_overlap"]}),
+ ev AS (SELECT event_id, {half_up('c1 + c2 + c3 + c4', 3)} AS total_confidence,
+  list_sort([{{'n': -{half_up('c1', 3)}, 'i': 0, 's': 'advisor'}}, {{'n': -c2, 'i': 1, 's': 'vector_search'}}, {{'n': -c3, 'i': 2, 's': 'schema_drift'}}, {{'n': -c4, 'i': 3, 's': 'z_score'}}]) AS r FROM ei)
+ SELECT st.incident_id, st.total_ms, st.steps, coalesce(fs.first_calls, '') AS first_calls, ov.parallel_verified, ov.speedup_factor, ts.tools,
+  CASE WHEN nw.user_id % 3 = 0 THEN 1.5e0 ELSE ct.per_minute_usd END AS per_minute_usd, CASE WHEN nw.user_id % 3 != 0 THEN ct.total_worst_case_usd END AS total_worst_case_usd,
+  nw.user_id % 3 = 0 AS impact_stored, ev.total_confidence, ev.r[1].s || ',' || ev.r[2].s AS top_sources
+ FROM nw JOIN ct USING (event_id) JOIN ev USING (event_id) JOIN st ON st.incident_id = 'i' || nw.user_id
+ LEFT JOIN fs ON fs.incident_id = st.incident_id LEFT JOIN ts ON ts.incident_id = st.incident_id LEFT JOIN ov ON ov.incident_id = st.incident_id"""
 ORACLES["span_tool_calls"] = f"WITH {TRACE} SELECT incident_id, agent, tool_name AS name, at_ms FROM tr WHERE tool_name IS NOT NULL"
 
 # --- streams ---------------------------------------------------------------------------------------------------------------------

@@ -15,6 +15,7 @@ from driftwatch.operators import (
     anomaly,
     audit,
     correlate,
+    details,
     drift,
     embedding_store,
     evaluate,
@@ -786,6 +787,36 @@ def span_overlap(spark, sf):
     return audit.span_overlap(audit.span_summary(_trace(spark, sf)), agents=["error", "view", "click", "signup"])
 
 
+def _traced_incidents(spark, sf) -> DataFrame:
+    """The newest event of each user as the incident its trace belongs to; every third has a stored impact."""
+    newest = I.table(spark, sf, "events").groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+    e = I.table(spark, sf, "events").select("event_id", "user_id")
+    signals = newest.join(e, ["event_id", "user_id"]).select(
+        "event_id",
+        F.expr("'i' || user_id").alias("incident_id"),
+        F.expr("user_id % 4").alias("n_indexes"), F.expr("event_id % 3").alias("n_schema"), F.expr("event_id % 8").alias("n_slow"),
+        F.expr("(event_id % 101) / 101").alias("vector_score"), F.expr("event_id % 2 = 0").alias("drift_detected"),
+        F.expr("event_id % 5").alias("n_added"), F.expr("user_id % 3").alias("n_removed"),
+        F.expr("CASE WHEN user_id % 3 = 0 THEN named_struct('per_minute_usd', 1.5D, 'saved_usd', 2.0D) END").alias("estimated_dollar_impact"),
+    )
+    return signals.join(I.named_anomalies(spark, sf), "event_id")
+
+
+@query
+def incident_details(spark, sf):
+    d = details.incident_details(_traced_incidents(spark, sf), _trace(spark, sf), _counts(I.named_anomalies(spark, sf)), ["error", "view", "click", "signup"], 2)
+    step = lambda s: F.concat_ws(":", s["agent"], s["start_ms"].cast("string"), s["duration_ms"].cast("string"), s["n_tool_calls"].cast("string"))
+    calls = F.flatten(F.transform("trace.steps", lambda s: F.transform(s["tool_calls"], lambda c: F.concat_ws(":", s["agent"], c["name"]))))
+    return d.select(
+        "incident_id", F.col("trace.total_ms").alias("total_ms"), joined(F.transform("trace.steps", step), "steps"),
+        F.array_join(F.array_sort(calls), ",").alias("first_calls"),
+        F.col("overlap.parallel_verified").alias("parallel_verified"), F.col("overlap.speedup_factor").alias("speedup_factor"),
+        joined(F.transform(F.map_entries("tool_counts"), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string"))), "tools"),
+        F.col("impact.per_minute_usd").alias("per_minute_usd"), F.col("impact.total_worst_case_usd").alias("total_worst_case_usd"), "impact_stored",
+        "total_confidence", joined("top_sources", "top_sources"),
+    )
+
+
 @query
 def tool_counts(spark, sf):
     return audit.tool_counts(_trace(spark, sf))
