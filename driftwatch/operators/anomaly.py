@@ -48,7 +48,7 @@ def size_anomalies(
         level.alias("severity"),
         F.col(doc_id).cast("string").alias("document_id"),
         F.concat(
-            level, F.lit(": Document in '"), F.col(key), F.lit("' is "), F.round(size_kb, 1).cast("string"),
+            level, F.lit(": Document in '"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("' is "), F.round(size_kb, 1).cast("string"),
             F.lit(" KB (Z="), F.round(z, 2).cast("string"), F.lit("). Baseline mean: "),
             F.round(mean_kb, 1).cast("string"), F.lit(" KB."),
         ).alias("description"),

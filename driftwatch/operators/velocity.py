@@ -21,29 +21,37 @@ FLOOR = 1e-7
 RECENT_ROWS, RECENT_BUCKET = 60, 8
 
 
+def partial_sums(df: DataFrame, key, ts: str, emb: str) -> DataFrame:
+    """(key, hour, pos, total, n): sums and counts by vector position, which any two loads can add up."""
+    keys = keys_of(key)
+    usable = df.filter(F.col(ts).isNotNull() & (F.size(F.coalesce(F.col(emb), F.array())) > 0))
+    placed = usable.select(*keys, scores.hour_key(F.col(ts)).alias("hour"), F.posexplode(emb).alias("pos", "x"))
+    return placed.groupBy(*keys, "hour", "pos").agg(F.sum(F.col("x").cast("double")).alias("total"), F.count(F.lit(1)).alias("n"))
+
+
 def hourly_centroids(df: DataFrame, key, ts: str, emb: str) -> DataFrame:
     """Unit mean vector per (key, hour); vectors of unequal length fail.
 
-    Components are averaged by (key, hour, position) in generated code and
+    Components are summed by (key, hour, position) in generated code and
     combined on the map side. Only the means are put together again, one per
     dimension and hour.
     """
+    return centroids_of_sums(partial_sums(df, key, ts, emb), key)
+
+
+def centroids_of_sums(sums: DataFrame, key) -> DataFrame:
+    """Unit mean vectors from the rows of :func:`partial_sums`."""
     keys = keys_of(key)
-    usable = df.filter(F.col(ts).isNotNull() & (F.size(F.coalesce(F.col(emb), F.array())) > 0))
-    means = (
-        usable.select(*keys, scores.hour_key(F.col(ts)).alias("hour"), F.posexplode(emb).alias("pos", "x"))
-        .groupBy(*keys, "hour", "pos")
-        .agg(F.avg(F.col("x").cast("double")).alias("m"), F.count(F.lit(1)).alias("n"))
-    )
     # every vector has a first position, so counts differ only if lengths do
     same = F.min("n") == F.max("n")
+    mean = F.struct("pos", (F.col("total") / F.col("n")).alias("m"))
     return (
-        means.groupBy(*keys, "hour")
+        sums.groupBy(*keys, "hour")
         .agg(
             F.when(same, F.max("n"))
             .otherwise(F.raise_error(F.lit("vectors of unequal length within an hour")).cast("long"))
             .alias("docs"),
-            F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda c: c["m"]).alias("mean"),
+            F.transform(F.array_sort(F.collect_list(mean)), lambda c: c["m"]).alias("mean"),
         )
         .select(*keys, "hour", "docs", unit(F.col("mean")).alias("centroid"))
     )
@@ -180,7 +188,7 @@ def velocity_input(
     if fallback != "recent":
         return rows
     enough = rich(rows)
-    newest = Window.partitionBy(*keys).orderBy(F.desc(ts))
+    newest = Window.partitionBy(*keys).orderBy(F.desc(ts), F.xxhash64(emb))
     synthetic = (
         null_safe_join(usable(history), enough, keys, "left_anti")
         .withColumn("rn", F.row_number().over(newest))

@@ -591,4 +591,16 @@ ORACLES["stream_rate_limit"] = ORACLES["rate_limit"]
 ORACLES["stream_correlation"] = f"""WITH {WINDOWS} SELECT strftime(s, {STAMP}) AS window_start, collection_key, patient_zero, n_anomalies, severity
  FROM cw"""
 ORACLES["stream_correlated_refires"] = ORACLES["correlated_refires"]
+ORACLES["stream_velocity"] = ORACLES["shard_velocity"]
 ORACLES["stream_anomalies"] = f"""WITH {anomalies_of("documents")} SELECT lang AS collection_name, document_id, round(z, 3) AS z_score, severity FROM found"""
+ORACLES["stream_incidents"] = f"""WITH RECURSIVE {ESCALATED}, dcount AS (SELECT lang AS collection_name, count(*) AS dc FROM documents GROUP BY 1),
+ ec AS (SELECT esc.*, dc, TIMESTAMP '2024-01-01' + to_seconds(CAST(document_id AS BIGINT) * 30) AS seen_at FROM esc LEFT JOIN dcount USING (collection_name)),
+ {cost('ec')}, {chain('ec', 'collection_name', 'seen_at', 300)},
+ ck AS (SELECT ec.document_id, c.t IS NOT NULL AS checked FROM ec LEFT JOIN RECURSIVE_CHAIN c ON c.collection_name = ec.collection_name AND c.t = ec.seen_at),
+ sd AS ({ORACLES["schema_drift"]}), sv AS ({ORACLES["semantic_velocity"]}), rw AS ({ORACLES["runway_rate"]}),
+ nm AS (SELECT * FROM (VALUES ('en', 'view', 0), ('fr', 'click', 1), ('de', 'purchase', 2), ('es', 'signup', 3)) AS x(lang, event_type, label))
+ SELECT ct.collection_name, ct.document_id, CAST(ck.checked AS INT) AS checked, CASE WHEN ck.checked THEN sd.drift_detected END AS schema_drift,
+  CASE WHEN ck.checked THEN sv.centroid_distance END AS semantic_velocity, CASE WHEN ck.checked THEN rw.status END AS runway_status,
+  ct.anomaly_type, ct.severity, CASE WHEN ck.checked THEN sd.drift_detected ELSE false END AS drift_detected, ct.per_minute_usd
+ FROM ct JOIN ck USING (document_id) JOIN nm ON nm.lang = ct.collection_name LEFT JOIN sd ON sd.event_type = nm.event_type
+ LEFT JOIN sv ON sv.label = nm.label LEFT JOIN rw ON rw.event_type = nm.event_type"""

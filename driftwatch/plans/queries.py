@@ -1053,4 +1053,48 @@ def span_tool_calls(spark, sf):
 # --- streams run to the end of the table ---------------------------------------------------------------------------------------
 
 
+LANG_OF_TYPE = "CASE event_type WHEN 'view' THEN 'en' WHEN 'click' THEN 'fr' WHEN 'purchase' THEN 'de' WHEN 'signup' THEN 'es' END"
+LANG_OF_LABEL = "CASE label WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' WHEN 3 THEN 'es' END"
+# Two documents a minute, so that checks of a language are often too soon.
+DOC_TIME = "timestamp_seconds(1704067200 + doc_id * 30)"
+
+
+@query
+def stream_incidents(spark, sf):
+    """The main path over documents in two files: all signals, with checks throttled from batch to batch."""
+    docs = I.planted_documents(spark, sf).withColumn("ts", F.expr(DOC_TIME))
+    own = ["doc_id", "text", "lang", "source", "n_chars"]
+    base = profile.size_baseline(docs, "lang", document_bytes(docs, own))
+    counts = docs.groupBy(F.col("lang").alias("collection_name")).agg(F.count(F.lit(1)).alias("doc_count"))
+    live, stored = _schemas(spark, sf)
+    path = folder(spark, "incidents")
+    tables.replace(base, f"{path}/base")
+    tables.replace(counts, f"{path}/counts")
+
+    def reports(due: DataFrame) -> dict[str, DataFrame]:
+        def of(df: DataFrame, name: str) -> DataFrame:
+            return df.withColumn("collection_name", F.expr(name)).join(due, "collection_name", "left_semi")
+
+        return {
+            "drift": of(drift.schema_drift(live, stored, "event_type"), LANG_OF_TYPE),
+            "velocity": of(_velocity(spark, sf), LANG_OF_LABEL),
+            "runways": of(_runway(spark, sf, "6 hours"), LANG_OF_TYPE),
+        }
+
+    write = streams.enriched_incident_batch(
+        lambda: tables.current(spark, f"{path}/base"), lambda: tables.current(spark, f"{path}/counts"), reports,
+        f"{path}/throttle", f"{path}/anomalies", f"{path}/reports", "lang", "doc_id", "ts", own, scanned=["text", "source", "system_prompt"],
+    )
+    n = docs.count()
+    for i in range(2):
+        docs.filter(F.floor(F.col("doc_id") * 2 / n) == i).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    source = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    streams.start(source, f"{path}/log", write).awaitTermination()
+    found = spark.read.parquet(f"{path}/anomalies").select(
+        "collection_name", "document_id", "checked", "schema_drift", "semantic_velocity", F.col("runway.status").alias("runway_status"),
+    )
+    made = spark.read.parquet(f"{path}/reports").select("document_id", "anomaly_type", "severity", "drift_detected", "per_minute_usd")
+    return found.join(made, "document_id")
+
+
 QUERIES.update(jobs.QUERIES)

@@ -11,6 +11,8 @@ Old manifests, and versions no kept manifest names, are deleted after a write.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,12 @@ def manifest(spark: SparkSession, path: str, number: int | None = None) -> tuple
     return number, rows[0]["buckets"], {r["bucket"]: r["version"] for r in rows if r["bucket"] is not None}
 
 
+def last_tag(spark: SparkSession, path: str) -> int | None:
+    """The highest tag of the writes in the table, such as the number of a stream's last batch."""
+    number = max(_numbers(spark, f"{path}/manifest", "m="), default=-1)
+    return None if number < 0 else spark.read.parquet(f"{path}/manifest/m={number:09d}").first()["tag"]
+
+
 def _read(spark: SparkSession, path: str, places: dict[int, int]) -> DataFrame:
     folders = [f"{path}/data/dw_version={v:09d}/dw_bucket={b}" for b, v in sorted(places.items())]
     return spark.read.option("basePath", f"{path}/data").parquet(*folders).drop("dw_version")
@@ -70,9 +78,9 @@ def lookup(spark: SparkSession, path: str, wanted: DataFrame, key) -> DataFrame
     return _read(spark, path, there).drop("dw_bucket").join(bounded(wanted.select(*keys).distinct()), keys, "left_semi")
 
 
-def _commit(spark: SparkSession, path: str, number: int, buckets: int, places: dict[int, int], keep: int) -> None:
-    rows = [(buckets, b, v) for b, v in places.items()] or [(buckets, None, None)]
-    frame = spark.createDataFrame(rows, "buckets int, bucket int, version int").coalesce(1)
+def _commit(spark: SparkSession, path: str, number: int, buckets: int, places: dict[int, int], keep: int, tag: int | None = None) -> None:
+    rows = [(buckets, b, v, tag) for b, v in places.items()] or [(buckets, None, None, tag)]
+    frame = spark.createDataFrame(rows, "buckets int, bucket int, version int, tag long").coalesce(1)
     if not tables.write_once(frame, f"{path}/manifest/m={number:09d}"):
         raise RuntimeError(f"another writer has changed {path}")
     hadoop, files = _files(spark, path)
@@ -123,6 +131,34 @@ def upsert_buckets(path: str, new: DataFrame, key, order: str, buckets: int = BU
     return places
 
 
+def merge_buckets(
+    path: str, new: DataFrame, key, merge: Callable[[DataFrame, list[str]], DataFrame], tag: int, buckets: int = BUCKETS,
+    keep: int = KEEP, splits: int = 1,
+) -> bool:
+    """Merges mergeable state, such as sums, into the table; False if the write with this tag was done before.
+
+    ``merge(rows, by)`` combines old and new rows of the touched buckets,
+    grouped by ``by`` (the bucket column and whatever it adds), and may drop
+    expired ones. Tags ascend, as the batch numbers of a stream do. State and
+    tag become visible together, so a repeated batch is merged once.
+    """
+    spark = new.sparkSession
+    done = last_tag(spark, path)
+    if done is not None and tag <= done:
+        return False
+    keys = keys_of(key)
+    last, known, places = manifest(spark, path)
+    buckets = known or buckets
+    marked = new.withColumn("dw_bucket", bucket_of(keys, buckets))
+    touched = {r[0] for r in marked.select("dw_bucket").distinct().collect()}
+    there = {b: v for b, v in places.items() if b in touched}
+    rows = _read(spark, path, there).select(*marked.columns).unionByName(marked) if there else marked
+    written = _write(merge(rows, ["dw_bucket"]).select(*marked.columns), path, last + 1, keys, splits)
+    places = {**{b: v for b, v in places.items() if b not in touched}, **{b: last + 1 for b in written}}
+    _commit(spark, path, last + 1, buckets, places, keep, tag)
+    return True
+
+
 def delete_from_buckets(spark: SparkSession, path: str, condition: Column, key, keep: int = KEEP, splits: int = 1) -> dict[int, int]:
     """Deletes the rows that satisfy the condition; only buckets that hold such rows are rewritten."""
     last, buckets, places = manifest(spark, path)

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from driftwatch.functions.sizes import document_bytes
 from driftwatch.operators import folds, profile
-from driftwatch.plans.inputs import COLLECTION_OF_EVENT, MONITORED, as_of
+from driftwatch.plans.inputs import COLLECTION_OF_EVENT, MONITORED, SHARD_VECTOR_SPARK, as_of, vectors
 from driftwatch.session import checkpoint_dir
 from driftwatch.sources import tables
-from driftwatch.streaming import routing, streams
+from driftwatch.streaming import routing, streams, velocity_state
 from driftwatch.streaming.event_folds import timer_state
 
 
@@ -44,12 +44,12 @@ def run(df: DataFrame, write=None, base: str | None = None) -> DataFrame:
 
 # Every tenth event comes one file too late.
 FILES = 6
-FILE_OF_EVENT = "least(floor(event_id * {files} / {rows}) + CASE WHEN event_id % 10 = 3 THEN 1 ELSE 0 END, {files} - 1)"
+FILE_OF_EVENT = "least(floor({id} * {files} / {rows}) + CASE WHEN {id} % 10 = 3 THEN 1 ELSE 0 END, {files} - 1)"
 
 
-def _feed(spark: SparkSession, events: DataFrame, base: str, files: range, rows: int) -> DataFrame:
+def _feed(spark: SparkSession, events: DataFrame, base: str, files: range, rows: int, row_id: str) -> DataFrame:
     """Writes some of the files the events arrive in, one after the other, and gives the folder as a stream of single files."""
-    number = F.expr(FILE_OF_EVENT.format(files=FILES, rows=rows))
+    number = F.expr(FILE_OF_EVENT.format(files=FILES, rows=rows, id=row_id))
     for i in files:
         events.where(number == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
@@ -67,7 +67,7 @@ def through_router(spark: SparkSession, events: DataFrame, stream, ts: str, row_
     parts = [range(FILES // 2), range(FILES // 2, FILES)] if restart else [range(FILES)]
     out = None
     for part in parts:
-        source = _feed(spark, events, base, part, rows)
+        source = _feed(spark, events, base, part, rows, row_id)
         streams.start(source, f"{base}/routed", routing.route_batches(base, ts, error, watermark)).awaitTermination()
         if part.stop == FILES:
             routing.close_stream(spark, base, events.schema, ts, "1 hour", watermark)
@@ -162,6 +162,19 @@ def stream_correlated_refires(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("collection_key", F.date_format("window_end", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
+def stream_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Velocity of shards from sums that each batch of a stream added up; no vector is read twice."""
+    rows = vectors(spark, sf_dir, 12).select("vec_id", F.expr("vec_id % 37").alias("shard"), "ts", F.expr(SHARD_VECTOR_SPARK).alias("embedding"))
+    _, base = through_router(spark, rows, None, "ts", "vec_id", "1 day", restart=False)
+    accepted = routing.accepted_stream(spark, base, rows.schema, "ts", "vec_id", "1 day")
+    state = f"{base}/velocity"
+    streams.start(accepted, f"{base}/sums", velocity_state.velocity_state_batch(state, "shard", "ts", "embedding", 24)).awaitTermination()
+    v = velocity_state.velocity_from_state(spark, state, "shard", F.lit("2024-01-01 23:59:59").cast("timestamp"), 24)
+    return v.select(
+        "shard", "centroid_distance", "baseline_distance", "velocity_ratio", "velocity_zscore", "cumulative_drift", "cumulative_alert", "status"
+    )
+
+
 def stream_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size anomalies of a document stream against a stored baseline."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -174,5 +187,5 @@ def stream_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     stream_write_stats, stream_refires, stream_throttle, stream_circuit, stream_dead_letters, stream_changes, stream_rate_limit,
-    stream_correlation, stream_correlated_refires, stream_anomalies,
+    stream_correlation, stream_correlated_refires, stream_velocity, stream_anomalies,
 )}

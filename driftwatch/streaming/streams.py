@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from driftwatch.functions.sizes import document_bytes
 from driftwatch.operators import anomaly, correlate, folds, incident, runway, threats
 from driftwatch.session import bounded, materialize, null_safe_join
-from driftwatch.sources import tables
+from driftwatch.sources import buckets, tables
 from driftwatch.streaming.event_folds import fold_stream
 from driftwatch.streaming.routing import WATERMARK
 
@@ -157,6 +157,71 @@ def incident_batch(
     return write
 
 
+def throttled_checks(
+    found: DataFrame, throttle: str, key: str = "collection_name", at: str = "detected_at", tie: str = "document_id",
+    seconds: int = folds.THROTTLE_SECONDS,
+) -> DataFrame:
+    """Adds ``checked``: 1 for anomalies whose collection is checked, at most once in ``seconds``, 0 for the others.
+
+    The last check of each collection is read from the table ``throttle``
+    (:func:`remember_checks`) and stands first in its time order, so the rule
+    goes on from batch to batch. ``found`` should be stored; it is read twice.
+    """
+    spark = found.sparkSession
+    now = found.select(key, F.col(at).cast("timestamp").alias("_at"), F.col(tie).cast("string").alias("_tie"))
+    before = buckets.read_table(spark, throttle)
+    if before is not None:
+        earlier = before.select(key, F.col("checked_at").alias("_at"), F.lit("").alias("_tie"))
+        wanted = bounded(now.select(key).distinct())
+        now = now.unionByName(null_safe_join(earlier, wanted, key, "left_semi"))
+    decided = folds.fold_events(now, key, "_at", "_tie", folds.refire_fold(seconds), "checked")
+    named = found.withColumns({"_at": F.col(at).cast("timestamp"), "_tie": F.col(tie).cast("string")})
+    return null_safe_join(named, decided.where("_tie != ''"), [key, "_at", "_tie"], "left").drop("_at", "_tie")
+
+
+def remember_checks(checked: DataFrame, throttle: str, key: str = "collection_name", at: str = "detected_at") -> None:
+    """Stores the time of the newest check of each collection."""
+    newest = checked.where("checked = 1").groupBy(key).agg(F.max(F.col(at).cast("timestamp")).alias("checked_at"))
+    buckets.upsert_buckets(throttle, newest, key, "checked_at", 16)
+
+
+def enriched_incident_batch(
+    baselines: Callable[[], DataFrame], counts: Callable[[], DataFrame], reports: Callable[[DataFrame], dict[str, DataFrame]],
+    throttle: str, anomaly_sink: str, incident_sink: str, key: str, doc_id: str, detected_at: str,
+    columns: list[str] | None = None, doc: str | None = None, scanned: list[str] | None = None, seconds: int = folds.THROTTLE_SECONDS,
+) -> Callable[[DataFrame, int], None]:
+    """Batch writer of the whole main path: detect, scan, escalate, check, report.
+
+    ``reports(collections)`` gives the reports ``drift``, ``velocity`` and
+    ``runways`` (any of them) of a frame of collection names. They are asked
+    for only where a check is due, and only anomalies that are checked carry
+    their signals. Sizes are taken over ``columns``, threats looked for in
+    ``scanned``. The sinks keep existing keys and the checks are remembered
+    last, so a repeated batch stores nothing twice.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        size = document_bytes(batch, columns, doc=doc)
+        found = materialize(anomaly.size_anomalies(batch, baselines(), key, doc_id, F.col(detected_at), size))
+        decided = materialize(throttled_checks(found, throttle, seconds=seconds))
+        due = bounded(decided.where("checked = 1").select("collection_name").distinct())
+        signals = {name: bounded(report) for name, report in reports(due).items()}
+        enriched = enrich(decided, batch, doc_id, columns=scanned or columns, doc=doc, key=key, **signals)
+        own = [c for c in ("schema_drift", "semantic_velocity", "semantic_spike", "runway") if c in enriched.columns]
+        enriched = materialize(enriched.withColumns({c: F.when(F.col("checked") == 1, F.col(c)) for c in own}))
+        tables.merge_keep_existing(anomaly_sink, enriched, ["collection_name", "document_id", "detected_at"], "detected_at")
+        checked, unchecked = enriched.where("checked = 1"), enriched.where("checked = 0")
+        made = incident.incident_reports(checked, counts(), drift=signals.get("drift")).unionByName(
+            incident.incident_reports(unchecked, counts())
+        )
+        tables.merge_keep_existing(incident_sink, made, ["incident_id", "detected_at"], "detected_at")
+        remember_checks(enriched, throttle)
+        batch.unpersist()
+
+    return write
+
+
 def velocity_monitor(velocity: Callable[[], DataFrame], key: str, as_of: Callable[[], Column], sink: str) -> Callable[[DataFrame, int], None]:
     """Batch writer of a periodic check: spikes of the state table become
     anomaly rows, at most one per collection and hour."""
