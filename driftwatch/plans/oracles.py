@@ -49,6 +49,9 @@ ORACLES["full_baseline"] = f"""WITH {full("source")} SELECT source, n AS sample_
  round(m + 3.5e0 * sd, 6) AS critical_threshold_bytes FROM full_base"""
 
 NULL_KEY = f"(SELECT doc_id, nullif(lang, 'fr') AS lang, {DOC_BYTES} AS b FROM documents)"
+ORACLES["baseline_state_loads"] = f"""WITH {BASE}, lo AS (SELECT lang, CAST(min({DOC_BYTES}) AS BIGINT) AS lo, CAST(max({DOC_BYTES}) AS BIGINT) AS hi FROM documents GROUP BY lang)
+ SELECT lang, n AS sample_count, lo AS min_bytes, hi AS max_bytes, round(m, 4) AS mean_bytes, round(sd, 4) AS stddev_bytes, round(m + 3.5 * sd, 4) AS critical_threshold_bytes, true AS percentiles_near
+ FROM base JOIN lo USING (lang)"""
 ORACLES["null_key_baseline"] = f"""SELECT lang, count(*) AS sample_count, min(b) AS min_bytes, max(b) AS max_bytes,
  round(avg(b), 6) AS mean_bytes, round(stddev_samp(b), 6) AS stddev_bytes, round(quantile_cont(CAST(b AS DOUBLE), 0.5), 6) AS p50_bytes,
  round(quantile_cont(CAST(b AS DOUBLE), 0.99), 6) AS p99_bytes FROM {NULL_KEY} GROUP BY lang"""

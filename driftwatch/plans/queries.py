@@ -14,6 +14,7 @@ from driftwatch.functions.sizes import document_bytes
 from driftwatch.operators import (
     anomaly,
     audit,
+    baseline_state,
     correlate,
     details,
     drift,
@@ -134,6 +135,27 @@ def size_anomalies(spark, sf):
     return a.drop("description").withColumns({"confidence": F.round("confidence", 6), "detected_at": F.date_format("detected_at", "yyyy-MM-dd HH:mm:ss")})
 
 
+@query
+def baseline_state_loads(spark, sf):
+    """Three loads of documents merged into the state: exact moments, percentiles within the sketch's rank error."""
+    docs = I.table(spark, sf, "documents")
+    sized = docs.withColumn("bytes", document_bytes(docs))
+    path = folder(spark, "baseline")
+    for tag in (0, 1, 1, 2):
+        baseline_state.add_documents(path, sized.filter(F.col("doc_id") % 3 == tag), "lang", tag, F.col("bytes"))
+    b = baseline_state.baseline_of_state(spark, path, "lang")
+    ranks = sized.select("lang", "bytes").join(F.broadcast(b), "lang").groupBy("lang").agg(
+        *[F.avg((F.col("bytes") < F.col(c)).cast("double")).alias(f"{c}_below") for c in baseline_state.QUANTILES],
+        *[F.avg((F.col("bytes") <= F.col(c)).cast("double")).alias(f"{c}_upto") for c in baseline_state.QUANTILES],
+    )
+    near = F.lit(True)
+    for c, p in baseline_state.QUANTILES.items():
+        near = near & (F.col(f"{c}_below") - baseline_state.RANK_ERROR <= p) & (F.col(f"{c}_upto") + baseline_state.RANK_ERROR >= p)
+    return b.join(ranks, "lang").select(
+        "lang", "sample_count", "min_bytes", "max_bytes", *[F.round(c, 4).alias(c) for c in ("mean_bytes", "stddev_bytes", "critical_threshold_bytes")], near.alias("percentiles_near")
+    )
+
+
 @query
 def refresh_baseline(spark, sf):
     docs = I.table(spark, sf, "documents").withColumn("bytes", document_bytes(I.table(spark, sf, "documents")))
