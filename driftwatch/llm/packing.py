@@ -11,8 +11,8 @@ import bisect
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -243,25 +243,28 @@ def pack_pieces(
     else:
         dealt = _placed(base, order, id_col).withColumn("_shard", F.floor(F.col("_at") / shard_rows).cast("long"))
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", id_col, "piece"], ascending=[False, True, True], kind="stable")
-        lengths = [int(x) for x in frame["length"]]
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        # columns stay as they came: numbers beside nulls would be changed in pandas
+        by = [("length", "descending"), *((c, "ascending") for c in (id_col, "piece") if not pa.types.is_nested(table.schema.field(c).type))]
+        table = table.take(pc.sort_indices(table, by))
+        lengths = table.column("length").to_pylist()
         if lengths and lengths[0] > capacity:
             raise ValueError(f"a piece of {lengths[0]} tokens is longer than {capacity}")
         sequence, offset = [0] * len(lengths), [0] * len(lengths)
         bins = improve(best_fit(lengths, capacity), lengths, capacity)
         if order is not None:
-            place = frame["_at"].tolist()
+            place = table.column("_at").to_pylist()
             bins.sort(key=lambda b: sum(place[i] * lengths[i] for i in b) / max(1, sum(lengths[i] for i in b)))
         for b, members in enumerate(bins):
             at = 0
             for i in members:
-                sequence[i], offset[i] = int(key[0]) << 32 | b, at
+                sequence[i], offset[i] = key[0].as_py() << 32 | b, at
                 at += lengths[i]
-        return frame.assign(sequence_id=sequence, offset=offset).drop(columns=["_shard", "_at"])
+        kept = table.drop_columns(["_shard", "_at"])
+        return kept.append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema] + ["sequence_id long", "offset long"])
-    return dealt.groupBy("_shard").applyInPandas(run, schema)
+    return dealt.groupBy("_shard").applyInArrow(run, schema)
 
 
 def _placed(pieces: DataFrame, order: str, id_col: str) -> DataFrame:
