@@ -31,7 +31,7 @@ NO_LANG = "und"
 # Bytes no UTF-8 text holds: end of a piece, end of a text.
 PIECE, TEXT = b"\xfe", b"\xff"
 _TO_PIECES = bytes(PIECE[0] if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b for b in range(256))
-SLICE = 6 << 20
+SLICE = 4 << 20
 FLUSH = 500_000
 # Suffixes of one task; a phrase leads too many of them if it occurs a quarter as often.
 ROUTE_SUFFIXES = 1 << 20
