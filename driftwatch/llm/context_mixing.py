@@ -27,8 +27,12 @@ CLASSES = 1 << BITS
 TOP_CLASSES = 192
 TOP_TOKENS = 65_536
 MOST_SLOTS = 1 << 20
-SEGMENT = 2048
+# Code points of the texts held at once, and texts mixed side by side.
+SLICE = 12 << 20
 LANES = 4096
+# Longer texts are gathered, so that they are mixed side by side too.
+LONG = 8192
+GATHERED = 12 << 20
 END = b"\n"  # no word holds white space
 SMOOTH = 0.1
 CHUNK = 4096
@@ -94,17 +98,47 @@ def _ids(text: str | None, top: dict[bytes, int]) -> tuple[np.ndarray, list[byte
     return ids, tail
 
 
-def _contexts(ids: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each position: the class before (order 1), and the two hashed contexts."""
-    before = np.zeros(len(ids), np.int64)
-    before[1:] = classes[:-1]
+def _slices(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with at most ``most`` code points, or one longer text."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        size = len(t) if t else 0
+        if held and held + size > most:
+            yield start, i
+            start, held = i, 0
+        held += size + 1
+    if start < len(texts):
+        yield start, len(texts)
+
+
+class Coded(NamedTuple):
+    """Texts of a slice one after the other: a class and two hashed contexts for each token."""
+
+    classes: np.ndarray  # uint8
+    word: np.ndarray  # hash of the token before
+    pair: np.ndarray  # hash of the two classes before
+    offset: np.ndarray
+    size: np.ndarray
+
+
+def _coded(parts: list[np.ndarray], rank_class: np.ndarray) -> Coded:
+    size = np.array([len(p) for p in parts], np.int64)
+    offset = np.cumsum(size) - size
+    ids = np.concatenate(parts)
+    c = rank_class[ids].astype(np.uint8)
     word = np.zeros(len(ids), np.uint64)
     word[1:] = ids[:-1].astype(np.uint64) + np.uint64(1)
+    word[offset] = 0
     pair = np.zeros(len(ids), np.uint64)
-    pair[2:] = (classes[1:-1].astype(np.uint64) << np.uint64(BITS)) | classes[:-2].astype(np.uint64)
-    h1 = (word * _MUL) >> np.uint64(20)
-    h2 = ((pair + np.uint64(1 << 40)) * _MUL) >> np.uint64(20)
-    return before, h1, h2
+    pair[2:] = (c[1:-1].astype(np.uint64) << np.uint64(BITS)) | c[:-2].astype(np.uint64)
+    pair[offset] = 0
+    pair[(offset + 1)[size > 1]] = 0
+    pair += np.uint64(1 << 40)
+    return Coded(c, _short(word), _short(pair), offset, size)
+
+
+def _short(context: np.ndarray) -> np.ndarray:
+    return ((context * _MUL) >> np.uint64(20)).astype(np.uint32)
 
 
 def _slot(h: np.ndarray, node: np.ndarray, slots: int) -> np.ndarray:
@@ -117,27 +151,33 @@ def bit_counts(texts: DataFrame, top, rank_class, slots: int) -> DataFrame:
     A task counts into tables of fixed size and hands on the chunks it touched.
     """
     shared = texts.sparkSession.sparkContext.broadcast((top, rank_class))
+    most = SLICE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top, rank_class = shared.value
         sizes = (CLASSES, CLASSES * CLASSES, *[slots] * HASHED)
         counts = [np.zeros((2, max(s, CHUNK)), np.uint32) for s in sizes]
         for batch in batches:
-            parts = [_ids(t, top)[0] for t in batch.column(0).to_pylist()]
-            cls = [rank_class[p] for p in parts]
-            made = [_contexts(p, c) for p, c in zip(parts, cls)]
-            c = np.concatenate(cls)
-            before, h1, h2 = (np.concatenate([m[k] for m in made]) for k in range(3))
-            for b in range(BITS):
-                node = (1 << b) | (c >> (BITS - b))
-                bit = (c >> (BITS - 1 - b)) & 1
-                where = (node, before << BITS | node, _slot(h1, node, slots), _slot(h2, node, slots))
-                for table, at in zip(counts, where):
-                    at = bit * table.shape[1] + at
-                    if 4 * len(at) < table.size:
-                        np.add.at(table.reshape(-1), at, 1)
-                    else:
-                        table += np.bincount(at, minlength=table.size).reshape(table.shape).astype(np.uint32)
+            texts = batch.column(0).to_pylist()
+            for start, end in _slices(texts, most):
+                coded = _coded([_ids(t, top)[0].astype(np.int32) for t in texts[start:end]], rank_class)
+                c = coded.classes.astype(np.int64)
+                before = np.zeros_like(c)
+                before[1:] = c[:-1]
+                before[coded.offset] = 0
+                # without a hash, classes are counted once and added up along the tree of their bits
+                pairs = np.bincount(before << BITS | c, minlength=CLASSES * CLASSES).reshape(CLASSES, CLASSES)
+                for b in range(BITS):
+                    each = pairs.reshape(CLASSES, 1 << b, 2, -1).sum(axis=3).astype(np.uint32)
+                    nodes = (1 << b) + np.arange(1 << b)
+                    for bit in range(2):
+                        counts[0][bit, nodes] += each[:, :, bit].sum(axis=0, dtype=np.uint32)
+                        counts[1][bit].reshape(CLASSES, CLASSES)[:, nodes] += each[:, :, bit]
+                    node = (1 << b) | (c >> (BITS - b))
+                    bit = (c >> (BITS - 1 - b)) & 1
+                    for table, h in zip(counts[2:], (coded.word, coded.pair)):
+                        at = _slot(h, node, slots) + bit * table.shape[1]
+                        np.add.at(table.reshape(-1), at, np.uint32(1))
         for k, table in enumerate(counts):
             for at in range(0, table.shape[1], CHUNK):
                 zeros, ones = table[0, at : at + CHUNK], table[1, at : at + CHUNK]
@@ -238,7 +278,7 @@ def fit_context_model(texts: DataFrame, counts: DataFrame) -> ContextModel:
 
 
 class Scorer:
-    """Sums of log10 bit probabilities of many class sequences at once, one lane each."""
+    """Sums of log10 bit probabilities of many texts at once, one lane each."""
 
     rate, forget = np.float32(0.02), np.float32(1 / 24)
     start = np.array([0.1, 0.35, 0.45, 0.25, 0.1], np.float32)  # weights before any learning
@@ -247,19 +287,18 @@ class Scorer:
         self.model = model
         self.steps = np.linspace(-8, 8, 17, dtype=np.float32)
 
-    def __call__(self, sequences: list[tuple[np.ndarray, ...]]) -> np.ndarray:
-        """log10 probability of each (classes, before, h1, h2) sequence."""
-        out = np.zeros(len(sequences))
-        order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i][0]))
+    def __call__(self, coded: Coded) -> np.ndarray:
+        """log10 probability of the classes of each text."""
+        out = np.zeros(len(coded.size))
+        order = np.argsort(-coded.size, kind="stable")
         for at in range(0, len(order), LANES):
             some = order[at : at + LANES]
-            out[some] = self._lanes([sequences[i] for i in some])
+            out[some] = self._lanes(coded, coded.offset[some], coded.size[some])
         return out
 
-    def _lanes(self, lanes: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+    def _lanes(self, coded: Coded, offset: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Lanes come longest first, so at each step the running ones are a prefix."""
-        m, n, longest = self.model, len(lanes), len(lanes[0][0])
-        sizes = np.array([len(x[0]) for x in lanes])
+        m, n, longest = self.model, len(sizes), int(sizes[0])
         running = np.searchsorted(-sizes, -np.arange(longest), side="left")
         inputs = len(self.start)
         # one block for each bit, so that a bit's state is contiguous; lanes lie side by side
@@ -272,19 +311,14 @@ class Scorer:
         nodes = np.arange(CLASSES, dtype=np.uint64) * NODE
         half, one = np.float32(0.5), np.float32(1)
         take = np.take
+        previous = np.zeros(n, np.int64)
         for t in range(longest):
             a = running[t]
-            if t % SEGMENT == 0:
-                # the next stretch of all lanes side by side; their state goes on
-                padded = []
-                for k in range(4):
-                    part = np.zeros((min(SEGMENT, longest - t), a), lanes[0][k].dtype)
-                    for j in range(a):
-                        some = lanes[j][k][t : t + SEGMENT]
-                        part[: len(some), j] = some
-                    padded.append(part)
-            c, before, h1, h2 = (p[t % SEGMENT, :a] for p in padded)
-            base = before << BITS
+            place = offset[:a] + t
+            c = take(coded.classes, place).astype(np.int64)
+            h1, h2 = take(coded.word, place).astype(np.uint64), take(coded.pair, place).astype(np.uint64)
+            base = previous[:a] << BITS
+            previous = c
             who = lane[:a]
             node = np.ones(a, np.int64)
             gained = np.ones(a, np.float32)
@@ -300,7 +334,11 @@ class Scorer:
                 memory = take(own, at)
                 np.multiply(memory, np.float32(6), out=x[4])
                 w = weights[b, :, :a]
-                dot = np.einsum("ij,ij->j", w, x)
+                # added up in a fixed order, so that a text scores alike beside any others
+                part = w * x
+                dot = part[0]
+                for k in range(1, inputs):
+                    dot += part[k]
                 np.clip(dot, -7.9, 7.9, out=dot)
                 p = one / (one + np.exp(-dot))
                 # the refining table: probabilities at fixed logits, read between its two nearest entries
@@ -335,10 +373,9 @@ def score_texts(
     model and by smoothed token counts alone; ``n_known`` counts tokens seen in
     training. All training texts are counted, and counts of tokens beyond the
     65,536 most frequent are joined as a table. A null or empty text is its end
-    alone. ``id_col`` should be unique: rows with equal ids, null ids included,
-    count as one text, laid one after the other. Without training rows every
-    token is unknown; an empty table gives an empty result. Score adaptation
-    goes on over the whole of a text, however long.
+    alone. Each row is scored by itself, also those with equal or null ids.
+    Without training rows every token is unknown; an empty table gives an empty
+    result. Adaptation goes on over the whole of a text, however long.
     """
     id_type = documents.schema[id_col].dataType.simpleString()
     docs = documents.select(F.col(id_col).alias("id"), F.col(text).alias("t"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
@@ -346,6 +383,7 @@ def score_texts(
     counts = stored(token_counts(texts))
     model = fit_context_model(texts, counts)
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
+    most = SLICE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = ContextModel(*shared.value)
@@ -353,47 +391,48 @@ def score_texts(
         top_log = np.concatenate([np.log10(m.top_counts + SMOOTH), np.zeros(len(m.rank_class) - len(m.top_counts))])
         no_end = END not in m.top
         for batch in batches:
-            lanes, fixed, base, known, sizes, tails, bytes_ = [], [], [], [], [], [], []
-            for t in batch.column(1).to_pylist():
-                ids, tail = _ids(t, m.top)
-                cls = m.rank_class[ids]
-                lanes.append((cls, *_contexts(ids, cls)))
-                fixed.append(-m.class_log_mass[cls].sum())
-                base.append(top_log[ids].sum() + (math.log10(SMOOTH) if no_end else 0.0))
-                sizes.append(len(ids))
-                known.append(len(ids) - len(tail) - no_end)
-                c = Counter(tail)
-                tails.append([{"token": k, "k": v} for k, v in c.items()])
-                bytes_.append(len(t.encode("utf-8", "surrogatepass")) if t else 0)
-            bits = scorer(lanes)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()),
-                    pa.array(base, pa.float64()), pa.array(bits + np.array(fixed)), pa.array(bytes_, pa.int64()),
-                    pa.array(tails, pa.list_(pa.struct([("token", pa.binary()), ("k", pa.int64())]))),
-                ],
-                ["id", "train", "n_tokens", "known", "base", "bits", "bytes", "tails"],
-            )
-
-    made = stored(
-        docs.mapInArrow(
-            run,
-            f"id {id_type}, train boolean, n_tokens long, known long, base double, bits double, bytes long, "
-            "tails array<struct<token:binary,k:long>>",
-        )
+            texts = batch.column(1).to_pylist()
+            for start, end in _slices(texts, most):
+                parts, fixed, base, known, tails, bytes_ = [], [], [], [], [], []
+                for t in texts[start:end]:
+                    ids, tail = _ids(t, m.top)
+                    parts.append(ids)
+                    fixed.append(-m.class_log_mass[m.rank_class[ids]].sum())
+                    base.append(top_log[ids].sum() + (math.log10(SMOOTH) if no_end else 0.0))
+                    known.append(len(ids) - len(tail) - no_end)
+                    tails.append([{"token": k, "k": v} for k, v in Counter(tail).items()])
+                    bytes_.append(len(t.encode("utf-8", "surrogatepass")) if t else 0)
+                coded = _coded(parts, m.rank_class)
+                some = batch.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        some.column(0), some.column(2), pa.array(coded.size), pa.array(known, pa.int64()),
+                        pa.array(base, pa.float64()), pa.array(scorer(coded) + np.array(fixed)), pa.array(bytes_, pa.int64()),
+                        pa.array(tails, pa.list_(pa.struct([("token", pa.binary()), ("k", pa.int64())]))),
+                    ],
+                    ["id", "train", "n_tokens", "known", "base", "bits", "bytes", "tails"],
+                )
+
+    # long texts of all partitions meet in few tasks, ordered by length, and are mixed side by side
+    is_long = F.coalesce(F.length("t") > LONG, F.lit(False))
+    total = docs.where(is_long).agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
+    gathered = docs.where(is_long).repartitionByRange(1 + total // GATHERED, F.length("t")).sortWithinPartitions(F.length("t"))
+    docs = docs.where(~is_long).unionByName(gathered)
+    scored = docs.mapInArrow(
+        run,
+        f"id {id_type}, train boolean, n_tokens long, known long, base double, bits double, bytes long, "
+        "tails array<struct<token:binary,k:long>>",
     )
-    rare = made.select("id", F.explode("tails").alias("x")).select("id", "x.token", "x.k")
-    looked_up = rare.join(counts, "token", "left").groupBy("id").agg(
+    # numbered when stored, so that rows with equal ids stay apart
+    made = stored(scored.withColumn("row", F.monotonically_increasing_id()))
+    rare = made.select("row", F.explode("tails").alias("x")).select("row", "x.token", "x.k")
+    looked_up = rare.join(counts, "token", "left").groupBy("row").agg(
         F.sum(F.col("k") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + SMOOTH)).alias("rare_log"),
         F.coalesce(F.sum(F.when(F.col("n").isNotNull(), F.col("k"))), F.lit(0)).alias("rare_known"),
     )
-    whole = made.groupBy("id").agg(
-        F.bool_or("train").alias("train"),
-        *[F.sum(c).alias(c) for c in ("n_tokens", "known", "base", "bits", "bytes")],
-    )
     logs = F.col("base") + F.coalesce("rare_log", F.lit(0.0))
     score = logs + F.col("bits")
-    return whole.join(looked_up.withColumnRenamed("id", "rid"), F.col("id").eqNullSafe(F.col("rid")), "left").select(
+    return made.drop("tails").join(looked_up, "row", "left").select(
         F.col("id").alias(id_col),
         "train",
         "n_tokens",

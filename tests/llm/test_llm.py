@@ -385,8 +385,9 @@ def test_bit_probabilities_sum_to_one():
     score = context_mixing.Scorer(model)
     start = np.array([3, 9], np.int64)
     every = [np.append(start, c) for c in range(256)]
-    first = score([(start, *context_mixing._contexts(start, start))])[0]
-    whole = score([(c, *context_mixing._contexts(c, c)) for c in every])
+    same = np.arange(256)
+    first = score(context_mixing._coded([start], same))[0]
+    whole = score(context_mixing._coded(every, same))
     assert sum(10 ** (whole - first)) == pytest.approx(1, abs=1e-3)
 
 
@@ -394,12 +395,31 @@ def test_long_texts_are_mixed_as_a_whole(spark, monkeypatch):
     texts = [("a b c d e f g " * 900, False), ("x y z " * 1500, False), ("a b", False), (None, False), ("b c d x " * 50, True)]
     docs = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "document_id int, text string, train boolean")
     scores = []
-    for segment in (2048, 50, 100_000):
-        monkeypatch.setattr(context_mixing, "SEGMENT", segment)
+    for slice_, long in ((1 << 22, 8192), (50, 8192), (1 << 22, 1)):
+        monkeypatch.setattr(context_mixing, "SLICE", slice_)
+        monkeypatch.setattr(context_mixing, "LONG", long)
         scores.append([r.score for r in context_mixing.score_texts(docs).orderBy("document_id").collect()])
     assert scores[0] == pytest.approx(scores[2], rel=1e-9) and scores[1] == pytest.approx(scores[2], rel=1e-9)
 
 
+def test_packing_leaves_large_ids_beside_nulls_alone(spark):
+    ids = [2**60 + 1, 2**60 + 3, None, None, -5]
+    df = spark.createDataFrame([(i, 0, 10, n) for n, i in enumerate(ids)], "document_id long, piece int, length int, mark int")
+    rows = packing.pack_pieces(df, capacity=25).orderBy("mark").collect()
+    assert [r.document_id for r in rows] == ids
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append(r.offset)
+    assert sorted(map(sorted, by.values())) == [[0], [0, 10], [0, 10]]
+
+
+def test_rows_with_equal_or_null_ids_are_scored_apart(spark):
+    rows = [(None, "a b c", True), (None, "b", False), (7, "a b c", False), (7, "z z", True), (8, None, False)]
+    docs = spark.createDataFrame(rows, "document_id int, text string, train boolean")
+    got = sorted((r.document_id or 0, r.n_tokens) for r in context_mixing.score_texts(docs).collect())
+    assert got == [(0, 2), (0, 4), (7, 3), (7, 4), (8, 1)]
+
+
 # the pipeline
 
 
