@@ -28,11 +28,11 @@ TOP_CLASSES = 192
 TOP_TOKENS = 65_536
 MOST_SLOTS = 1 << 20
 # Code points of the texts held at once, and texts mixed side by side.
-SLICE = 12 << 20
+SLICE = 20 << 20
 LANES = 4096
 # Longer texts are gathered, so that they are mixed side by side too.
 LONG = 8192
-GATHERED = 12 << 20
+GATHERED = 20 << 20
 END = b"\n"  # no word holds white space
 SMOOTH = 0.1
 CHUNK = 4096
@@ -323,42 +323,67 @@ class Scorer:
             node = np.ones(a, np.int64)
             gained = np.ones(a, np.float32)
             x = np.empty((inputs, a), np.float32)
+            part, dot, p, final, slip = (np.empty((inputs, a), np.float32), *np.empty((4, a), np.float32))
+            low, at = np.empty((2, a), np.int64)
             for b in range(BITS):
-                target = ((c >> (BITS - 1 - b)) & 1).astype(np.float32)
+                bit = (c >> (BITS - 1 - b)) & 1
+                target = bit.astype(np.float32)
                 spread = take(nodes, node)
                 take(m.tables[0], node, out=x[0], mode="clip")
                 take(m.tables[1], base | node, out=x[1], mode="clip")
                 take(m.tables[2], ((h1 + spread) & mask).view(np.int64), out=x[2], mode="clip")
-                take(m.tables[3], ((h2 + spread) & mask).view(np.int64), out=x[3], mode="clip")
-                at = node * n + who
+                spread += h2
+                spread &= mask
+                take(m.tables[3], spread.view(np.int64), out=x[3], mode="clip")
+                np.multiply(node, n, out=at)
+                at += who
                 memory = take(own, at)
                 np.multiply(memory, np.float32(6), out=x[4])
                 w = weights[b, :, :a]
                 # added up in a fixed order, so that a text scores alike beside any others
-                part = w * x
-                dot = part[0]
-                for k in range(1, inputs):
+                np.multiply(w, x, out=part)
+                np.add(part[0], part[1], out=dot)
+                for k in range(2, inputs):
                     dot += part[k]
                 np.clip(dot, -7.9, 7.9, out=dot)
-                p = one / (one + np.exp(-dot))
+                np.negative(dot, out=p)
+                np.exp(p, out=p)
+                p += one
+                np.divide(one, p, out=p)
                 # the refining table: probabilities at fixed logits, read between its two nearest entries
                 dot += np.float32(8)
-                low = dot.astype(np.int64)
+                low[:] = dot
                 dot -= low
-                low = low * n + who
+                low *= n
+                low += who
                 table = refined[b]
                 left, right = take(table, low), take(table, low + n)
-                final = left + dot * (right - left)
-                final = final * np.float32(0.25) + p * np.float32(0.75)
+                np.subtract(right, left, out=final)
+                final *= dot
+                final += left
+                final *= np.float32(0.25)
+                final += p * np.float32(0.75)
                 np.clip(final, 1e-4, 1 - 1e-4, out=final)
                 # the probability of the bit that came: 1 - |target - final|
-                gained *= one - np.abs(target - final)
-                w += x * (self.rate * (target - p))
+                np.subtract(target, final, out=final)
+                np.abs(final, out=final)
+                np.subtract(one, final, out=final)
+                gained *= final
+                np.subtract(target, p, out=slip)
+                slip *= self.rate
+                x *= slip
+                w += x
                 close = dot > half
                 nearest = np.where(close, right, left)
-                table[low + close * n] = nearest + (target - nearest) * np.float32(0.03)
-                own[at] = memory + (target - half - memory) * self.forget
-                node = node << 1 | target.astype(np.int64)
+                low += close * n
+                table[low] = nearest + (target - nearest) * np.float32(0.03)
+                target -= half
+                target -= memory
+                target *= self.forget
+                target += memory
+                own[at] = target
+                node <<= 1
+                node |= bit
             score[:a] += np.log10(gained)
         return score
 
@@ -393,22 +418,28 @@ def score_texts(
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for start, end in _slices(texts, most):
-                parts, fixed, base, known, tails, bytes_ = [], [], [], [], [], []
+                parts, fixed, base, known, bytes_ = [], [], [], [], []
+                tail_ends, tail_tokens, tail_counts = [0], [], []
                 for t in texts[start:end]:
                     ids, tail = _ids(t, m.top)
-                    parts.append(ids)
+                    parts.append(ids.astype(np.int32))
                     fixed.append(-m.class_log_mass[m.rank_class[ids]].sum())
                     base.append(top_log[ids].sum() + (math.log10(SMOOTH) if no_end else 0.0))
                     known.append(len(ids) - len(tail) - no_end)
-                    tails.append([{"token": k, "k": v} for k, v in Counter(tail).items()])
+                    tail = Counter(tail)
+                    tail_tokens += tail
+                    tail_counts += tail.values()
+                    tail_ends.append(len(tail_tokens))
                     bytes_.append(len(t.encode("utf-8", "surrogatepass")) if t else 0)
                 coded = _coded(parts, m.rank_class)
                 some = batch.slice(start, end - start)
+                pairs = pa.StructArray.from_arrays([pa.array(tail_tokens, pa.binary()), pa.array(tail_counts, pa.int64())], ["token", "k"])
+                tails = pa.ListArray.from_arrays(pa.array(tail_ends, pa.int32()), pairs)
+                del tail_tokens, tail_counts
                 yield pa.RecordBatch.from_arrays(
                     [
                         some.column(0), some.column(2), pa.array(coded.size), pa.array(known, pa.int64()),
-                        pa.array(base, pa.float64()), pa.array(scorer(coded) + np.array(fixed)), pa.array(bytes_, pa.int64()),
-                        pa.array(tails, pa.list_(pa.struct([("token", pa.binary()), ("k", pa.int64())]))),
+                        pa.array(base, pa.float64()), pa.array(scorer(coded) + np.array(fixed)), pa.array(bytes_, pa.int64()), tails,
                     ],
                     ["id", "train", "n_tokens", "known", "base", "bits", "bytes", "tails"],
                 )
