@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwatch.llm.common import power_of_two, running_totals, stored
+from driftwatch.session import bounded
 
 PERIOD = 840
 BLOCK_CHARS = 65_536
+# spans of up to 2**NEAR slots are ranked within one partition
+NEAR = 14
 
 
 def whole_shares(weights: DataFrame, key: str = "collection_name", period: int = PERIOD) -> DataFrame:
@@ -38,39 +41,57 @@ def whole_shares(weights: DataFrame, key: str = "collection_name", period: int =
 def slot_table(shares: DataFrame, key: str = "collection_name") -> DataFrame:
     """(key, share, period, job, slot_in_period) of one period of the schedule.
 
-    The shares, one for each collection, meet in one row, and a fold over the
-    slots of a period gives each slot to the released block due first (ties to
-    the first key). The period sums all shares, so the schedule repeats.
+    Every slot goes to the released block due first (ties to the first key).
+    The period sums all shares, so the schedule repeats. No task walks along
+    the slots. Spans of slots are halved into a tree instead. On the way up each
+    span learns which of the blocks released in it fit into it: those of the left
+    half, and of the left half's rest and the right half's own as many as the
+    right half has slots, by deadline. On the way down each span hands to its
+    left half the first blocks by deadline of those that were released earlier
+    or fit into that half, the others to its right half. A span of one slot then
+    holds its block. That takes two ranks a level, over one row for each slot.
     """
-    row = shares.agg(F.sort_array(F.collect_list(F.struct(F.col(key), F.col("share")))).alias("s")).where(F.size("s") > 0)
-    row = row.withColumn("a", F.transform("s", lambda x: x["share"])).withColumn(
-        "p", F.aggregate("a", F.lit(0).cast("long"), lambda t, x: t + x)
+    total = shares.agg(F.sum("share")).first()[0] or 0
+    levels = max(0, int(total) - 1).bit_length()
+    p, k = F.lit(total).cast("long"), F.col("job")
+    jobs = shares.select(key, "share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("share") - 1)).alias("job"))
+    jobs = jobs.withColumns(
+        {
+            "period": p,
+            "_r": F.floor(k * p / F.col("share")).cast("long"),
+            "_d": F.ceil((k + 1) * p / F.col("share")).cast("long"),
+        }
     )
-    nothing = F.struct(
-        F.transform("a", lambda x: F.lit(0).cast("long")).alias("done"), F.array().cast("array<int>").alias("picks")
-    )
-
-    def step(state, t):
-        due = F.zip_with(
-            state["done"],
-            F.col("a"),
-            # released: floor(k p / a) <= t; due: ceil((k + 1) p / a)
-            lambda k, a: F.when(k * F.col("p") < (t + 1) * a, F.ceil((k + 1) * F.col("p") / a)),
-        )
-        first = F.array_min(
-            F.filter(F.transform(due, lambda d, i: F.struct(d.alias("d"), i.alias("i"))), lambda x: x["d"].isNotNull())
-        )["i"]
-        return F.struct(
-            F.transform(state["done"], lambda k, i: F.when(i == first, k + 1).otherwise(k)).alias("done"),
-            F.concat(state["picks"], F.array(first)).alias("picks"),
-        )
-
-    picks = row.select("s", "p", F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("p") - 1), nothing, step)["picks"].alias("picks"))
-    slots = picks.select("s", F.col("p").alias("period"), F.posexplode("picks").alias("slot_in_period", "i"))
-    job = F.row_number().over(Window.partitionBy(key).orderBy("slot_in_period")) - 1
-    return slots.select(
-        F.col("s")[F.col("i")][key].alias(key), F.col("s")[F.col("i")]["share"].alias("share"), "period", "slot_in_period"
-    ).withColumn("job", job.cast("long"))
+    due = ["_d", F.col(key).asc_nulls_first()]
+    first = F.row_number().over(Window.partitionBy("_near", "_span").orderBy(*due)) == 1
+    # spans inside one block of slots stay in its partition; only wider ones are shuffled again
+    jobs = jobs.withColumns({"_near": F.shiftright("_r", NEAR), "_span": F.col("_r")}).repartition("_near")
+    jobs = jobs.withColumn("_fits", first.cast("long"))
+    for level in range(1, levels + 1):
+        bit = 1 << (level - 1)
+        right, fits = F.col("_r").bitwiseAND(F.lit(bit)) != 0, F.col("_fits").bitwiseAND(F.lit(bit)) != 0
+        span = [F.shiftright("_r", level).alias("_span"), (right == fits).alias("_asks")]
+        jobs = jobs.withColumns({"_span": span[0], "_asks": span[1]})
+        rank = F.row_number().over(Window.partitionBy(*_spans(level), "_asks").orderBy(*due))
+        now = F.when(F.col("_asks"), rank <= bit).otherwise(fits)
+        jobs = jobs.withColumn("_fits", F.col("_fits").bitwiseOR(F.when(now, F.lit(bit << 1)).otherwise(F.lit(0)).cast("long")))
+    jobs = jobs.withColumns({"_near": F.lit(0).cast("long"), "_span": F.lit(0).cast("long")})
+    for level in range(levels, 0, -1):
+        bit = 1 << (level - 1)
+        start = F.shiftleft(F.col("_span"), level)
+        fits = F.col("_fits").bitwiseAND(F.lit(bit)) != 0
+        asks = (F.col("_r") < start) | ((F.col("_r") < start + bit) & fits)
+        jobs = jobs.withColumn("_asks", asks)
+        rank = F.row_number().over(Window.partitionBy(*_spans(level), "_asks").orderBy(*due))
+        left = F.col("_asks") & (rank <= bit)
+        jobs = jobs.withColumn("_span", F.col("_span") * 2 + F.when(left, 0).otherwise(1))
+        if level == NEAR + 1:
+            jobs = jobs.withColumn("_near", F.col("_span")).repartition("_near")
+    return jobs.select(key, "share", "period", F.col("_span").alias("slot_in_period"), "job")
+
+
+def _spans(level: int) -> list[str]:
+    return ["_near", "_span"] if level <= NEAR else ["_span"]
 
 
 def tempered_weights(documents: DataFrame, key: str, text: str, power: float = 0.5) -> DataFrame:
@@ -129,14 +150,14 @@ def slot_places(
         weights = sized.groupBy(F.col("_key").alias(key)).agg(F.pow(size, F.lit(power)).alias("weight"))
     slots = stored(slot_table(whole_shares(weights, key, period), key))
     placed = running_totals(sized, "_key", ["_id"], "_chars", "_before", power_of_two(sized.count() / 64, 1, 4096))
-    # one row for each collection, and one for each slot of a period
+    # one row for each collection, and one for each slot of a period: broadcast up to a counted bound
     shares = slots.groupBy(F.col(key).alias("_sk")).agg(F.min("share").alias("_a"), F.min("period").alias("_p"))
     blocks = placed.withColumn("block", F.floor(F.col("_before") / block_chars).cast("long")).join(
-        F.broadcast(shares), F.col("_key").eqNullSafe(F.col("_sk")), "left"
+        bounded(shares), F.col("_key").eqNullSafe(F.col("_sk")), "left"
     )
     jobs = slots.select(F.col(key).alias("_jk"), F.col("job").alias("_j"), F.col("slot_in_period").cast("long").alias("_s"))
     return blocks.join(
-        F.broadcast(jobs), F.col("_key").eqNullSafe(F.col("_jk")) & (F.col("block") % F.col("_a") == F.col("_j")), "left"
+        bounded(jobs), F.col("_key").eqNullSafe(F.col("_jk")) & (F.col("block") % F.col("_a") == F.col("_j")), "left"
     ).select(
         "_key",
         "_id",

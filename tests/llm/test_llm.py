@@ -201,6 +201,40 @@ def test_slots_keep_to_weights(spark):
         assert all(abs(had[k] - t * share[k] / period) < 1 for k in share)
 
 
+def earliest_deadline_first(shares):
+    """The key of every slot of a period, slot by slot."""
+    period, done, out = sum(a for _, a in shares), [0] * len(shares), []
+    for t in range(period):
+        due = [(-(-(done[i] + 1) * period // a), i) for i, (_, a) in enumerate(shares) if done[i] * period < (t + 1) * a]
+        i = min(due)[1]
+        out.append(shares[i][0])
+        done[i] += 1
+    return out
+
+
+@pytest.mark.parametrize("near", [2, 14])
+def test_slots_equal_earliest_deadline_first(spark, monkeypatch, near):
+    monkeypatch.setattr(mixing, "NEAR", near)
+    shares = [(None, 31), ("a", 200), ("b", 1), *((f"c{i:02d}", 1 + i * i % 17) for i in range(30))]
+    table = mixing.slot_table(spark.createDataFrame(shares, "collection_name string, share long")).orderBy("slot_in_period").collect()
+    assert [r.collection_name for r in table] == earliest_deadline_first(shares)
+    jobs = collections.defaultdict(list)
+    for r in table:
+        jobs[r.collection_name].append(r.job)
+    assert all(j == list(range(len(j))) for j in jobs.values())
+
+
+def test_a_thousand_collections(spark):
+    weights = spark.range(1000).selectExpr("concat('c', id) AS collection_name", "1.0D / (1 + id) AS weight")
+    shares = common.stored(mixing.whole_shares(weights))
+    slots = mixing.slot_table(shares).withColumn("lag", F.col("slot_in_period") - F.col("job") * F.col("period") / F.col("share"))
+    wide = F.col("period") / F.col("share")
+    # released after the exact time less one slot, done before the next block's exact time
+    row = slots.agg(F.countDistinct("slot_in_period").alias("n"), F.min("lag").alias("low"), F.max(F.col("lag") + 1 - wide).alias("late"))
+    row = row.first()
+    assert row.n == 100_000 and row.low > -1 and row.late < 1
+
+
 # packing
 
 
