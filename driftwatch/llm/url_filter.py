@@ -49,27 +49,82 @@ def url_path(url: Column) -> Column:
 
 
 def alias_of(url: Column) -> Column:
-    """The url that a site's redirects usually end at: no scheme, ``www.`` or ``m.``, query, fragment, final slash or ``.html``."""
+    """The url that a site's redirects usually end at: no scheme, ``www.`` or ``m.``, query, fragment, final slash or ``.html``.
+
+    Urls that differ in their query alone therefore count as one page.
+    """
     host = F.regexp_replace(url_host(url), r"^(www|m)\.", "")
     return F.concat(F.lit("//"), host, F.regexp_replace(url_path(url), r"(/|\.html?)$", ""))
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute of a tag, quoted or not; empty if it is missing."""
+    at = lambda group: F.regexp_extract(tag, rf"(?i)[\s\"']{name}\s*=\s*(?:\"([^\">]*)\"|'([^'>]*)'|([^\s\"'>]+))", group)
+    return F.trim(F.concat(at(1), at(2), at(3)))
+
+
+def absolute_url(base: Column, to: Column) -> Column:
+    """``to`` as found on the page ``base``, made absolute; null if it leads to no other url.
+
+    Takes absolute urls, ``//host/path``, ``/path``, paths relative to the page's
+    folder with ``.`` and ``..``, and ``?query``. A fragment alone, another
+    scheme without ``://`` (mailto, script) or a base without ``://`` gives null.
+    """
+    scheme = F.regexp_extract(base, r"^[^:/?#]*:(?=//)", 0)
+    root = F.concat(scheme, F.lit("//"), F.regexp_extract(_rest(base), r"^[^/?#]*", 0))
+    path = url_path(base)
+    joined = F.when(to.startswith("/"), to).when(to.startswith("?"), F.concat(path, to)).otherwise(
+        F.concat(F.regexp_extract(F.concat(F.lit("/"), path), r"^/(.*/)?", 1), to)
+    )
+    tail = F.regexp_extract(joined, r"[?#].*$", 0)
+    steps = F.split(F.regexp_replace(F.regexp_extract(joined, r"^[^?#]*", 0), "^/", ""), "/")
+    # a final dot step names a folder: it leaves an empty last step
+    steps = F.when(F.element_at(steps, -1).isin(".", ".."), F.concat(steps, F.array(F.lit("")))).otherwise(steps)
+    walked = F.aggregate(
+        steps,
+        F.array().cast("array<string>"),
+        lambda so_far, x: F.when(x == ".", so_far)
+        .when(x == "..", F.slice(so_far, 1, F.greatest(F.size(so_far) - 1, F.lit(0))))
+        .otherwise(F.concat(so_far, F.array(x))),
+    )
+    here = F.concat(root, F.lit("/"), F.array_join(walked, "/"), tail)
+    return (
+        F.when((to == "") | to.startswith("#"), None)
+        .when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | (scheme == ""), None)
+        .when(to.startswith("//"), F.concat(scheme, to))
+        .otherwise(here)
+    )
+
+
 def declared_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): canonical links and refresh redirects that pages declare, absolute or from the site's root."""
+    """(a, b): every canonical link and refresh redirect that pages declare, made absolute.
+
+    Tags and attributes count in any case and order, values quoted or not. A
+    null url or html, or a target that leads nowhere, gives no link.
+    """
     h = F.col(html)
-    tag = F.when(h.contains("canonical"), F.regexp_extract(h, r"(?i)<link\b[^>]*\brel=[\"']?canonical[^>]*>", 0))
-    to = F.regexp_extract(tag, r"(?i)\bhref=[\"']?([^\"'\s>]+)", 1)
-    jump = F.when(
-        h.contains("http-equiv"),
-        F.regexp_extract(h, r"(?i)<meta\b[^>]*http-equiv=[\"']?refresh[^>]*\burl=[\"']?([^\"'\s>]+)", 1),
-    )
-    root = F.concat(F.regexp_extract(F.col(url), r"^[^:/?#]*://", 0), F.regexp_extract(_rest(F.col(url)), r"^[^/?#]*", 0))
-    found = pages.select(F.col(url).alias("a"), root.alias("root"), F.explode(F.array(to, jump)).alias("b"))
-    found = found.where(F.length("b") > 0)
-    absolute = F.when(F.col("b").startswith("//"), F.concat(F.regexp_extract("root", r"^[^:/?#]*:", 0), "b")).when(
-        F.col("b").startswith("/"), F.concat("root", "b")
+    low = F.lower(h)
+    none = F.array().cast("array<string>")
+    links = F.when(low.contains("canonical"), F.regexp_extract_all(h, F.lit(r"(?i)<link\s[^>]*>"), F.lit(0)))
+    metas = F.when(low.contains("http-equiv"), F.regexp_extract_all(h, F.lit(r"(?i)<meta\s[^>]*>"), F.lit(0)))
+    canonical = F.filter(links, lambda t: _attribute(t, "rel").rlike(r"(?i)(^|\s)canonical(\s|$)"))
+    refresh = F.filter(metas, lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh")
+    to = F.concat(
+        F.coalesce(F.transform(canonical, lambda t: _attribute(t, "href")), none),
+        F.coalesce(
+            F.transform(refresh, lambda t: F.regexp_extract(_content(t), r"(?i)^[^;,]*[;,]\s*url\s*=\s*[\"']?([^\"'\s]+)", 1)), none
+        ),
     )
-    return found.select("a", F.coalesce(absolute, F.when(F.col("b").contains("://"), F.col("b"))).alias("b")).where("b is not null")
+    found = pages.select(F.col(url).alias("a"), F.explode(to).alias("to"))
+    target = absolute_url(F.col("a"), F.replace(F.col("to"), F.lit("&amp;"), F.lit("&")))
+    return found.select("a", target.alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+
+
+def _content(tag: Column) -> Column:
+    """The content of a refresh, which may hold quotes of the other kind."""
+    at = lambda group: F.regexp_extract(tag, r"(?i)[\s\"']content\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", group)
+    return F.trim(F.concat(at(1), at(2), at(3)))
 
 
 def matching_rule(host: Column, path: Column, rules: Sequence[UrlRule]) -> tuple[Column, Column]:

@@ -389,10 +389,38 @@ def test_urls(spark):
         "url string, html string",
     )
     found = {(r.a, r.b) for r in url_filter.declared_links(html).collect()}
-    assert ("http://s.net/c", "https://t.net/d") in found
+    assert found == {("http://s.net/a", "http://s.net/b"), ("http://s.net/c", "https://t.net/d")}
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
 
 
+def test_links_in_any_spelling(spark):
+    page = "https://s.net/x/y/a.html?q=1"
+    cases = {
+        '<LINK REL="CANONICAL" HREF="/b">': "https://s.net/b",
+        "<link href=d.html rel=canonical>": "https://s.net/x/y/d.html",
+        "<META HTTP-EQUIV='Refresh' CONTENT=\"0; URL='../z/./e'\">": "https://s.net/x/z/e",
+        '<link rel="alternate canonical" href="../../../up/..">': "https://s.net/",
+        '<link rel="canonical" href="//T.net/p?a=1&amp;b=2">': "https://T.net/p?a=1&b=2",
+        '<link rel="canonical" href="?q=2">': "https://s.net/x/y/a.html?q=2",
+        '<link rel="canonical" href="#top">': None,
+        '<link rel="canonical" href="mailto:me@s.net">': None,
+        '<link rel="stylesheet" href="canonical.css">': None,
+        '<meta http-equiv="content-type" content="text/html; url=/no">': None,
+        '<link rel="canonical">': None,
+    }
+    rows = [(page, h) for h in cases] + [(page, '<link rel=stylesheet href=s.css>\n<link rel=canonical href=/1><link rel="canonical" href="/2">')]
+    rows += [(None, '<link rel="canonical" href="/b">'), ("no url", '<link rel="canonical" href="b">'), ("http://r.net", '<link rel="canonical" href="b">')]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    want = [(page, b) for b in cases.values() if b] + [(page, "https://s.net/1"), (page, "https://s.net/2"), ("http://r.net", "http://r.net/b")]
+    assert sorted((r.a, r.b) for r in url_filter.declared_links(pages).collect()) == sorted(want)
+
+
+def test_url_columns_of_clashing_names(spark):
+    pages = spark.createDataFrame([(1, "http://b.com/de/1", "mine", "r", "id")], "page_id long, url string, host string, rule string, id string")
+    row = url_filter.judge_urls(pages, queries.URL_RULES).first()
+    assert (row.host, row.rule, row.verdict, row.id) == ("b.com", "com/de/", "block", "id")
+
+
 # context mixing
 
 
