@@ -12,13 +12,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwatch.llm.common import map_batches
-from driftwatch.session import bounded
 
 BINS = 128
+MOST_RANGES = 16_384
 _BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses modulo 2**64
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -118,46 +118,53 @@ def likeness(a: str, b: str, bins: int = BINS) -> Column:
     return F.when((F.col(a) == "") | (F.col(b) == ""), (F.col(a) == F.col(b)).cast("double")).otherwise(F.size(same) / F.lit(float(bins)))
 
 
-def with_successor(rows: DataFrame, order: str, columns: list[str], chunk_rows: int = 256, keys: DataFrame | None = None) -> DataFrame:
+def with_successor(rows: DataFrame, order: str, columns: list[str], chunk_rows: int = 1024, keys: DataFrame | None = None) -> DataFrame:
     """Add ``next_<column>`` of the row next in ascending ``order``; the last row's next is the first.
 
-    ``order`` is an integer column. Its values are cut into ranges of about
-    ``chunk_rows`` rows, and every row is sent once to its range. The first row
-    of a range goes to the range before it as well, so ranges are walked apart
-    and in constant memory. Rows with a null ``order`` are left out; rows with
-    equal values follow each other in the order of ``columns``. A single row is
-    own next. ``keys`` may name a cheaper frame with the same ``order`` values.
+    ``order`` is an integer column. Its values are cut at percentiles into
+    ranges of about ``chunk_rows`` rows, however they lie, and every row is sent
+    once to its range. The first row of a range goes to the range before it as
+    well, so ranges are walked apart and in constant memory. Rows with a null
+    ``order`` come last, in the order of a hash of ``columns[0]``, and are cut
+    into ranges of that hash; rows with equal values follow each other in the
+    order of ``columns``. A single row is own next. ``keys`` may name a cheaper
+    frame with the same ``order`` and ``columns[0]`` values. The driver holds
+    one number for each range, at most 16,384.
     """
-    rows = rows.where(F.col(order).isNotNull())
-    keys = (rows if keys is None else keys).select(order).where(F.col(order).isNotNull())
-    low, high, n = keys.agg(F.min(order), F.max(order), F.count("*")).first()
-    width = max(1, int((high - low + 1) * chunk_rows // n)) if n else 1
-    part = F.floor((F.col(order) - F.lit(low or 0)) / F.lit(width)).cast("long")
-    # one row for each range
-    around = Window.orderBy("p")
-    heads = keys.groupBy(part.alias("p")).agg(F.min(order).alias("first"))
-    heads = heads.select(
-        "first", F.coalesce(F.lag("p").over(around), F.max("p").over(Window.partitionBy(F.lit(0)))).alias("before")
-    )
-    ties = [F.col(c) for c in columns if c != order]
-    # two numbers for each range; broadcast up to a counted bound, else joined with a shuffle
-    heads = bounded(heads)
-    sent = rows.join(heads, F.col(order) == F.col("first"), "left").drop("first").withColumn("_own", part)
-    sent = sent.select(
-        *rows.columns,
-        F.explode(
-            F.when(
-                F.col("before").isNull(), F.array(F.struct(F.col("_own").alias("p"), F.lit(False).alias("last")))
-            ).otherwise(
-                F.array(
-                    F.struct(F.col("_own").alias("p"), F.lit(False).alias("last")),
-                    F.struct(F.col("before").alias("p"), F.lit(True).alias("last")),
-                )
-            )
-        ).alias("_to"),
-    ).select(*rows.columns, F.col("_to.p").alias("_p"), F.col("_to.last").alias("_last"))
-    dealt = sent.repartition("_p").sortWithinPartitions("_p", "_last", order, *ties)
+    keys = rows if keys is None else keys
+    value = F.col(order).cast("long")
+    known = keys.where(F.col(order).isNotNull()).select(value.alias("v"))
+    n, unnamed = keys.agg(F.count(order), F.count_if(F.col(order).isNull())).first()
+    named_from = _range_starts(known, n, chunk_rows)
+    hashed = keys.where(F.col(order).isNull()).select(F.xxhash64(columns[0]).alias("v"))
+    unnamed_from = _range_starts(hashed, unnamed, chunk_rows)
+    ranges = len(named_from) + len(unnamed_from)
     names = [*rows.columns, *[f"next_{c}" for c in columns]]
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    held = list(rows.columns)
+
+    def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes = batch.column("_h").to_numpy(zero_copy_only=False)
+        no_id = pc.is_null(batch.column(order)).to_numpy(zero_copy_only=False)
+        ids = pc.fill_null(batch.column(order).cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
+        part, first = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+        for where, values, starts, at in ((~no_id, ids, named_from, 0), (no_id, hashes, unnamed_from, len(named_from))):
+            if where.any():
+                k = np.searchsorted(starts, values[where], "right") - 1
+                part[where], first[where] = at + k, starts[k] == values[where]
+        again = np.flatnonzero(first)
+        take = pa.array(np.concatenate([np.arange(len(ids)), again]))
+        to = np.concatenate([part, (part[again] - 1) % ranges])
+        last = np.concatenate([np.zeros(len(ids), bool), np.ones(len(again), bool)])
+        return pa.RecordBatch.from_arrays(
+            [*[batch.column(c).take(take) for c in [*held, "_h"]], pa.array(to), pa.array(last)], [*held, "_h", "_p", "_last"]
+        )
+
+    h = F.when(F.col(order).isNull(), F.xxhash64(columns[0])).otherwise(F.lit(0).cast("long"))
+    schema = ", ".join(f"`{c}` {kind[c]}" for c in held)
+    sent = map_batches(rows.withColumn("_h", h), deal, f"{schema}, _h long, _p long, _last boolean")
+    ties = [F.col(c) for c in columns if c != order]
+    dealt = sent.repartition("_p").sortWithinPartitions("_p", "_last", order, "_h", *ties)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending = None
@@ -166,10 +173,25 @@ def with_successor(rows: DataFrame, order: str, columns: list[str], chunk_rows:
             now, after = t.slice(0, t.num_rows - 1), t.slice(1)
             pending = t.slice(t.num_rows - 1).to_batches()[0] if t.num_rows else None
             keep = pc.and_(pc.equal(now["_p"], after["_p"]), pc.invert(now["_last"]))
-            out = pa.table([now[c] for c in rows_columns] + [after[c] for c in columns], names=names).filter(keep)
+            out = pa.table([now[c] for c in held] + [after[c] for c in columns], names=names).filter(keep)
             yield from out.combine_chunks().to_batches()
 
-    rows_columns = list(rows.columns)
-    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join([f"`{c}` {kind[c]}" for c in rows_columns] + [f"`next_{c}` {kind[c]}" for c in columns])
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(run, ", ".join([schema, *[f"`next_{c}` {kind[c]}" for c in columns]]))
+
+
+def _range_starts(values: DataFrame, n: int, chunk_rows: int) -> np.ndarray:
+    """First values of ranges of about ``chunk_rows`` of the ``n`` values, the least one among them; none if ``n`` is 0."""
+    if not n:
+        return np.zeros(0, np.int64)
+    pieces = int(min(MOST_RANGES, max(1, n // chunk_rows)))
+    shares = [k / pieces for k in range(1, pieces)] or [0.0]
+    # percentiles pass through doubles, so a second pass over the values finds the least one of each range
+    cuts = np.unique(np.array(values.agg(F.percentile_approx("v", shares, max(1000, 16 * pieces))).first()[0], np.int64))
+
+    def least(batch: pa.RecordBatch) -> pa.RecordBatch:
+        v = np.sort(batch.column(0).to_numpy())
+        part, at = np.unique(np.searchsorted(cuts, v, "right"), return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(part), pa.array(v[at])], ["part", "v"])
+
+    firsts = map_batches(values, least, "part long, v long").groupBy("part").agg(F.min("v").alias("v"))
+    return np.sort(np.array([r.v for r in firsts.collect()], np.int64))

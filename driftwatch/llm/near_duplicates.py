@@ -10,6 +10,9 @@ full sets.
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -19,14 +22,31 @@ from pyspark.sql import functions as F
 
 from driftwatch.llm.common import connected_components, forget, map_batches, marks, perhaps_in, stored, words
 
-TREES = 12
 DEPTH = 4
+RECALL = 0.9999
 SMALL_NODE = 32
 BLOCK = 128
 SKETCH_BITS = 64
-# Two sets of J >= 0.8 differ in a sketch bit with probability 0.1 at most: more
-# than 21 of 64 differing bits then has a probability of about 1e-7.
-MAX_BITS_APART = 21
+
+
+def trees_for(percent: int, depth: int = DEPTH, recall: float = RECALL) -> int:
+    """Trees that keep a pair at the very limit with probability ``recall``, even if all its nodes are branched to the end."""
+    one = (percent / 100) ** depth
+    return 1 if one >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log1p(-one)))
+
+
+@functools.cache
+def bits_apart(percent: int, miss: float = 1e-7) -> int:
+    """Sketch bits by which a pair at the limit differs at most, but for a probability of ``miss``.
+
+    A bit differs where the minimum hashes do and then half the time.
+    """
+    p, seen = (1 - percent / 100) / 2, 0.0
+    for k in range(SKETCH_BITS):
+        seen += math.comb(SKETCH_BITS, k) * p**k * (1 - p) ** (SKETCH_BITS - k)
+        if 1 - seen <= miss:
+            return k
+    return SKETCH_BITS
 
 
 def _odd(seed: int, n: int) -> np.ndarray:
@@ -58,7 +78,7 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 class PathSketch:
     """Choices along each tree's path, and a sketch of one bit for each of 64 minimum hashes."""
 
-    def __init__(self, trees: int = TREES, depth: int = DEPTH, seed: int = 7):
+    def __init__(self, trees: int, depth: int = DEPTH, seed: int = 7):
         self.trees, self.depth = trees, depth
         self.odd = _odd(seed, trees * depth).reshape(depth, trees, 1)
         self.bits = _odd(seed + 1, SKETCH_BITS)[:, None]
@@ -121,7 +141,7 @@ def sketches(documents: DataFrame, id_col: str, text: str, width: int, trees: in
 
 def _may_link(n_a: Column, n_b: Column, s_a: Column, s_b: Column, percent: int) -> Column:
     """What every linked pair fulfils: sizes within the similarity, sketches close."""
-    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (F.bit_count(s_a.bitwiseXOR(s_b)) <= MAX_BITS_APART)
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (F.bit_count(s_a.bitwiseXOR(s_b)) <= bits_apart(percent))
 
 
 def _pairs(left: DataFrame, right: DataFrame, on: Column, percent: int) -> DataFrame:
@@ -281,7 +301,7 @@ def near_duplicates(
     text: str = "text",
     width: int = 5,
     percent: int = 80,
-    trees: int = TREES,
+    trees: int | None = None,
     depth: int = DEPTH,
     small_node: int = SMALL_NODE,
     block: int = BLOCK,
@@ -293,16 +313,18 @@ def near_duplicates(
     ``component_id`` is the smallest id of the group, and ``kept`` marks that
     member. Texts of equal sets are one class and are compared once, through the
     smallest id. A null or empty text has no shingle and stays by itself.
-    Repeated rows of one id fall into one row; null ids are left out; an empty
-    table gives an empty result. Of each hundred linked pairs at the very limit
-    of similarity 0.8, a tree keeps 80, or fewer where nodes are branched again;
-    with ``trees`` trees, and an exhaustive comparison by blocks inside nodes
-    crowded to the last level, practically none is lost.
+    Every row has its result: a row without an id has no ``component_id``, is
+    linked with nothing and kept; rows of one id should hold one text, else one
+    of its texts stands for the id in the search. An empty table gives an empty
+    result. ``trees`` follows from ``percent`` by :func:`trees_for`: of pairs at
+    the very limit one in ten thousand may be missed, closer ones practically
+    never. Nodes crowded to the last level are compared exhaustively by blocks.
     """
-    mine = stored(sketches(documents.where(F.col(id_col).isNotNull()), id_col, text, width, trees, depth))
-    named = mine.where(F.col("digest").isNotNull())
+    trees = trees_for(percent, depth) if trees is None else trees
+    mine = stored(sketches(documents, id_col, text, width, trees, depth))
+    named = mine.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
     heads = stored(named.groupBy("digest").agg(F.min("id").alias("head")))
-    classes = named.join(heads.select(F.col("head").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    classes = named.join(heads.select(F.col("head").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
     levels, crowded = candidates(classes, trees, depth, small_node, percent)
     pairs = levels[0]
     for more in levels[1:]:
@@ -332,15 +354,17 @@ def near_duplicates(
         links = links.unionByName(across)
         groups = stored(connected_components(links))
     members = (
-        mine.groupBy("id")
-        .agg(F.max("n_shingles").alias("n_shingles"), F.min("digest").alias("digest"))
+        mine.select("id", "n_shingles", "digest")
         .join(heads, "digest", "left")
         .join(groups.select(F.col("id").alias("head"), "component_id"), "head", "left")
     )
-    component = F.coalesce("component_id", "head", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "head", "id"))
     result = stored(
         members.select(
-            F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (component == F.col("id")).alias("kept")
+            F.col("id").alias(id_col),
+            "n_shingles",
+            component.alias("component_id"),
+            F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
         )
     )
     forget(mine, heads, *levels, crowded, crowds, best, sets, inside, apart, across, links, groups)

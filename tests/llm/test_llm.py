@@ -157,7 +157,29 @@ def test_near_duplicates(spark, width):
     got = near_duplicates.near_duplicates(df, width=width, small_node=4, block=16).collect()
     want = brute_groups(texts, width)
     assert {r.document_id: (r.n_shingles, r.component_id) for r in got} == want
-    assert len(got) == len(want) and all(r.kept == (r.document_id == r.component_id) for r in got)
+    # the repeated row of document 7 has its own result
+    assert len(got) == len(want) + 1 and all(r.kept == (r.document_id == r.component_id) for r in got)
+
+
+def test_near_duplicates_without_id(spark):
+    same = "one two three four five six seven"
+    rows = [(None, same), (5, same), (None, same), (9, same), (None, None)]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "document_id long, text string")).collect()
+    assert sorted((r.document_id or 0, r.n_shingles, r.component_id, r.kept) for r in got if r.document_id) == [(5, 3, 5, True), (9, 3, 5, False)]
+    assert sorted(r.n_shingles for r in got if r.document_id is None and r.component_id is None and r.kept) == [0, 3, 3]
+
+
+def test_links_at_a_lower_limit(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(200):  # 101 of 200 words shared by two: similarity 101 / 200
+        mark = lambda n: [f"{k}.{x}" for x in rng.integers(0, 10**9, n)]
+        both = mark(101)
+        rows += [(2 * k, " ".join(both + mark(50))), (2 * k + 1, " ".join(both + mark(49)))]
+    docs = spark.createDataFrame(rows, "document_id long, text string")
+    got = near_duplicates.near_duplicates(docs, width=1, percent=50).collect()
+    assert sum(not r.kept for r in got) == 200
+    assert near_duplicates.trees_for(80) == 18 and near_duplicates.bits_apart(80) == 22 and near_duplicates.trees_for(100) == 1
 
 
 def test_near_duplicates_empty(empty):
@@ -310,10 +332,56 @@ def test_successor(spark, empty):
     for chunk in (1, 2, 100):
         got = {r.document_id: r.next_text for r in fingerprints.with_successor(df, "document_id", ["text"], chunk).collect()}
         order = sorted(ids)
-        assert got == {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1])}
+        assert got == {**{a: f"t{b}" for a, b in zip(order, order[1:])}, 1_000_000: "no", None: "t1"}
     assert fingerprints.with_successor(empty, "document_id", ["text"]).count() == 0
 
 
+def test_successor_keeps_every_row(spark):
+    ids = [*range(3000), 2**40, *[7] * 5, *[None] * 400]
+    df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "document_id long, text string")
+    for chunk in (16, 5000):
+        rows = fingerprints.with_successor(df, "document_id", ["document_id", "text"], chunk).collect()
+        assert sorted(r.text for r in rows) == sorted(r.next_text for r in rows) == sorted(f"t{k}" for k in range(len(ids)))
+        # one ring through all rows, ascending, rows without an id last
+        after = {r.text: r for r in rows}
+        at, seen = "t0", []
+        while len(seen) < len(rows):
+            seen.append(after[at].document_id)
+            at = after[at].next_text
+        assert at == "t0" and seen == sorted(i for i in ids if i is not None) + [None] * 400
+    starts = fingerprints._range_starts(df.where("document_id IS NOT NULL").selectExpr("document_id AS v"), 3006, 16)
+    assert len(starts) > 150  # one far id leaves the ranges even
+
+
+def test_fingerprints_of_null_and_repeated_ids(spark, tmp_path):
+    rows = [(3, "abcdef"), (None, "xyz"), (None, None), (3, "abcdef"), (1, "hello there")]
+    spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op1_fingerprints(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.n_chars) for r in got) == [(0, 0), (0, 3), (1, 11), (3, 6), (3, 6)]
+
+
+def lz_set(text):
+    seen, phrase = set(), ""
+    for c in text:
+        phrase += c
+        if phrase not in seen:
+            seen.add(phrase)
+            phrase = ""
+    return seen
+
+
+def test_likeness_is_that_of_the_phrase_sets(spark):
+    got = queries.op1_fingerprints(spark, SF).orderBy("doc_id").collect()
+    texts = [d.text or "" for d in common.table(spark, SF, "documents").orderBy("doc_id").collect()]
+    off = []
+    for k, r in enumerate(got):
+        a, b = lz_set(texts[k]), lz_set(texts[(k + 1) % len(texts)])
+        if len(a) > 200 and len(b) > 200:
+            off.append(r.near_next - len(a & b) / len(a | b))
+    # 128 minimum hashes: a standard error of 0.044 at most
+    assert len(off) > 50 and abs(np.mean(off)) < 0.02 and np.max(np.abs(off)) < 0.2
+
+
 # quality classifier
 
 
