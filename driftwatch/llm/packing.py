@@ -11,6 +11,7 @@ import bisect
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -167,50 +168,72 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 4) -> list[list[int]]:
+def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Local search over the underfull bins: every exchange raises the sum of squared fills.
 
-    The emptiest bin is the donor. For each bin with room, in turn, the search
-    moves one of the donor's pieces over, or exchanges one for one or one for two
-    so that the fuller bin grows. A donor without pieces is dropped. A round ends
-    when no donor can be emptied further; it ends for good when nothing changed.
+    The emptiest bin is the donor, then the next. Of all ways to move one of its
+    pieces to a fuller bin, or to exchange one or two of them for one, so that
+    the fuller bin gains, the one that gains most is taken, until none is left.
+    A donor without pieces is dropped. Every underfull bin is a donor in each
+    round. The search ends when a round changes nothing, or when no packing
+    could have fewer bins.
     """
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    for _ in range(rounds):
+    size = np.array(lengths, np.int64)
+    home = np.zeros(len(size), np.int64)
+    for b, members in enumerate(bins):
+        home[members] = b
+    fill = np.bincount(home, size, len(bins)).astype(np.int64) if len(bins) else np.zeros(0, np.int64)
+    count, fewest = int((fill > 0).sum()), -(-int(fill.sum()) // capacity)
+    changed = True
+    while changed and count > fewest:
         changed = False
-        loose = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: fill[b])
-        for donor in loose[: max(8, len(loose) // 50)]:
-            for other in reversed(loose):
-                if other == donor or fill[other] >= capacity or fill[other] < fill[donor] or not bins[donor] or not bins[other]:
-                    continue
-                gain = _best_exchange(bins[donor], bins[other], lengths, capacity - fill[other])
-                if gain:
-                    give, take = gain
-                    moved = sum(lengths[i] for i in give) - sum(lengths[i] for i in take)
-                    bins[donor] = [i for i in bins[donor] if i not in give] + list(take)
-                    bins[other] = [i for i in bins[other] if i not in take] + list(give)
-                    fill[donor] -= moved
-                    fill[other] += moved
-                    changed = True
-        if not changed:
-            break
-    return [b for b in bins if b]
-
-
-def _best_exchange(donor: list[int], other: list[int], lengths: list[int], free: int) -> tuple[tuple, tuple] | None:
-    """The (given, taken) pieces that fill ``other`` most without passing its room."""
-    best, found = 0, None
-    give = [(lengths[i], (i,)) for i in donor]
-    if len(donor) <= 64:
-        give += [(lengths[a] + lengths[b], (a, b)) for x, a in enumerate(donor) for b in donor[x + 1 :]]
-    take = sorted([(0, ())] + [(lengths[i], (i,)) for i in other], key=lambda t: t[0])
-    sizes = [t[0] for t in take]
-    for g, some in give:
-        # the smallest taken size that leaves room gives most
-        at = bisect.bisect_left(sizes, g - free)
-        if at < len(sizes) and best < g - sizes[at] <= free:
-            best, found = g - sizes[at], (some, take[at][1])
-    return found
+        # pieces of full bins take no part; a piece of size 0 for each bin stands for a plain move
+        loose = np.flatnonzero((fill > 0) & (fill < capacity))
+        pieces = np.flatnonzero(np.isin(home, loose))
+        taken = np.concatenate([size[pieces], np.zeros(len(loose), np.int64)])
+        where = np.concatenate([home[pieces], loose])
+        for donor in loose[np.argsort(fill[loose], kind="stable")]:
+            while 0 < fill[donor] < capacity:
+                mine = np.flatnonzero(where[: len(pieces)] == donor)
+                give, some = _givable(pieces[mine].tolist(), lengths)
+                free = capacity - fill[where]
+                at = np.searchsorted(give, free + taken, "right") - 1
+                gain = np.where((at >= 0) & (where != donor) & (fill[where] >= fill[donor]) & (free > 0), give[at] - taken, 0)
+                best = int(gain.argmax())
+                if gain[best] <= 0:
+                    break
+                other, changed = where[best], True
+                fill[donor] -= gain[best]
+                fill[other] += gain[best]
+                where[np.flatnonzero(np.isin(pieces, some[at[best]]))] = other
+                if best < len(pieces):
+                    where[best] = donor
+            if fill[donor] == 0:
+                count -= 1
+                if count <= fewest:
+                    break
+        home[pieces] = where[: len(pieces)]
+    packed: list[list[int]] = [[] for _ in bins]
+    for i, b in enumerate(home.tolist()):
+        packed[b].append(i)
+    return [b for b in packed if b]
+
+
+def _givable(donor: list[int], lengths: list[int]) -> tuple[np.ndarray, list[tuple]]:
+    """(sizes ascending, pieces of each): one or two pieces of a bin for every size they can have."""
+    alike: dict[int, list[int]] = {}
+    for i in donor:
+        alike.setdefault(lengths[i], []).append(i)
+    # pieces of one length are alike, so a bin has few pairs to try however many pieces it holds
+    found = {n: (same[0],) for n, same in alike.items()}
+    sizes = sorted(alike)
+    for x, n in enumerate(sizes):
+        if len(alike[n]) > 1:
+            found.setdefault(2 * n, (alike[n][0], alike[n][1]))
+        for m in sizes[x + 1 :]:
+            found.setdefault(n + m, (alike[n][0], alike[m][0]))
+    given = sorted(found)
+    return np.array(given, np.int64), [found[n] for n in given]
 
 
 def pack_pieces(
@@ -225,7 +248,7 @@ def pack_pieces(
 
     ``pieces`` has ``id_col``, ``piece`` and ``length``; other columns are
     carried along. Pieces are dealt by hash to shards of about ``shard_rows``
-    (from ``rows``, the number of texts; counted if not given), and every shard
+    (from ``rows``, if their number is known; counted if not given), and every shard
     is packed by itself, at the cost of one part-filled bin or so each. Offsets
     of a sequence leave no gap. A piece longer than ``capacity`` is an error.
     Repeated rows are separate pieces; an empty table gives an empty result.

@@ -297,6 +297,24 @@ def test_local_search_empties_bins():
     assert len(better) == 3 and all(sum(lengths[i] for i in b) <= 100 for b in better)
 
 
+def test_local_search_leaves_no_gain():
+    rng = np.random.default_rng(2)
+    for lengths in (rng.integers(30, 60, 200).tolist(), [1] * 90 + rng.integers(20, 99, 80).tolist(), [7] * 50, [100] * 3, []):
+        better = packing.improve(packing.best_fit(lengths, 100), lengths, 100)
+        assert sorted(i for b in better for i in b) == list(range(len(lengths)))
+        fill = [sum(lengths[i] for i in b) for b in better]
+        assert all(f <= 100 for f in fill)
+        if len(better) == -(-sum(lengths) // 100):
+            continue
+        for x, donor in enumerate(better):
+            single = [lengths[i] for i in donor]
+            give = {*single, *(a + b for k, a in enumerate(single) for b in single[k + 1 :])}
+            for y, other in enumerate(better):
+                if x != y and fill[x] <= fill[y] < 100 and fill[x] < 100:
+                    gains = {g - t for g in give for t in (0, *(lengths[i] for i in other))}
+                    assert not any(0 < g <= 100 - fill[y] for g in gains)
+
+
 # fingerprints
 
 
