@@ -73,16 +73,17 @@ def strict_json(text: Column) -> Column:
     return F.when(whole, F.try_variant_get(wrapped, "$[0]", "variant"))
 
 
-def lenient_json(raw: Column) -> Column:
+def lenient_json(raw: Column, keep: int | None = None) -> Column:
     """Variant of a model reply.
 
     Tries the text without fences, then its widest ``{...}`` block. A reply that
     is no JSON at all becomes ``{raw_response, parse_error: true}`` and a
-    missing reply becomes an empty object.
+    missing reply becomes an empty object. ``keep`` cuts the kept reply to as
+    many characters; by default it stays whole.
     """
     body = strip_fences(raw)
     block = F.regexp_extract(body, r"(?s)\{.*\}", 0)
-    failed = F.to_json(F.struct(F.substring(raw, 1, 500).alias("raw_response"), F.lit(True).alias("parse_error")))
+    failed = F.to_json(F.struct((raw if keep is None else F.substring(raw, 1, keep)).alias("raw_response"), F.lit(True).alias("parse_error")))
     empty = raw.isNull() | (raw == "")
     return F.coalesce(
         F.when(empty, F.parse_json(F.lit("{}"))),

@@ -38,9 +38,16 @@ def replay(df: DataFrame, ts: str, tie: str, n: int = REPLAY) -> DataFrame:
     return df.drop("embedding").orderBy(F.desc(ts), F.desc(tie)).limit(n).orderBy(F.asc(ts), F.asc(tie))
 
 
-def find(df: DataFrame, predicate: Column | None = None, columns: list[str] | None = None, n: int | None = None) -> DataFrame:
-    """Filtered, projected rows; 10 by default."""
+def find(
+    df: DataFrame,
+    predicate: Column | None = None,
+    columns: list[str] | None = None,
+    n: int | None = None,
+    order: list[Column] | None = None,
+) -> DataFrame:
+    """Filtered, projected rows; 10 by default, the first by ``order`` if given (a distributed top-k)."""
     rows = df if predicate is None else df.filter(predicate)
+    rows = rows if order is None else rows.orderBy(*order)
     rows = rows if columns is None else rows.select(*columns)
     return rows.limit(feed_size("find", n))
 

@@ -607,3 +607,8 @@ ORACLES["stream_incidents"] = f"""WITH RECURSIVE {ESCALATED}, dcount AS (SELECT
   ct.anomaly_type, ct.severity, CASE WHEN ck.checked THEN sd.drift_detected ELSE false END AS drift_detected, ct.per_minute_usd
  FROM ct JOIN ck USING (document_id) JOIN nm ON nm.lang = ct.collection_name LEFT JOIN sd ON sd.event_type = nm.event_type
  LEFT JOIN sv ON sv.label = nm.label LEFT JOIN rw ON rw.event_type = nm.event_type"""
+ORACLES["find_values"] = """SELECT event_id, event_type, value FROM events WHERE props IS NOT NULL AND event_type IS DISTINCT FROM 'view'
+ ORDER BY events.value DESC NULLS LAST, event_id LIMIT 50"""
+ORACLES["cached_card"] = ORACLES["health_card"]
+ORACLES["plain_fields"] = """SELECT lpad(CAST(event_id AS VARCHAR), 24, '0') AS id, strftime(date_trunc('milliseconds', ts), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS at
+ FROM events"""

@@ -1119,4 +1119,35 @@ def stream_incidents(spark, sf):
     return found.join(made, "document_id")
 
 
+@query
+def find_values(spark, sf):
+    """The fifty highest values of events that have properties and are no views, scanned from the folder."""
+    events = tables.scan(spark, f"{sf}/events.parquet")
+    wanted = feed.has_field(F.col("props")) & feed.not_equal(F.col("event_type"), "view")
+    order = [F.desc_nulls_last("value"), F.asc("event_id")]
+    return feed.find(events, wanted, ["event_id", "event_type", "value"], 50, order)
+
+
+@query
+def cached_card(spark, sf):
+    """The health card, cached under one name after an older one and read back."""
+    path = folder(spark, "card")
+    card = health_card(spark, sf)
+    tables.cache_card(card.filter("health_score < 0"), path)
+    tables.cache_card(card, path)
+    return tables.current(spark, path)
+
+
+@query
+def plain_fields(spark, sf):
+    """Ids and times of all events from their wrapped (``$oid``, ``$date``) and their plain texts."""
+    number, text = F.format_string("%024d", "event_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    wrapped = F.col("event_id") % 2 == 0
+    raw = I.table(spark, sf, "events").select(
+        F.when(wrapped, F.to_json(F.struct(number.alias("$oid")))).otherwise(number).alias("id"),
+        F.when(wrapped, F.to_json(F.struct(text.alias("$date")))).otherwise(text).alias("at"),
+    )
+    return raw.select(tx.plain_id(F.col("id")).alias("id"), tx.iso_text(tx.plain_timestamp(F.col("at"))).alias("at"))
+
+
 QUERIES.update(jobs.QUERIES)
